@@ -37,6 +37,7 @@ class RulegenSettings:
     created_by: str = "unknown"
     columns: tuple | None = None  # only with a single explicit table
     parallelism: int = 4
+    table_location: str | None = None  # folder of the rules table when it is created here
 
     def __post_init__(self):
         if self.output_format not in {"yaml", "table", "both"}:
@@ -125,17 +126,17 @@ def run(spark: SparkSession, tables: Sequence[str], options: ProfileOptions, set
     rules, warnings = generate_all(spark, tables, options, settings, reader)
     created_at = created_at or now_iso()
     meta = {"profile_options": options.to_dict(),
-            "generator_settings": {k: v for k, v in asdict(settings).items() if k not in {"columns", "parallelism"}}}
+            "generator_settings": {k: v for k, v in asdict(settings).items() if k not in {"columns", "parallelism", "table_location"}}}
     written: list[str] = []
     if settings.output_format in {"yaml", "both"}:
         written = write_rule_files(rules, settings.output_yaml)
     if settings.output_format == "table":
         append_rules(spark, to_stored_rows(rules, settings.created_by, created_at, generator_meta=meta),
-                     settings.output_table)
+                     settings.output_table, settings.table_location)
     elif settings.output_format == "both":
         # the table holds exactly what the files say (K3)
         reloaded = read_rule_documents(spark, settings.output_yaml)
         stored = to_stored_rows(reloaded, settings.created_by, created_at, yaml_path=F.col("yaml_path"),
                                 generator_meta=meta)
-        append_rules(spark, stored, settings.output_table)
+        append_rules(spark, stored, settings.output_table, settings.table_location)
     return RunResult(rules, summarize_run(tables, rules, warnings), written, warnings)
