@@ -129,10 +129,12 @@ def profile(df: DataFrame, options: ProfileOptions | None = None, columns: Seque
     screened = [r["column_name"] for r in stats.select("column_name", "approx_distinct", "data_type").collect()
                 if r["approx_distinct"] is not None and (options.exact_distinct or r["approx_distinct"] <= limit)]
     counts = value_counts(prep, screened, options)
-    per_col = counts.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("exact_distinct"),
-        F.when(F.count(F.lit(1)) <= F.lit(limit), F.array_sort(F.collect_list("value"))).alias("values"))
-    out = stats.join(per_col, "column_name", "left")
+    exact = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("exact_distinct"))
+    # value lists only for columns whose exact count is within the bound: no list grows with the data
+    small = exact.where(F.col("exact_distinct") <= F.lit(limit)).select("column_name")
+    lists = (counts.join(small, "column_name", "left_semi").groupBy("column_name")
+             .agg(F.array_sort(F.collect_list("value")).alias("values")))
+    out = stats.join(exact, "column_name", "left").join(lists, "column_name", "left")
     return out.select(
         *[c for c in PROFILE_SCHEMA.fieldNames()],
         F.coalesce(F.col("exact_distinct"),
