@@ -48,11 +48,20 @@ def _issue(name: str, message: Column, rule: dict) -> Column:
                     meta_col.alias("user_metadata"))
 
 
-def _collect(items: list[Column]) -> Column:
+def _collect(items: list[tuple[Column, Column]]) -> Column:
+    """Issues of a row: concat of one-element arrays of the violated rules, NULL when none.
+
+    Built from ``concat`` / ``array`` / ``CASE`` only (no lambda functions),
+    so the whole rule projection stays inside whole-stage codegen.
+    """
     if not items:
         return F.lit(None).cast(T.ArrayType(ISSUE_TYPE))
-    arr = F.array_compact(F.array(*items))
-    return F.when(F.size(arr) > 0, arr)
+    empty = F.array().cast(T.ArrayType(ISSUE_TYPE))
+    return F.concat(*[F.when(fail, F.array(issue)).otherwise(empty) for fail, issue in items])
+
+
+def _null_if_empty(name: str) -> Column:
+    return F.when(F.size(F.col(name)) > 0, F.col(name))
 
 
 def build_condition(rule: dict):
@@ -75,8 +84,8 @@ def apply_checks(df: DataFrame, rules: Iterable[dict] | DataFrame, refs: dict[st
     selected = select_rules(rules, run_config_name)
     original = df.columns
 
-    errors: list[Column] = []
-    warnings: list[Column] = []
+    errors: list[tuple[Column, Column]] = []
+    warnings: list[tuple[Column, Column]] = []
     out = df
     for i, rule in enumerate(selected):
         kind, cond = build_condition(rule)
@@ -94,13 +103,17 @@ def apply_checks(df: DataFrame, rules: Iterable[dict] | DataFrame, refs: dict[st
             flag, text = f"{HELPER}fail_{i}", f"{HELPER}msg_{i}"
             out = out.withColumns({flag: F.coalesce(fail, F.lit(False)), text: F.when(fail, message)})
             fail, message = F.col(flag), F.col(text)
-        item = F.when(fail, _issue(name, message, rule))
+        item = (fail, _issue(name, message, rule))
         (errors if rule["criticality"] == "error" else warnings).append(item)
 
     keep = [c for c in out.columns if not c.startswith(HELPER)]
     extra = [c for c in keep if c not in original]  # e.g. nothing today; kept for safety
-    return out.select(*[F.col(c) for c in original + extra],
-                      _collect(errors).alias(ERRORS), _collect(warnings).alias(WARNINGS))
+    # two projections: the arrays are built once, then NULL-ed when empty (an alias used
+    # twice is not inlined, so no message is evaluated for rows that pass)
+    arrays = out.select(*[F.col(c) for c in original + extra],
+                        _collect(errors).alias(f"{HELPER}e"), _collect(warnings).alias(f"{HELPER}w"))
+    return arrays.select(*[F.col(c) for c in original + extra],
+                         _null_if_empty(f"{HELPER}e").alias(ERRORS), _null_if_empty(f"{HELPER}w").alias(WARNINGS))
 
 
 def split_valid_invalid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -112,7 +125,7 @@ def split_valid_invalid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def issue_names(col: str = ERRORS) -> Column:
     """Sorted, comma-joined check names of an issue array (NULL when none)."""
-    return F.array_join(F.array_sort(F.transform(F.col(col), lambda x: x["name"])), ",")
+    return F.array_join(F.sort_array(F.col(f"{col}.name")), ",")
 
 
 def summarize(checked: DataFrame, keys: list[str]) -> DataFrame:
