@@ -127,14 +127,16 @@ def agg_distinct(spark, sf):
     return ev_profile(spark, sf, FULL.with_(exact_distinct=True)).select("column_name", "distinct_count")
 
 
-LOW_CARD = [("event_type", "str"), ("etype_null", "str"), ("etype_empty", "str"), ("date_text", "str"),
-            ("ts_text", "str")]
+def _text(c: str, k: str) -> str:
+    return f"trim({c})" if k == "str" else f"CAST({c} AS VARCHAR)"
 
 
-@query("agg_value_list", "A5", per_column(
-    lambda c, k: f"string_agg(DISTINCT trim({c}), '|' ORDER BY trim({c})) AS value_list", LOW_CARD))
+@query("agg_value_list", "A5", "SELECT * FROM (" + per_column(
+    lambda c, k: f"CASE WHEN count(DISTINCT {_text(c, k)}) <= 30 THEN string_agg(DISTINCT {_text(c, k)}, '|' "
+                 f"ORDER BY {_text(c, k)}) END AS value_list",
+    [(c, k) for c, k in EV_COLUMNS if k in ("str", "num")]) + ") v WHERE value_list IS NOT NULL")
 def agg_value_list(spark, sf):
-    # screened columns only: value lists exist where the distinct estimate is small
+    # value lists exist only for screened columns: at most 2 * max_in_count + 10 distinct values
     return (ev_profile(spark, sf).where(F.col("values").isNotNull())
             .select("column_name", F.array_join("values", "|").alias("value_list")))
 
@@ -184,14 +186,15 @@ def _stats_sql() -> str:
     def sel(c, k):
         v = _val(c, k)
         empty = f"count_if({v} = '')" if k == "str" else "NULL"
-        vals = f"string_agg(DISTINCT {v}, '|' ORDER BY {v})" if k == "str" else "NULL"
+        vals = f"string_agg(DISTINCT {_text(c, k)}, '|' ORDER BY {_text(c, k)})" if k in ("str", "num") else "NULL"
         return (f"'{k}' AS kind, count(*) AS n, count_if({c} IS NULL) AS nulls, {empty} AS empties, "
                 f"count(DISTINCT {v}) AS nd, {vals} AS vals")
     return per_column(sel)
 
 
 def _quoted_list() -> str:
-    return ("(SELECT string_agg('''' || replace(replace(x, '\\', '\\\\'), '''', '''''') || '''', ', ' ORDER BY x) "
+    return ("(SELECT string_agg(CASE WHEN kind = 'num' THEN x ELSE "
+            "'''' || replace(replace(x, '\\', '\\\\'), '''', '''''') || '''' END, ', ' ORDER BY x) "
             "FROM (SELECT unnest(string_split(vals, '|')) AS x))")
 
 
@@ -202,7 +205,7 @@ RULES_DUCK = (
     "UNION ALL SELECT column_name || '_is_not_null_or_empty', '`' || column_name || '` IS NOT NULL AND trim(`' || "
     "column_name || '`) <> ''''', 'not_null_or_empty' FROM s WHERE kind = 'str' AND nulls / n <= 0.01 AND empties / n <= 0.01 "
     "UNION ALL SELECT column_name || '_is_in', '`' || column_name || '` IN (' || " + _quoted_list() + " || ')', 'is_in' "
-    "FROM s WHERE kind = 'str' AND nd <= 10 AND nd / n < 0.05 "
+    "FROM s WHERE kind IN ('str', 'num') AND nd <= 10 AND nd / n < 0.05 "
     "UNION ALL SELECT column_name || '_min_max', '`' || column_name || '` >= ' || CAST(CAST(floor(min_kept) AS BIGINT) AS VARCHAR)"
     " || ' AND `' || column_name || '` <= ' || CAST(CAST(ceil(max_kept) AS BIGINT) AS VARCHAR), 'min_max' FROM b) ")
 
