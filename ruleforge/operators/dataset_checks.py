@@ -126,6 +126,49 @@ _CMP = {
 }
 
 
+@dataclass(frozen=True)
+class AggSpec:
+    groups: tuple
+    agg_expr: Callable[[], Column]
+    compare: Callable[[Column, Column], Column]
+    limit: Any
+    words: str
+    aggr_type: str
+    label: str
+
+
+def _agg_message(spec: AggSpec, val: Column, lim: Column) -> Column:
+    per = (" per group of " + column_label(list(spec.groups))) if spec.groups else ""
+    return F.concat(F.lit(f"{spec.aggr_type.capitalize()} "), F.coalesce(val.cast("string"), F.lit("null")),
+                    F.lit(f" in column '{spec.label}'{per} is {spec.words} limit: "),
+                    F.coalesce(lim.cast("string"), F.lit("null")))
+
+
+def attach_grouped_aggregates(df: DataFrame, ctx: CheckContext, specs: Sequence[AggSpec]
+                              ) -> tuple[DataFrame, list[tuple[Column, Column]]]:
+    """Aggregate checks sharing one ``group_by`` (and filter): one groupBy, one join-back.
+
+    The aggregated side has one row per group, so the join never multiplies
+    input rows; group keys may be NULL (``groupBy`` makes one group of them),
+    so they are matched null-safely.
+    """
+    groups = list(specs[0].groups)
+    gk = [ctx.col(f"g{i}") for i in range(len(groups))]
+    rk = [ctx.col(f"rg{i}") for i in range(len(groups))]
+    vals = [ctx.col(f"agg{j}") for j in range(len(specs))]
+    keyed = {k: to_col(g) for k, g in zip(gk, groups)}
+    agg = (_base(ctx.source.withColumns(keyed), ctx).groupBy(*gk)
+           .agg(*[sp.agg_expr().alias(v) for sp, v in zip(specs, vals)])
+           .select(*[F.col(a).alias(b) for a, b in zip(gk, rk)], *vals))
+    out = _key_join(df.withColumns(keyed), agg, gk, rk, null_safe=True)
+    results = []
+    for sp, v in zip(specs, vals):
+        lim = to_value(sp.limit)
+        fail = _judged(ctx) & F.coalesce(sp.compare(F.col(v), lim), F.lit(False))
+        results.append((fail, _agg_message(sp, F.col(v), lim)))
+    return out, results
+
+
 def _aggr_check(kind: str, column: Any = None, limit: Any = None, aggr_type: str = "count",
                 group_by: Sequence[Any] | None = None) -> DatasetCondition:
     if aggr_type not in _AGGR:
@@ -143,29 +186,21 @@ def _aggr_check(kind: str, column: Any = None, limit: Any = None, aggr_type: str
     def agg_expr() -> Column:
         return _AGGR[aggr_type](to_col(column) if column is not None else None)
 
+    spec = AggSpec(tuple(groups), agg_expr, compare, limit, words, aggr_type, label)
+
     def attach(df: DataFrame, ctx: CheckContext):
-        val = ctx.col("agg")
         if groups:
-            gk = [ctx.col(f"g{i}") for i in range(len(groups))]
-            rk = [ctx.col(f"rg{i}") for i in range(len(groups))]
-            src = df.withColumns({k: to_col(g) for k, g in zip(gk, groups)})
-            agg = (_base(ctx.source.withColumns({k: to_col(g) for k, g in zip(gk, groups)}), ctx).groupBy(*gk).agg(agg_expr().alias(val))
-                   .select(*[F.col(a).alias(b) for a, b in zip(gk, rk)], val))
-            # group keys may be null: groupBy puts nulls in one group, so match null-safely
-            out = _key_join(src, agg, gk, rk, null_safe=True).drop(*rk, *gk)
-        else:
-            scalar = _base(ctx.source, ctx).select(agg_expr().alias(val)).scalar()
-            out = df.withColumn(val, scalar)
+            out, [(fail, msg)] = attach_grouped_aggregates(df, ctx, [spec])
+            return out, fail, msg
+        # no grouping: one value for the whole (filtered) input, as a scalar subquery
+        val = ctx.col("agg")
+        out = df.withColumn(val, _base(ctx.source, ctx).select(agg_expr().alias(val)).scalar())
         lim = to_value(limit)
         fail = _judged(ctx) & F.coalesce(compare(F.col(val), lim), F.lit(False))
-        msg = F.concat(F.lit(f"{aggr_type.capitalize()} "), F.coalesce(F.col(val).cast("string"), F.lit("null")),
-                       F.lit(f" in column '{label}'{(' per group of ' + column_label(groups)) if groups else ''}"
-                             f" is {words} limit: "), F.coalesce(lim.cast("string"), F.lit("null")))
-        return out, fail, msg
+        return out, fail, _agg_message(spec, F.col(val), lim)
 
     share = ("aggr", tuple(str(g) for g in groups)) if groups else None
-    return DatasetCondition(name, attach, share_key=share,
-                            agg_spec=(groups, agg_expr, compare, limit, words, aggr_type, label) if groups else None)
+    return DatasetCondition(name, attach, share_key=share, agg_spec=spec if groups else None)
 
 
 def is_aggr_not_greater_than(column: Any = None, limit: Any = None, aggr_type: str = "count",

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.row_checks import ROW_CHECKS, Condition
-from ..operators.dataset_checks import DATASET_CHECKS, HELPER, CheckContext
+from ..operators.dataset_checks import DATASET_CHECKS, HELPER, CheckContext, attach_grouped_aggregates
 from .rules import select_rules
 
 ISSUE_TYPE = T.StructType([
@@ -86,9 +86,22 @@ def apply_checks(df: DataFrame, rules: Iterable[dict] | DataFrame, refs: dict[st
 
     errors: list[tuple[Column, Column]] = []
     warnings: list[tuple[Column, Column]] = []
+    built = [(rule, *build_condition(rule)) for rule in selected]
+    # aggregate checks over the same groups and filter share one groupBy + join-back
+    shared: dict[tuple, list[int]] = {}
+    for i, (rule, kind, cond) in enumerate(built):
+        if kind == "dataset" and cond.share_key is not None:
+            shared.setdefault((cond.share_key, rule.get("filter") or ""), []).append(i)
+    frozen: dict[int, tuple[Column, Column]] = {}
+
+    def freeze(frame: DataFrame, i: int, fail: Column, message: Column) -> DataFrame:
+        # keep the verdict in helper columns so later joins cannot disturb it
+        flag, text = f"{HELPER}fail_{i}", f"{HELPER}msg_{i}"
+        frozen[i] = (F.col(flag), F.col(text))
+        return frame.withColumns({flag: F.coalesce(fail, F.lit(False)), text: F.when(fail, message)})
+
     out = df
-    for i, rule in enumerate(selected):
-        kind, cond = build_condition(rule)
+    for i, (rule, kind, cond) in enumerate(built):
         filt = F.expr(rule["filter"]) if rule.get("filter") else None
         name = rule.get("name") or cond.name
         if kind == "row":
@@ -97,12 +110,18 @@ def apply_checks(df: DataFrame, rules: Iterable[dict] | DataFrame, refs: dict[st
                 fail = F.coalesce(filt, F.lit(False)) & fail
             message = cond.message
         else:
-            ctx = CheckContext(spark=spark, source=df, refs=refs or {}, filter=filt, tag=str(i))
-            out, fail, message = cond.attach(out, ctx)
-            # freeze the verdict into a helper column so later joins cannot disturb it
-            flag, text = f"{HELPER}fail_{i}", f"{HELPER}msg_{i}"
-            out = out.withColumns({flag: F.coalesce(fail, F.lit(False)), text: F.when(fail, message)})
-            fail, message = F.col(flag), F.col(text)
+            if i not in frozen:
+                ctx = CheckContext(spark=spark, source=df, refs=refs or {}, filter=filt, tag=str(i))
+                members = shared.get((cond.share_key, rule.get("filter") or ""), [i]) \
+                    if cond.share_key is not None else [i]
+                if len(members) > 1:
+                    out, results = attach_grouped_aggregates(out, ctx, [built[m][2].agg_spec for m in members])
+                    for m, (f, msg) in zip(members, results):
+                        out = freeze(out, m, f, msg)
+                else:
+                    out, f, msg = cond.attach(out, ctx)
+                    out = freeze(out, i, f, msg)
+            fail, message = frozen[i]
         item = (fail, _issue(name, message, rule))
         (errors if rule["criticality"] == "error" else warnings).append(item)
 

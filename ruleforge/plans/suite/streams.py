@@ -128,3 +128,21 @@ def custom_rules(spark, sf):
 def rule_custom_union(spark, sf):
     return custom_rules(spark, sf).select("table_name", "name", "criticality", "function",
                                           F.col("arguments")["expression"].alias("expression"), "filter")
+
+
+@query("stream_dataset_per_batch", "T1-T3,G1",
+       oracle("SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM lineitem", LI_KEYS,
+              "n > 1", "order_line_unique"))
+def stream_dataset_per_batch(spark, sf):
+    # dataset-level checks on a stream run per micro-batch (foreachBatch); one file = one batch here
+    from ...streaming.checks import apply_checks_per_batch
+    out = scratch_dir(spark, "stream-batch")
+    rules = [rule("is_unique", "order_line_unique", columns=["l_orderkey", "l_linenumber"])]
+
+    def sink(df, epoch_id):
+        summarize(df, LI_KEYS).drop("warning_checks").write.mode("append").parquet(out + "/data")
+
+    q = (_stream(spark, sf, "lineitem").writeStream.foreachBatch(apply_checks_per_batch(rules, sink))
+         .option("checkpointLocation", out + "/_checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out + "/data")

@@ -103,3 +103,24 @@ def test_results_do_not_depend_on_partitioning(spark):
     a = sorted(summarize(apply_checks(df.repartition(1), rules), ["id"]).collect())
     b = sorted(summarize(apply_checks(df.repartition(7, "v"), rules), ["id"]).collect())
     assert a == b
+
+
+def test_aggregates_with_same_grouping_share_one_join(spark):
+    df = spark.range(0, 3000).select(F.col("id").cast("int").alias("id"), (F.col("id") % 11).alias("g"),
+                                     (F.col("id") % 17).cast("double").alias("v"))
+    rules = [rule("is_aggr_not_greater_than", column="v", aggr_type="avg", group_by=["g"], limit=8),
+             rule("is_aggr_not_less_than", aggr_type="count", group_by=["g"], limit=273),
+             rule("is_aggr_not_equal", column="v", aggr_type="max", group_by=["g"], limit=16)]
+    for i, r in enumerate(rules):
+        r["name"] = f"r{i}"
+    together = apply_checks(df, rules)
+    plan = together._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 1
+    one_by_one = None
+    for r in rules:
+        part = summarize(apply_checks(df, [r]), ["id"]).withColumnRenamed("error_checks", r["name"])
+        one_by_one = part if one_by_one is None else one_by_one.join(part.drop("warning_checks"), "id")
+    got = {row["id"]: row["error_checks"] for row in summarize(together, ["id"]).collect()}
+    for row in one_by_one.collect():
+        names = ",".join(n for n in ["r0", "r1", "r2"] if row[n] is not None) or None
+        assert got[row["id"]] == names
