@@ -260,14 +260,24 @@ PII_PATTERNS = {
 }
 
 
+# A literal every match must contain: checked first (cheap), so the regex runs only where it can match.
+_PII_REQUIRED = {"email": "@", "ipv4": "."}
+
+
+def _pii_hit(text: Column, kind: str) -> Column:
+    hit = text.rlike(PII_PATTERNS[kind])
+    need = _PII_REQUIRED.get(kind)
+    return (F.instr(text, need) > 0) & hit if need else hit
+
+
 def contains_pii(column: Any, kinds: Sequence[str] | None = None) -> Condition:
     """Fails when the text holds any of the fixed personal-data patterns."""
     c = to_col(column).cast("string")
     label = column_label(column)
     kinds = list(kinds or PII_PATTERNS)
-    hits = [F.when(c.rlike(PII_PATTERNS[k]), F.lit(k)) for k in kinds]
-    found = F.concat_ws(",", *hits)
-    fail = any_of(c.rlike(PII_PATTERNS[k]) for k in kinds)
+    hit = {k: _pii_hit(c, k) for k in kinds}
+    found = F.concat_ws(",", *[F.when(hit[k], F.lit(k)) for k in kinds])
+    fail = any_of(hit[k] for k in kinds)
     return Condition(f"{label}_contains_pii", fail,
                      _msg(f"Column '{label}' contains personal data: ", found))
 

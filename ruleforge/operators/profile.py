@@ -126,15 +126,19 @@ def profile(df: DataFrame, options: ProfileOptions | None = None, columns: Seque
     prep = prepare(df, options, columns)
     stats = column_stats(prep, options, table_name)
     limit = _screen_limit(options)
-    screened = [r["column_name"] for r in stats.select("column_name", "approx_distinct", "data_type").collect()
-                if r["approx_distinct"] is not None and (options.exact_distinct or r["approx_distinct"] <= limit)]
+    est = {r["column_name"]: r["approx_distinct"] for r in stats.select("column_name", "approx_distinct").collect()}
+    listed = [c for c, n in est.items() if n is not None and n <= limit]  # small by the estimate
+    screened = [c for c, n in est.items() if n is not None and (options.exact_distinct or n <= limit)]
     counts = value_counts(prep, screened, options)
-    exact = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("exact_distinct"))
-    # value lists only for columns whose exact count is within the bound: no list grows with the data
-    small = exact.where(F.col("exact_distinct") <= F.lit(limit)).select("column_name")
-    lists = (counts.join(small, "column_name", "left_semi").groupBy("column_name")
-             .agg(F.array_sort(F.collect_list("value")).alias("values")))
-    out = stats.join(exact, "column_name", "left").join(lists, "column_name", "left")
+    # one aggregate: exact distinct count for every screened column, value list only for the columns
+    # small by the estimate (their lists are bounded), kept only when the exact count is within the bound
+    in_list = F.col("column_name").isin(listed) if listed else F.lit(False)
+    per_col = counts.groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("exact_distinct"),
+        F.array_sort(F.collect_list(F.when(in_list, F.col("value")))).alias("all_values"))
+    per_col = per_col.select("column_name", "exact_distinct",
+                             F.when(F.col("exact_distinct") <= F.lit(limit), F.col("all_values")).alias("values"))
+    out = stats.join(per_col, "column_name", "left")
     return out.select(
         *[c for c in PROFILE_SCHEMA.fieldNames()],
         F.coalesce(F.col("exact_distinct"),

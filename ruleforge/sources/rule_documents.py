@@ -9,6 +9,7 @@ dropped; a file that does not parse yields a warning row instead of rules.
 from __future__ import annotations
 
 import json
+import re
 from typing import Iterator
 
 import pandas as pd
@@ -45,6 +46,14 @@ def _rules_of(text: str) -> list[dict]:
     return out
 
 
+def _table_of_path(path: str) -> str | None:
+    """The table of a rule file written by ``write_rule_files``: its ``table=<name>`` folder."""
+    from urllib.parse import unquote
+
+    m = re.search(r"/table=([^/]+)/", path or "")
+    return unquote(m.group(1)) if m else None
+
+
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     cols = ["table_name", "name", "criticality", "run_config_name", "function", "for_each_column", "arguments",
             "filter", "user_metadata", "yaml_path", "warning"]
@@ -56,12 +65,13 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             except Exception as e:  # noqa: BLE001 - unreadable file → warning row
                 rows.append([None] * 9 + [path, f"could not load rule document: {type(e).__name__}: {e}"])
                 continue
+            folder_table = _table_of_path(path)
             for r in rules:
                 chk = r.get("check") or {}
                 fec = chk.get("for_each_column")
                 meta = r.get("user_metadata")
                 rows.append([
-                    r.get("table_name"), r.get("name"), r.get("criticality"), r.get("run_config_name"),
+                    r.get("table_name") or folder_table, r.get("name"), r.get("criticality"), r.get("run_config_name"),
                     chk.get("function"),
                     [str(x) for x in fec] if isinstance(fec, list) else None,
                     {str(k): stringify(v) for k, v in (chk.get("arguments") or {}).items()},

@@ -118,3 +118,18 @@ def test_latest_update_flows(spark):
     import pytest
     with pytest.raises(LookupError):
         latest_update_flows(log, ["nope"])
+
+
+def test_rule_files_without_table_name_reload_with_folder_table(spark):
+    from ruleforge.plans import rulegen
+    from ruleforge.operators.options import ProfileOptions
+    out = scratch_dir(spark, "t-notable")
+    settings = rulegen.RulegenSettings(output_format="both", output_yaml=out + "/yaml",
+                                       output_table="rf_test_notable.rules", include_table_name=False,
+                                       table_location=out + "/table")
+    df = spark.createDataFrame([(i, f"s{i % 3}") for i in range(50)], "a int, b string")
+    res = rulegen.run(spark, ["c.s.t"], ProfileOptions(sample_fraction=1.0, limit=None), settings,
+                      reader=lambda t: df)
+    stored = spark.table("rf_test_notable.rules")
+    assert stored.count() > 0 and stored.where("table_name = 'c.s.t'").count() == stored.count()
+    assert {r["status"] for r in res.summary.collect()} == {"ok"}
