@@ -445,23 +445,34 @@ def is_data_fresh_per_time_window(column: Any, window_minutes: int, min_records_
 
 
 def freshness_windows(df: DataFrame, column: Any, window_minutes: int,
-                      min_records_per_window: int | None = None) -> DataFrame:
+                      min_records_per_window: int | None = None, grid_rows_per_partition: int = 100_000) -> DataFrame:
     """Report of every tumbling window between the first and last record, empty ones included.
 
-    The window grid is made from the one-row min/max aggregate with
-    ``sequence`` + ``explode`` (its size grows with the time span, not with the
-    rows), then LEFT-joined to the per-window counts.
+    Per-window counts come from one ``groupBy``; the window grid is a
+    ``spark.range`` over the number of windows (read from the one-row
+    min/max aggregate), spread over partitions, then LEFT-joined to the
+    counts. Its size grows with the time span, not with the rows.
     """
+    spark = df.sparkSession
     ts = to_col(column)
-    step = F.expr(f"INTERVAL {int(window_minutes)} MINUTES")
-    counts = (df.where(ts.isNotNull()).groupBy(_window_start(ts, window_minutes).alias("window_start"))
+    minutes = int(window_minutes)
+    counts = (df.where(ts.isNotNull()).groupBy(_window_start(ts, minutes).alias("window_start"))
               .agg(F.count(F.lit(1)).alias("records")))
-    bounds = counts.agg(F.min("window_start").alias("lo"), F.max("window_start").alias("hi"))
-    grid = bounds.select(F.explode(F.sequence(F.col("lo"), F.col("hi"), step)).alias("window_start"))
-    rep = (grid.join(counts, "window_start", "left")
-           .select("window_start",
-                   (F.col("window_start") + step).alias("window_end"),
-                   F.coalesce(F.col("records"), F.lit(0)).cast("bigint").alias("records")))
+    epoch = F.col("window_start").cast("timestamp").cast("long")
+    lo, hi = counts.agg(F.min(epoch), F.max(epoch)).collect()[0]  # one row: the span
+    ntz = dict(counts.dtypes)["window_start"] == "timestamp_ntz"
+    if lo is None:
+        schema = f"window_start timestamp{'_ntz' if ntz else ''}, window_end timestamp{'_ntz' if ntz else ''}, records bigint"
+        rep = spark.createDataFrame([], schema)
+    else:
+        n = (hi - lo) // (60 * minutes) + 1
+        start = F.timestamp_seconds(F.lit(lo) + F.col("id") * F.lit(60 * minutes))
+        grid = spark.range(0, n, numPartitions=max(1, n // grid_rows_per_partition)).select(
+            (start.cast("timestamp_ntz") if ntz else start).alias("window_start"))
+        step = F.expr(f"INTERVAL {minutes} MINUTES")
+        rep = (grid.join(counts, "window_start", "left")
+               .select("window_start", (F.col("window_start") + step).alias("window_end"),
+                       F.coalesce(F.col("records"), F.lit(0)).cast("bigint").alias("records")))
     if min_records_per_window is not None:
         rep = rep.withColumn("fresh", F.col("records") >= int(min_records_per_window))
     return rep

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .options import ProfileOptions
+from .topk import top_k
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 SIMPLE = NUMERIC + (T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -88,17 +89,17 @@ def limit_rows(df: DataFrame, limit: int | None, key: Sequence[str] = (), seed:
     """At most ``limit`` rows (0 / None = no limit, D8).
 
     Rows are chosen by key order, or by a row hash when there is no key, so the
-    choice is the same on every run and every recomputation (a plain ``limit``
-    may pick other rows after an executor is lost). Spark plans it as a
-    ``TakeOrderedAndProject``: each task keeps its own top ``limit`` rows.
+    choice is the same on every run and every recomputation. ``top_k`` narrows
+    the candidates before the final ordered limit, so no single task receives
+    partitions × limit rows.
     """
     if not limit:
         return df
     if key:
-        order = [F.col(k) for k in key]
-    else:
-        order = [F.xxhash64(F.lit(seed or 0), *[F.col(c) for c in df.columns])]
-    return df.orderBy(*order).limit(int(limit))
+        return top_k(df, [(k, False) for k in key], int(limit))
+    h = "__rf_row_hash"
+    hashed = df.withColumn(h, F.xxhash64(F.lit(seed or 0), *[F.col(c) for c in df.columns]))
+    return top_k(hashed, [(h, False)], int(limit)).drop(h)
 
 
 def prepare(df: DataFrame, options: ProfileOptions, columns: Sequence[str] | None = None) -> DataFrame:
@@ -112,7 +113,13 @@ def prepare(df: DataFrame, options: ProfileOptions, columns: Sequence[str] | Non
     out = hash_sample(df2, options.sample_fraction, options.sample_seed, key)
     if options.trim_strings:
         out = trim_strings(out)
-    out = limit_rows(out, options.limit, key, options.sample_seed)
+    if options.limit:
+        # a few rows: written to the shared checkpoint folder, so every profile job reads them
+        # (not the table again) and a lost executor cannot change which rows were chosen
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        out = limit_rows(out, options.limit, key, options.sample_seed).select(*keep.columns)
+        return out.checkpoint(eager=True)
     return out.select(*keep.columns)
 
 

@@ -133,3 +133,15 @@ def test_rule_files_without_table_name_reload_with_folder_table(spark):
     stored = spark.table("rf_test_notable.rules")
     assert stored.count() > 0 and stored.where("table_name = 'c.s.t'").count() == stored.count()
     assert {r["status"] for r in res.summary.collect()} == {"ok"}
+
+
+def test_top_k_is_exact_when_narrowing(spark):
+    from ruleforge.operators.topk import top_k
+    df = spark.range(0, 60000).select(
+        F.col("id"), F.when(F.col("id") % 97 == 0, None).otherwise((F.col("id") * 7919) % 10007).alias("v"),
+        (F.col("id") % 5).alias("w"))
+    for order in ([("v", False), ("id", False)], [("v", True), ("id", True)], [("w", False), ("id", True)]):
+        cols = [F.col(c).desc() if d else F.col(c).asc() for c, d in order]
+        expect = [tuple(r) for r in df.orderBy(*cols).limit(250).collect()]
+        got = [tuple(r) for r in top_k(df, order, 250, final_rows=100, sample_rows=2000).collect()]
+        assert got == expect, order
