@@ -340,32 +340,36 @@ def compare_report(df: DataFrame, ref: DataFrame, columns: Sequence[Any], ref_co
 
     rk = [f"{HELPER}rk{i}_{tag}" for i in range(len(keys))]
     rv = [f"{HELPER}rv{j}_{tag}" for j in range(len(compared))]
-    nv, ver = f"{HELPER}nv_{tag}", f"{HELPER}ver_{tag}"
+    nv = f"{HELPER}nv_{tag}"
+    rks = [k + "_s" for k in rk]
 
     refv = ref.select(*[F.col(c).alias(k) for c, k in zip(rkeys, rk)],
                       *[F.col(c).alias(v) for c, v in zip(compared, rv)])
     if not null_safe_row_matching:
         refv = refv.where(all_of(F.col(k).isNotNull() for k in rk))
     refv = refv.dropDuplicates()
-    one_per_key = refv.groupBy(*rk).agg(
-        F.count(F.lit(1)).alias(nv),
-        F.min(F.struct(*[F.col(v) for v in rv] or [F.lit(None).alias("_")])).alias(ver))
+    # one row per reference key: its number of distinct versions and, when there is exactly one,
+    # that version's values (hash aggregates and joins on the reference side only)
+    versions = refv.groupBy(*rk).agg(F.count(F.lit(1)).alias(nv))
+    single_keys = versions.where(F.col(nv) == 1).select(*[F.col(a).alias(b) for a, b in zip(rk, rks)])
+    single = _key_join(refv, single_keys, rk, rks, null_safe=True, how="left_semi")
+    one_per_key = _key_join(versions, single.select(*[F.col(a).alias(b) for a, b in zip(rk, rks)], *rv),
+                            rk, rks, null_safe=True).drop(*rks)
 
     joined = _key_join(df, one_per_key, keys, rk, null_safe=null_safe_row_matching)
 
     diffs = []
-    for c, v in zip(compared, rv):
-        a, b = F.col(c), F.col(f"{ver}.{v}")
+    for c, v in sorted(zip(compared, rv)):
+        a, b = F.col(c), F.col(v)
         differ = ~a.eqNullSafe(b) if null_safe_column_value_matching else ~F.coalesce(a == b, F.lit(False))
         diffs.append(F.when(differ, F.lit(c)))
-    changed_list = F.array_compact(F.array(*diffs)) if diffs else F.array().cast("array<string>")
+    changed_text = F.concat_ws(",", *diffs) if diffs else F.lit("")  # sorted names, '' when none
     status = (F.when(F.col(nv).isNull(), F.lit("extra"))
               .when(F.col(nv) > 1, F.lit("ambiguous"))
-              .when(F.size(changed_list) > 0, F.lit("changed"))
+              .when(changed_text != F.lit(""), F.lit("changed"))
               .otherwise(F.lit("matched")))
-    changed = F.when((F.col(nv) == 1) & (F.size(changed_list) > 0),
-                     F.array_join(F.array_sort(changed_list), ","))
-    out = joined.withColumns({status_col: status, changed_col: changed}).drop(*rk, nv, ver)
+    changed = F.when((F.col(nv) == 1) & (changed_text != F.lit("")), changed_text)
+    out = joined.withColumns({status_col: status, changed_col: changed}).drop(*rk, *rv, nv)
 
     if check_missing_records:
         src_keys = (source if source is not None else df).select(*[F.col(c).alias(k) for c, k in zip(keys, rk)])
