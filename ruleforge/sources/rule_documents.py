@@ -81,8 +81,18 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=cols)
 
 
+def _ship_by_value() -> None:
+    # executors may not have this package installed: send the parse function with the task
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def read_rule_documents(spark: SparkSession, path: str, with_warnings: bool = False) -> DataFrame:
     """Rules of every YAML/text file under ``path`` (recursively)."""
+    _ship_by_value()
     files = (spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
              .select(F.input_file_name().alias("path"), "value"))
     docs = files.mapInPandas(_parse, DOC_SCHEMA)
