@@ -63,7 +63,8 @@ def column_stats(prep: DataFrame, options: ProfileOptions, table_name: str | Non
             exprs.append(F.approx_count_distinct(m).alias(f"acd{i}"))
         if is_numeric(f.dataType):
             md = m.cast("double")
-            exprs += [F.min(md).alias(f"min{i}"), F.max(md).alias(f"max{i}"),
+            # "+ 0.0" turns a -0.0 bound into 0.0 (both compare equal; report one spelling)
+            exprs += [(F.min(md) + F.lit(0.0)).alias(f"min{i}"), (F.max(md) + F.lit(0.0)).alias(f"max{i}"),
                       F.avg(md).alias(f"avg{i}"), F.stddev_samp(md).alias(f"sd{i}")]
     row = prep.agg(*exprs).collect()[0].asDict()  # one row: bounded by the schema width
 
@@ -81,7 +82,7 @@ def column_stats(prep: DataFrame, options: ProfileOptions, table_name: str | Non
             band[i] = (lo, hi)
             md = masked(F.col(f.name), f.dataType, options).cast("double")
             kept = F.when((md >= F.lit(lo)) & (md <= F.lit(hi)), md)
-            cond_exprs += [F.min(kept).alias(f"kmin{i}"), F.max(kept).alias(f"kmax{i}")]
+            cond_exprs += [(F.min(kept) + F.lit(0.0)).alias(f"kmin{i}"), (F.max(kept) + F.lit(0.0)).alias(f"kmax{i}")]
         if cond_exprs:
             row.update(prep.agg(*cond_exprs).collect()[0].asDict())
 

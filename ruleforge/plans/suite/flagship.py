@@ -48,3 +48,25 @@ def apply_rules_end_to_end(spark, sf):
                                criticality="warn")
     rules = rules_from_documents(generated) + AUTHORED
     return summarize(apply_checks(orders, rules), ["o_orderkey"])
+
+
+@query("apply_stored_rules", "K1,R6,R7,M4,M5",
+       "SELECT o_orderkey, NULLIF(concat_ws(',', "
+       + ", ".join(f"CASE WHEN {c} < b_{c}.lo OR {c} > b_{c}.hi THEN '{c}_min_max' END" for c in NUMERIC)
+       + "), '') AS warning_checks FROM orders o, " + ", ".join(_band(c) for c in NUMERIC))
+def apply_stored_rules(spark, sf):
+    """Generated rules appended to the rules table, read back from it and applied (the runner's path)."""
+    import uuid
+
+    from ...operators.generate import to_stored_rows
+    from ...session import scratch_dir
+    from ...sinks.rules_table import append_rules
+
+    orders = table(spark, sf, "orders")
+    generated = generate_rules(profile(orders, FLAGSHIP_OPTIONS, table_name="orders"), FLAGSHIP_OPTIONS,
+                               criticality="warn")
+    fqn = f"rf_rules_{uuid.uuid4().hex[:10]}.generated_checks"
+    append_rules(spark, to_stored_rows(generated, "runner", "2024-01-01T00:00:00Z"), fqn,
+                 scratch_dir(spark, "stored-rules"))
+    stored = spark.table(fqn).where("table_name = 'orders'")
+    return summarize(apply_checks(orders, stored), ["o_orderkey"]).drop("error_checks")

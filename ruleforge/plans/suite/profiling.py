@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...operators.generate import generate_rules, to_stored_rows, with_identity
-from ...operators.options import ProfileOptions
+from ...operators.options import FORM_PRESET, ProfileOptions
 from ...operators.prepare import hash_sample, limit_rows, masked, prepare, trim_strings
 from ...operators.profile import histogram_categorical, histogram_numeric, profile
 from . import fixtures as fx
@@ -96,8 +96,8 @@ def _band_sql(c: str) -> str:
 BAND_DUCK = " UNION ALL ".join(_band_sql(c) for c in NUMERIC_COLS)
 
 
-@query("prep_outliers", "P8", "SELECT column_name, CAST(min_kept AS DOUBLE) AS min_kept, "
-       "CAST(max_kept AS DOUBLE) AS max_kept FROM (" + BAND_DUCK + ") b")
+@query("prep_outliers", "P8", "SELECT column_name, CAST(min_kept AS DOUBLE) + 0.0 AS min_kept, "
+       "CAST(max_kept AS DOUBLE) + 0.0 AS max_kept FROM (" + BAND_DUCK + ") b")
 def prep_outliers(spark, sf):
     p = ev_profile(spark, sf)
     return p.where(F.col("data_type").isin("bigint", "double")).select("column_name", "min_kept", "max_kept")
@@ -141,7 +141,7 @@ def agg_value_list(spark, sf):
             .select("column_name", F.array_join("values", "|").alias("value_list")))
 
 
-@query("agg_min_max", "A6", per_column(lambda c, k: f"CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max",
+@query("agg_min_max", "A6", per_column(lambda c, k: f"CAST(min({c}) AS DOUBLE) + 0.0 AS min, CAST(max({c}) AS DOUBLE) + 0.0 AS max",
                                        [(c, "num") for c in NUMERIC_COLS]))
 def agg_min_max(spark, sf):
     return ev_profile(spark, sf).where(F.col("data_type").isin("bigint", "double")).select("column_name", "min", "max")
@@ -198,16 +198,28 @@ def _quoted_list() -> str:
             "FROM (SELECT unnest(string_split(vals, '|')) AS x))")
 
 
-RULES_DUCK = (
-    "WITH s AS (" + _stats_sql() + "), b AS (" + BAND_DUCK + "), r AS ("
-    "SELECT column_name || '_is_not_null' AS name, '`' || column_name || '` IS NOT NULL' AS expression, 'not_null' AS kind "
-    "FROM s WHERE nulls / n <= 0.01 AND NOT (kind = 'str' AND empties / n <= 0.01) "
-    "UNION ALL SELECT column_name || '_is_not_null_or_empty', '`' || column_name || '` IS NOT NULL AND trim(`' || "
-    "column_name || '`) <> ''''', 'not_null_or_empty' FROM s WHERE kind = 'str' AND nulls / n <= 0.01 AND empties / n <= 0.01 "
-    "UNION ALL SELECT column_name || '_is_in', '`' || column_name || '` IN (' || " + _quoted_list() + " || ')', 'is_in' "
-    "FROM s WHERE kind IN ('str', 'num') AND nd <= 10 AND nd / n < 0.05 "
-    "UNION ALL SELECT column_name || '_min_max', '`' || column_name || '` >= ' || CAST(CAST(floor(min_kept) AS BIGINT) AS VARCHAR)"
-    " || ' AND `' || column_name || '` <= ' || CAST(CAST(ceil(max_kept) AS BIGINT) AS VARCHAR), 'min_max' FROM b) ")
+def _raw_bounds_sql() -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS column_name, min({c}) AS min_kept, max({c}) AS max_kept FROM events"
+                              for c in NUMERIC_COLS)
+
+
+def rules_duck(max_null=0.01, max_empty=0.01, max_in=10, ratio=0.05, outliers=True) -> str:
+    """The generated rules of the dirty events frame, computed in SQL for the given thresholds."""
+    return (
+        "WITH s AS (" + _stats_sql() + "), b AS (" + (BAND_DUCK if outliers else _raw_bounds_sql()) + "), r AS ("
+        "SELECT column_name || '_is_not_null' AS name, '`' || column_name || '` IS NOT NULL' AS expression, "
+        f"'not_null' AS kind FROM s WHERE nulls / n <= {max_null} AND NOT (kind = 'str' AND empties / n <= {max_empty}) "
+        "UNION ALL SELECT column_name || '_is_not_null_or_empty', '`' || column_name || '` IS NOT NULL AND trim(`' || "
+        "column_name || '`) <> ''''', 'not_null_or_empty' FROM s "
+        f"WHERE kind = 'str' AND nulls / n <= {max_null} AND empties / n <= {max_empty} "
+        "UNION ALL SELECT column_name || '_is_in', '`' || column_name || '` IN (' || " + _quoted_list() + " || ')', 'is_in' "
+        f"FROM s WHERE kind IN ('str', 'num') AND nd <= {max_in} AND nd / n < {ratio} "
+        "UNION ALL SELECT column_name || '_min_max', '`' || column_name || '` >= ' || "
+        "CAST(CAST(floor(min_kept) AS BIGINT) AS VARCHAR) || ' AND `' || column_name || '` <= ' || "
+        "CAST(CAST(ceil(max_kept) AS BIGINT) AS VARCHAR), 'min_max' FROM b) ")
+
+
+RULES_DUCK = rules_duck()
 
 
 def _rules(spark, sf):
@@ -292,3 +304,12 @@ def rule_summary(spark, sf):
     from ..rulegen import summarize_run
     opts = FULL.with_(profile_types=["double"])
     return summarize_run(R9_TABLES, _generate_for(spark, sf, R9_TABLES, opts), warnings=[])
+
+
+@query("rule_form_preset", "R1-R4,D10", rules_duck(0.05, 0.02, 20, 0.01, outliers=False)
+       + "SELECT name, expression FROM r")
+def rule_form_preset(spark, sf):
+    # the second named preset (the configuration form's defaults), on the whole table
+    opts = FORM_PRESET.with_(sample_fraction=1.0, limit=None)
+    return (generate_rules(profile(fx.events_dirty(spark, sf), opts, table_name="events"), opts)
+            .select("name", F.col("arguments")["expression"].alias("expression")))
