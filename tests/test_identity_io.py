@@ -145,3 +145,39 @@ def test_top_k_is_exact_when_narrowing(spark):
         expect = [tuple(r) for r in df.orderBy(*cols).limit(250).collect()]
         got = [tuple(r) for r in top_k(df, order, 250, final_rows=100, sample_rows=2000).collect()]
         assert got == expect, order
+
+
+def test_authored_rules_survive_table_and_files(spark):
+    from ruleforge import apply_checks
+    from ruleforge.plans.apply import summarize
+    from ruleforge.plans.rules import rules_dataframe, rules_from_documents
+
+    authored = [
+        {"name": "status", "criticality": "warn", "filter": "o_totalprice > 1000",
+         "check": {"function": "is_in_list", "arguments": {"column": "o_orderstatus", "allowed": ["F", "O"]}}},
+        {"name": "price", "criticality": "error", "user_metadata": {"owner": "qa"},
+         "check": {"function": "is_in_range", "arguments": {"column": "o_totalprice", "min_limit": 2000,
+                                                              "max_limit": 300000.5}}},
+        {"name": "cust", "criticality": "error",
+         "check": {"function": "is_aggr_not_greater_than",
+                   "arguments": {"column": "o_orderkey", "aggr_type": "count", "group_by": ["o_custkey"], "limit": 12}}},
+        {"name": "nn", "criticality": "error",
+         "check": {"function": "is_not_null_and_not_empty", "for_each_column": ["o_orderstatus", "o_orderpriority"],
+                   "arguments": {"trim_strings": True}}},
+        {"name": "date", "criticality": "warn",
+         "check": {"function": "is_older_than_n_days", "arguments": {"column": "o_orderdate", "days": 30,
+                                                                       "curr_date": "2001-08-02", "negate": False}}},
+    ]
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    expect = sorted(summarize(apply_checks(orders, authored), ["o_orderkey"]).collect())
+    docs = rules_dataframe(spark, authored, table_name="c.s.orders")
+    # through the rules table
+    fqn = "rf_test_authored.rules"
+    append_rules(spark, to_stored_rows(docs, "me", "2024-01-01T00:00:00Z"), fqn, scratch_dir(spark, "t-auth"))
+    via_table = sorted(summarize(apply_checks(orders, spark.table(fqn)), ["o_orderkey"]).collect())
+    assert via_table == expect
+    # through YAML files
+    out = scratch_dir(spark, "t-auth-yaml")
+    write_rule_files(docs, out)
+    via_files = rules_from_documents(read_rule_documents(spark, out))
+    assert sorted(summarize(apply_checks(orders, via_files), ["o_orderkey"]).collect()) == expect
