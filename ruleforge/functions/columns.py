@@ -97,23 +97,6 @@ def as_list(value: Any) -> list:
     return [value]
 
 
-def quote_ident(name: str) -> str:
-    """Backtick-quote a column name for generated SQL (inner backticks doubled)."""
-    return "`" + name.replace("`", "``") + "`"
-
-
-def sql_literal(value: Any) -> str:
-    """Render a Python value as a Spark SQL literal (quotes and backslashes doubled)."""
-    if value is None:
-        return "NULL"
-    if isinstance(value, bool):
-        return "TRUE" if value else "FALSE"
-    if isinstance(value, (int, float)):
-        return repr(value)
-    text = str(value).replace("\\", "\\\\").replace("'", "''")
-    return f"'{text}'"
-
-
 def all_of(cols: Iterable[Column]) -> Column:
     out = None
     for c in cols:

@@ -29,10 +29,6 @@ def is_string(dt: T.DataType) -> bool:
     return isinstance(dt, (T.StringType, T.VarcharType, T.CharType))
 
 
-def type_name(dt: T.DataType) -> str:
-    return dt.simpleString()
-
-
 def select_columns(df: DataFrame, columns: Sequence[str] | None = None,
                    profile_types: Sequence[str] | None = None) -> DataFrame:
     """P1 + P2: keep the named columns, then only the given Spark type names."""

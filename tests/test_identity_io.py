@@ -98,6 +98,8 @@ def test_preview_and_export(spark):
     df = spark.createDataFrame([(i, i % 3, f"t{i}") for i in range(20)], "a int, b int, c string")
     assert [r["a"] for r in preview(df, "a,b", where="b = 1", order_by="a desc", limit=3).collect()] == [19, 16, 13]
     assert len(parse_order(["x ASC", "y", "z Desc"])) == 3
+    from ruleforge.plans.preview import preview_schema
+    assert preview_schema(df)[0] == {"name": "a", "type": "int", "nullable": True}
     out = export_preview(preview(df, None, order_by="a", limit=5), scratch_dir(spark, "t-csv"), "csv")
     back = spark.read.option("header", True).csv(out)
     assert back.columns == ["a", "b", "c"] and back.count() == 5
@@ -181,3 +183,33 @@ def test_authored_rules_survive_table_and_files(spark):
     write_rule_files(docs, out)
     via_files = rules_from_documents(read_rule_documents(spark, out))
     assert sorted(summarize(apply_checks(orders, via_files), ["o_orderkey"]).collect()) == expect
+
+
+def test_argument_text_property(spark):
+    """Spark's argument typing equals the Python typing on arbitrary texts."""
+    from hypothesis import given, settings, strategies as st
+
+    keys = ["negate", "days", "columns", "props", "expression", "limit"]
+    pieces = st.sampled_from([" ", ",", "[", "]", "{", "}", '"a"', "1", "yes", "x", ":", "null", "2.5", "-3"])
+    texts = st.lists(pieces, max_size=6).map("".join)
+    cases = []
+
+    @settings(max_examples=150, deadline=None)
+    @given(st.sampled_from(keys), texts)
+    def collect(k, v):
+        cases.append((k, v))
+
+    collect()
+    df = spark.createDataFrame(cases, "k string, v string").select(
+        "k", "v", argument_text(F.col("k"), F.col("v")).alias("t"))
+    for r in df.collect():
+        py = stringify(parse_argument(r["k"], r["v"]))
+        if r["k"] in ("props", "expression", "limit", "columns") and r["v"].strip()[:1] in "[{":
+            # JSON texts: both sides give the same compact JSON when the text parses; Python's and
+            # Spark's number spellings may differ (1e3 vs 1000.0), so compare parsed values
+            try:
+                assert json.loads(r["t"]) == json.loads(py)
+            except ValueError:
+                assert r["t"] == py
+            continue
+        assert r["t"] == py, (r["k"], r["v"], r["t"], py)
