@@ -53,7 +53,8 @@ class RulegenSettings:
 @dataclass
 class RunResult:
     rules: DataFrame
-    summary: DataFrame
+    summary: DataFrame  # one row per table: checks and status
+    overview: DataFrame | None = None  # one row: the run's totals, outputs, files and warnings
     written_files: list = field(default_factory=list)
     warnings: list = field(default_factory=list)
 
@@ -139,4 +140,24 @@ def run(spark: SparkSession, tables: Sequence[str], options: ProfileOptions, set
         stored = to_stored_rows(reloaded, settings.created_by, created_at, yaml_path=F.col("yaml_path"),
                                 generator_meta=meta)
         append_rules(spark, stored, settings.output_table, settings.table_location)
-    return RunResult(rules, summarize_run(tables, rules, warnings), written, warnings)
+    summary = summarize_run(tables, rules, warnings)
+    return RunResult(rules, summary, run_overview(spark, tables, summary, settings, written, warnings),
+                     [written] if written else [], warnings)
+
+
+def run_overview(spark: SparkSession, tables: Sequence[str], summary: DataFrame, settings: RulegenSettings,
+                 written_dir: str | None, warnings: Sequence[str], errors: Sequence[str] = ()) -> DataFrame:
+    """One row with the run's tables, total checks (every sink counted), outputs, files and warnings."""
+    totals = summary.agg(F.coalesce(F.sum("checks"), F.lit(0)).cast("bigint").alias("total_checks"))
+    if written_dir:  # part files of the per-table folders: a scalar subquery, no join
+        files = (spark.read.text(written_dir).select(F.input_file_name().alias("f")).distinct()
+                 .agg(F.sort_array(F.collect_list("f")).alias("written_files")).scalar())
+    else:
+        files = F.array().cast("array<string>")
+    return totals.withColumn("written_files", files).select(
+        F.array(*[F.lit(t) for t in tables]).cast("array<string>").alias("tables"), "total_checks",
+        F.lit(settings.output_format).alias("output_format"),
+        F.lit(settings.output_yaml).cast("string").alias("output_yaml"),
+        F.lit(settings.output_table).cast("string").alias("output_table"), "written_files",
+        F.array(*[F.lit(w) for w in warnings]).cast("array<string>").alias("warnings"),
+        F.array(*[F.lit(e) for e in errors]).cast("array<string>").alias("errors"))

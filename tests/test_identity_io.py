@@ -213,3 +213,23 @@ def test_argument_text_property(spark):
                 assert r["t"] == py
             continue
         assert r["t"] == py, (r["k"], r["v"], r["t"], py)
+
+
+def test_run_overview_and_failed_table(spark):
+    from ruleforge.operators.options import ProfileOptions
+    from ruleforge.plans import rulegen
+    out = scratch_dir(spark, "t-run")
+    settings = rulegen.RulegenSettings(output_format="yaml", output_yaml=out)
+    good = spark.createDataFrame([(i, f"s{i % 3}") for i in range(40)], "a int, b string")
+
+    def reader(t):
+        if t == "c.s.bad":
+            raise RuntimeError("cannot read")
+        return good
+    res = rulegen.run(spark, ["c.s.good", "c.s.bad"], ProfileOptions(sample_fraction=1.0, limit=None), settings,
+                      reader=reader)
+    status = {r["table_name"]: r["status"] for r in res.summary.collect()}
+    assert status == {"c.s.good": "ok", "c.s.bad": "failed"}
+    ov = res.overview.collect()[0]
+    assert ov["total_checks"] == res.rules.count() > 0
+    assert len(ov["written_files"]) >= 1 and len(ov["warnings"]) == 1 and ov["output_format"] == "yaml"
