@@ -299,7 +299,20 @@ def rule_empty_tables(spark, sf):
     return tables.join(rules.select("table_name").distinct(), "table_name", "left_anti")
 
 
-@query("rule_summary", "R10")
+# Fixed schema facts: the double columns of the R9/R10 tables.
+R10_DOUBLES = [("supplier", "s_acctbal"), ("orders", "o_totalprice"), ("part", "p_retailprice")]
+R10_DUCK = (
+    "WITH st AS (" + " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, count(*) AS n, count_if({c} IS NULL) AS nulls, count(DISTINCT {c}) AS nd, "
+        f"count({c}) AS nn FROM {t}" for t, c in R10_DOUBLES)
+    + "), c AS (SELECT table_name, sum(CAST(nulls / n <= 0.01 AS INTEGER) + CAST(nd <= 10 AND nd / n < 0.05 AS INTEGER)"
+    " + CAST(nn > 0 AS INTEGER)) AS checks FROM st GROUP BY table_name) "
+    "SELECT t.table_name, CAST(coalesce(c.checks, 0) AS BIGINT) AS checks, "
+    "CASE WHEN coalesce(c.checks, 0) = 0 THEN 'no checks' ELSE 'ok' END AS status FROM (VALUES "
+    + ", ".join(f"('{t}')" for t in R9_TABLES) + ") t(table_name) LEFT JOIN c ON t.table_name = c.table_name")
+
+
+@query("rule_summary", "R10", R10_DUCK)
 def rule_summary(spark, sf):
     from ..rulegen import summarize_run
     opts = FULL.with_(profile_types=["double"])
