@@ -84,18 +84,19 @@ def trim_strings(df: DataFrame) -> DataFrame:
 def limit_rows(df: DataFrame, limit: int | None, key: Sequence[str] = (), seed: int | None = None) -> DataFrame:
     """At most ``limit`` rows (0 / None = no limit, D8).
 
-    Rows are chosen by key order, or by a row hash when there is no key, so the
-    choice is the same on every run and every recomputation. ``top_k`` narrows
-    the candidates before the final ordered limit, so no single task receives
-    partitions × limit rows.
+    With a key the rows are the first ``limit`` in key order, exactly and the
+    same on every run; ``top_k`` narrows the candidates first, so no single task
+    receives partitions × limit rows. Without a key they are the first rows
+    read (the option's meaning): a plain limit, where each task stops after
+    ``limit`` rows and the final task reads about ``limit`` rows, so a huge
+    table is not read in full for a small profile. ``prepare`` checkpoints the
+    result, so every job of one run sees the same rows.
     """
     if not limit:
         return df
     if key:
         return top_k(df, [(k, False) for k in key], int(limit))
-    h = "__rf_row_hash"
-    hashed = df.withColumn(h, F.xxhash64(F.lit(seed or 0), *[F.col(c) for c in df.columns]))
-    return top_k(hashed, [(h, False)], int(limit)).drop(h)
+    return df.limit(int(limit))
 
 
 def prepare(df: DataFrame, options: ProfileOptions, columns: Sequence[str] | None = None) -> DataFrame:

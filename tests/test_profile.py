@@ -74,10 +74,17 @@ def test_sample_and_limit_are_repeatable(spark):
     a = hash_sample(df.repartition(3), 0.2, 11).select("id").collect()
     b = hash_sample(df.repartition(8), 0.2, 11).select("id").collect()
     assert sorted(a) == sorted(b) and 700 < len(a) < 1300
-    opts = ProfileOptions(sample_fraction=0.5, sample_seed=3, limit=100)
-    x = sorted(prepare(df.repartition(2), opts).collect())
-    y = sorted(prepare(df.repartition(5), opts).collect())
+    # with a key: the first rows in key order, whatever the partitioning
+    keyed = ProfileOptions(sample_fraction=0.5, sample_seed=3, limit=100, sample_key=("id",))
+    x = sorted(prepare(df.repartition(2), keyed).collect())
+    y = sorted(prepare(df.repartition(5), keyed).collect())
     assert x == y and len(x) == 100
+    # without a key: any 100 of the sampled rows, fixed for the run (checkpointed)
+    plain = ProfileOptions(sample_fraction=0.5, sample_seed=3, limit=100)
+    sampled = {tuple(r) for r in hash_sample(df, 0.5, 3).collect()}
+    got = prepare(df.repartition(4), plain)
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == 100 and set(rows) <= sampled and rows == [tuple(r) for r in got.collect()]
 
 
 def test_generated_rules_hold_on_their_own_data(spark):
