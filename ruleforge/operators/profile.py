@@ -44,6 +44,9 @@ PROFILE_SCHEMA = T.StructType([
 ])
 
 
+STATS_CHUNK = 128  # columns per statistics aggregate
+
+
 def _screen_limit(options: ProfileOptions) -> int:
     return 2 * int(options.max_in_count) + 10
 
@@ -52,21 +55,25 @@ def column_stats(prep: DataFrame, options: ProfileOptions, table_name: str | Non
     """Jobs 1 and 2a: one row of statistics per column (no value lists)."""
     spark: SparkSession = prep.sparkSession
     fields = prep.schema.fields
-    exprs = [F.count(F.lit(1)).alias("n")]
-    for i, f in enumerate(fields):
-        c = F.col(f.name)
-        m = masked(c, f.dataType, options)
-        exprs.append(F.count_if(c.isNull()).alias(f"nul{i}"))
-        if is_string(f.dataType):
-            exprs.append(F.count_if(c == F.lit("")).alias(f"emp{i}"))
-        if isinstance(f.dataType, SIMPLE):
-            exprs.append(F.approx_count_distinct(m).alias(f"acd{i}"))
-        if is_numeric(f.dataType):
-            md = m.cast("double")
-            # "+ 0.0" turns a -0.0 bound into 0.0 (both compare equal; report one spelling)
-            exprs += [(F.min(md) + F.lit(0.0)).alias(f"min{i}"), (F.max(md) + F.lit(0.0)).alias(f"max{i}"),
-                      F.avg(md).alias(f"avg{i}"), F.stddev_samp(md).alias(f"sd{i}")]
-    row = prep.agg(*exprs).collect()[0].asDict()  # one row: bounded by the schema width
+    row: dict = {}
+    # very wide tables: one aggregate per chunk of columns keeps each aggregate small enough for
+    # code generation; parquet reads only the chunk's columns, so the chunks add no IO
+    for lo in range(0, max(len(fields), 1), STATS_CHUNK):
+        exprs = [F.count(F.lit(1)).alias("n")]
+        for i, f in enumerate(fields[lo:lo + STATS_CHUNK], start=lo):
+            c = F.col(f.name)
+            m = masked(c, f.dataType, options)
+            exprs.append(F.count_if(c.isNull()).alias(f"nul{i}"))
+            if is_string(f.dataType):
+                exprs.append(F.count_if(c == F.lit("")).alias(f"emp{i}"))
+            if isinstance(f.dataType, SIMPLE):
+                exprs.append(F.approx_count_distinct(m).alias(f"acd{i}"))
+            if is_numeric(f.dataType):
+                md = m.cast("double")
+                # "+ 0.0" turns a -0.0 bound into 0.0 (both compare equal; report one spelling)
+                exprs += [(F.min(md) + F.lit(0.0)).alias(f"min{i}"), (F.max(md) + F.lit(0.0)).alias(f"max{i}"),
+                          F.avg(md).alias(f"avg{i}"), F.stddev_samp(md).alias(f"sd{i}")]
+        row.update(prep.agg(*exprs).collect()[0].asDict())  # one row: bounded by the chunk width
 
     outlier_set = set(options.outlier_columns or [])
     band = {}

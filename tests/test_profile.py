@@ -100,3 +100,18 @@ def test_generated_rules_hold_on_their_own_data(spark):
 def test_form_preset_differs():
     assert FORM_PRESET.max_in_count == 20 and FORM_PRESET.remove_outliers is False
     assert ProfileOptions.from_dict({"max_in_count": 3, "unknown": 1, "outlier_columns": ["a"]}).outlier_columns == ("a",)
+
+
+def test_wide_table_profile_in_chunks(spark):
+    import ruleforge.operators.profile as prof
+    df = spark.range(0, 300).select(*[((F.col("id") * (i + 1)) % (i + 3)).alias(f"c{i}") for i in range(12)])
+    old = prof.STATS_CHUNK
+    try:
+        prof.STATS_CHUNK = 5
+        chunked = {r["column_name"]: (r["null_count"], r["min"], r["max"], r["distinct_count"])
+                   for r in profile(df, FULL, table_name="w").collect()}
+    finally:
+        prof.STATS_CHUNK = old
+    whole = {r["column_name"]: (r["null_count"], r["min"], r["max"], r["distinct_count"])
+             for r in profile(df, FULL, table_name="w").collect()}
+    assert chunked == whole and len(whole) == 12
