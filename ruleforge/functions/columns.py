@@ -37,6 +37,10 @@ def to_value(value: Any) -> Column:
     if isinstance(value, _dt.date):
         return F.lit(value.isoformat()).cast("date")
     if isinstance(value, str):
+        text = value.strip()
+        if _looks_like_timestamp(text):
+            # no identifier looks like a date: '2024-01-31' is a date, not 2024 - 1 - 31
+            return F.lit(text).cast("date") if len(text) == 10 else timestamp_lit(text.replace("T", " "))
         return F.expr(value)
     if value is None:
         return F.lit(None)

@@ -137,3 +137,10 @@ def test_result_shape(spark):
     assert row["_warnings"] is None
     issue = row["_errors"][0]
     assert issue["name"] == "r" and issue["function"] == "is_not_null" and issue["user_metadata"] == {"team": "qa"}
+
+
+def test_date_text_limits_are_literals(spark):
+    rows = [(1, dt.date(2024, 1, 5)), (2, dt.date(2024, 2, 5))]
+    assert run(spark, rows, "id int, v date", "is_not_greater_than", column="v", limit="2024-01-31") == [False, True]
+    assert run(spark, rows, "id int, v date", "is_in_range", column="v", min_limit="2024-01-01",
+               max_limit="2024-01-31 00:00:00") == [False, True]
