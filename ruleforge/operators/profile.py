@@ -87,6 +87,10 @@ def column_stats(prep: DataFrame, options: ProfileOptions, table_name: str | Non
                 continue
             lo, hi = mean - options.num_sigmas * sd, mean + options.num_sigmas * sd
             band[i] = (lo, hi)
+            if row[f"min{i}"] >= lo and row[f"max{i}"] <= hi:
+                # nothing lies outside the band: the kept bounds are the raw ones, no second pass
+                row[f"kmin{i}"], row[f"kmax{i}"] = row[f"min{i}"], row[f"max{i}"]
+                continue
             md = masked(F.col(f.name), f.dataType, options).cast("double")
             kept = F.when((md >= F.lit(lo)) & (md <= F.lit(hi)), md)
             cond_exprs += [(F.min(kept) + F.lit(0.0)).alias(f"kmin{i}"), (F.max(kept) + F.lit(0.0)).alias(f"kmax{i}")]
