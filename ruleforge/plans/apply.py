@@ -82,7 +82,9 @@ def apply_checks(df: DataFrame, rules: Iterable[dict] | DataFrame, refs: dict[st
         rules = rules_from_table(rules)
     spark = spark or df.sparkSession
     selected = select_rules(rules, run_config_name)
-    original = df.columns
+    # issues from an earlier run on the same frame are kept and extended, not duplicated
+    earlier = [c for c in (ERRORS, WARNINGS) if c in df.columns]
+    original = [c for c in df.columns if c not in earlier]
 
     errors: list[tuple[Column, Column]] = []
     warnings: list[tuple[Column, Column]] = []
@@ -125,12 +127,19 @@ def apply_checks(df: DataFrame, rules: Iterable[dict] | DataFrame, refs: dict[st
         item = (fail, _issue(name, message, rule))
         (errors if rule["criticality"] == "error" else warnings).append(item)
 
-    keep = [c for c in out.columns if not c.startswith(HELPER)]
+    keep = [c for c in out.columns if not c.startswith(HELPER) and c not in earlier]
     extra = [c for c in keep if c not in original]  # e.g. nothing today; kept for safety
     # two projections: the arrays are built once, then NULL-ed when empty (an alias used
     # twice is not inlined, so no message is evaluated for rows that pass)
+    def combined(col: str, items: list) -> Column:
+        new = _collect(items)
+        if col not in earlier:
+            return new
+        return F.concat(F.coalesce(F.col(col), F.array().cast(T.ArrayType(ISSUE_TYPE))), new) if items \
+            else F.coalesce(F.col(col), F.array().cast(T.ArrayType(ISSUE_TYPE)))
+
     arrays = out.select(*[F.col(c) for c in original + extra],
-                        _collect(errors).alias(f"{HELPER}e"), _collect(warnings).alias(f"{HELPER}w"))
+                        combined(ERRORS, errors).alias(f"{HELPER}e"), combined(WARNINGS, warnings).alias(f"{HELPER}w"))
     return arrays.select(*[F.col(c) for c in original + extra],
                          _null_if_empty(f"{HELPER}e").alias(ERRORS), _null_if_empty(f"{HELPER}w").alias(WARNINGS))
 

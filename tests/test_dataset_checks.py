@@ -124,3 +124,34 @@ def test_aggregates_with_same_grouping_share_one_join(spark):
     for row in one_by_one.collect():
         names = ",".join(n for n in ["r0", "r1", "r2"] if row[n] is not None) or None
         assert got[row["id"]] == names
+
+
+def test_compare_exclude_and_null_keys(spark):
+    src = spark.createDataFrame([(1, "a", 1.0), (None, "n", 2.0), (3, "c", 3.0)], "k int, s string, v double")
+    ref = spark.createDataFrame([(1, "A", 1.0), (None, "n", 2.0), (3, "c", 4.0)], "k int, s string, v double")
+    rep = {r["s"]: (r["_compare_status"], r["_changed_columns"])
+           for r in compare_report(src, ref, ["k"], ["k"], exclude_columns=["s"]).collect()}
+    assert rep == {"a": ("matched", None), "n": ("matched", None), "c": ("changed", "v")}
+    strict = {r["s"]: r["_compare_status"]
+              for r in compare_report(src, ref, ["k"], ["k"], null_safe_row_matching=False,
+                                      check_missing_records=True).collect()}
+    assert strict["n"] == "extra"  # a NULL key matches nothing when nulls are not equal
+    assert sorted(r["_compare_status"] for r in compare_report(src, ref, ["k"], ["k"], null_safe_row_matching=False,
+                                                               check_missing_records=True).collect()).count("missing") == 1
+
+
+def test_foreign_key_by_table_name(spark):
+    from ruleforge.plans.suite.io import register_tables
+    tag = register_tables(spark, "/root/testdata/sf0.001")
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    r = rule("foreign_key", columns=["l_orderkey"], ref_columns=["o_orderkey"],
+             ref_table=f"spark_catalog.{tag}_fact.orders")
+    out = apply_checks(li, [r])
+    assert out.count() == li.count() and out.where("_errors IS NOT NULL").count() == 0
+
+
+def test_sql_query_negate(spark):
+    df = spark.createDataFrame([(1, 5), (2, 50)], "id int, v int")
+    q = "SELECT id, v > 10 AS ok FROM {{ t }}"
+    r = rule("sql_query", query=q, merge_columns=["id"], condition_column="ok", input_placeholder="t", negate=True)
+    assert flags(df, [r]) == [True, False]

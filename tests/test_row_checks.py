@@ -144,3 +144,14 @@ def test_date_text_limits_are_literals(spark):
     assert run(spark, rows, "id int, v date", "is_not_greater_than", column="v", limit="2024-01-31") == [False, True]
     assert run(spark, rows, "id int, v date", "is_in_range", column="v", min_limit="2024-01-01",
                max_limit="2024-01-31 00:00:00") == [False, True]
+
+
+def test_checking_twice_extends_issues(spark):
+    df = spark.createDataFrame([(1, None), (2, "x")], "id int, v string")
+    r1 = {"name": "a", "criticality": "error", "check": {"function": "is_not_null", "arguments": {"column": "v"}}}
+    r2 = {"name": "b", "criticality": "warn", "check": {"function": "is_in_list",
+                                                        "arguments": {"column": "v", "allowed": ["y"]}}}
+    twice = apply_checks(apply_checks(df, [r1]), [r2])
+    assert twice.columns == ["id", "v", "_errors", "_warnings"]
+    got = summarize(twice, ["id"]).orderBy("id").collect()
+    assert [(r["error_checks"], r["warning_checks"]) for r in got] == [("a", None), (None, "b")]
