@@ -151,13 +151,51 @@ def profile(df: DataFrame, options: ProfileOptions | None = None, columns: Seque
     per_col = per_col.select("column_name", "exact_distinct",
                              F.when(F.col("exact_distinct") <= F.lit(limit), F.col("all_values")).alias("values"))
     out = stats.join(per_col, "column_name", "left")
-    return out.select(
-        *[c for c in PROFILE_SCHEMA.fieldNames()],
-        F.coalesce(F.col("exact_distinct"),
-                   F.when(F.col("column_name").isin(screened) if screened else F.lit(False), F.lit(0)),
-                   F.col("approx_distinct")).cast("bigint").alias("distinct_count"),
-        (F.col("column_name").isin(screened) if screened else F.lit(False)).alias("distinct_exact"),
-        F.col("values"))
+    cols = [*[c for c in PROFILE_SCHEMA.fieldNames()],
+            F.coalesce(F.col("exact_distinct"),
+                       F.when(F.col("column_name").isin(screened) if screened else F.lit(False), F.lit(0)),
+                       F.col("approx_distinct")).cast("bigint").alias("distinct_count"),
+            (F.col("column_name").isin(screened) if screened else F.lit(False)).alias("distinct_exact"),
+            F.col("values")]
+    if options.include_histograms:
+        out = out.join(histograms(prep, stats, counts, listed, options), "column_name", "left")
+        cols.append(F.col("histogram"))
+    return out.select(*cols)
+
+
+def histograms(prep: DataFrame, stats: DataFrame, counts: DataFrame, listed: Sequence[str],
+               options: ProfileOptions) -> DataFrame:
+    """A9 inside the profile: ``histogram map<string,bigint>`` per column.
+
+    Columns with a value list (few values) get their value frequencies, taken
+    from the value counts already computed. Other numeric columns get
+    ``histogram_bins`` equal-width buckets over their [min, max] (bucket start
+    as the key), from one unpivot + ``groupBy`` over all of them.
+    """
+    spark = prep.sparkSession
+    categorical = (counts.where(F.col("column_name").isin(list(listed)) if listed else F.lit(False))
+                   .groupBy("column_name")
+                   .agg(F.map_from_entries(F.collect_list(F.struct("value", "count"))).alias("histogram")))
+    bounds = {r["column_name"]: (r["min"], r["max"]) for r in
+              stats.where(F.col("min").isNotNull()).select("column_name", "min", "max").collect()}
+    numeric = [c for c in bounds if c not in set(listed)]
+    if not numeric:
+        return categorical
+    types = {f.name: f.dataType for f in prep.schema.fields}
+    bins = int(options.histogram_bins)
+    cells = []
+    for c in numeric:
+        lo, hi = bounds[c]
+        width = (hi - lo) / bins if hi > lo else 1.0
+        v = masked(F.col(c), types[c], options).cast("double")
+        b = F.least(F.greatest(F.floor((v - F.lit(lo)) / F.lit(width)), F.lit(0)), F.lit(bins - 1))
+        cells.append(F.struct(F.lit(c).alias("column_name"),
+                              F.when(v.isNotNull(), F.lit(lo) + b * F.lit(width)).alias("bucket_start")))
+    per_bucket = (prep.select(F.inline(F.array(*cells))).where(F.col("bucket_start").isNotNull())
+                  .groupBy("column_name", "bucket_start").agg(F.count(F.lit(1)).alias("count")))
+    numeric_h = per_bucket.groupBy("column_name").agg(F.map_from_entries(F.collect_list(
+        F.struct(F.col("bucket_start").cast("string"), F.col("count")))).alias("histogram"))
+    return categorical.unionByName(numeric_h)
 
 
 def histogram_categorical(df: DataFrame, columns: Sequence[str], options: ProfileOptions | None = None,

@@ -115,3 +115,15 @@ def test_wide_table_profile_in_chunks(spark):
     whole = {r["column_name"]: (r["null_count"], r["min"], r["max"], r["distinct_count"])
              for r in profile(df, FULL, table_name="w").collect()}
     assert chunked == whole and len(whole) == 12
+
+
+def test_profile_histograms(spark):
+    df = spark.createDataFrame([("A", float(i % 10), i * 1.5) for i in range(300)] + [("B", 50.0, 7.0)] * 20
+                               + [("C", 99.0, 8.0)] * 5, "status string, v double, w double")
+    opts = FULL.with_(include_histograms=True, histogram_bins=4, remove_outliers=False)
+    h = {r["column_name"]: r["histogram"] for r in profile(df, opts, table_name="t").collect()}
+    assert h["status"] == {"A": 300, "B": 20, "C": 5}
+    # few values: frequencies per value; many values: equal-width buckets over [min, max]
+    assert len(h["v"]) == 12 and h["v"]["50.0"] == 20
+    assert sum(h["w"].values()) == 325 and len(h["w"]) == 4 and h["w"]["0.0"] == 75 + 25
+    assert "histogram" not in profile(df, FULL, table_name="t").columns
