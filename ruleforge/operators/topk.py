@@ -3,21 +3,20 @@
 Spark plans ``orderBy(...).limit(n)`` as ``TakeOrderedAndProject``: every
 partition keeps its own n best rows and all of them go to a single task. On
 a table split into hundreds of thousands of partitions that task receives
-partitions × n rows. ``top_k`` first narrows the candidates with a threshold
-on the first sort column:
-
-1. count the candidates; if at most ``final_rows``, stop;
-2. draw a bounded random sample of the first sort column (at most
-   ``sample_rows`` values reach the driver), pick the value whose rank in the
-   sample corresponds to about ``2n`` rows of the candidates, and keep
-   candidates up to that value (ties included; NULLs where they sort first);
-3. if fewer than n candidates remain, widen the rank and retry; the result
-   is never cut short.
-
-The filter is a plain comparison, so it reaches the scan as a pushed filter;
-the final ordered limit then runs on about 2n rows. When the first column
-has too few distinct values to narrow the candidates, it falls back to
-Spark's ordered limit.
+partitions × n rows. ``top_k`` narrows the candidates first:
+
+1. count the candidates; at most ``final_rows`` → plain ordered limit;
+2. from a bounded random sample of the first sort column (at most about
+   ``sample_rows`` values reach the driver) pick a value q whose rank stands
+   for about ``2n`` candidates;
+3. count the rows strictly before q (``m``). If ``m >= n`` the answer lies
+   among them: narrow to them and repeat. Otherwise the answer is those m rows
+   plus the best ``n - m`` rows among the ties ``= q``, found by the same
+   procedure on the remaining sort columns (when there are none, any
+   ``n - m`` ties are equally right).
+
+Every filter is a plain comparison on one column, pushed into the scan; the
+final ordered limit runs on at most ``final_rows`` rows. The result is exact.
 """
 
 from __future__ import annotations
@@ -28,49 +27,66 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _first_key(order: Sequence[tuple[str, bool]]) -> tuple[str, bool]:
-    if not order:
-        raise ValueError("top_k needs an ordering")
-    return order[0]
-
-
 def order_columns(order: Sequence[tuple[str, bool]]) -> list[Column]:
     return [F.col(c).desc() if desc else F.col(c).asc() for c, desc in order]
 
 
-def top_k(df: DataFrame, order: Sequence[tuple[str, bool]], n: int, final_rows: int = 1_000_000,
-          sample_rows: int = 20_000, max_rounds: int = 6, seed: int = 17) -> DataFrame:
-    """The first ``n`` rows of ``df`` ordered by ``order`` = [(column, descending), ...].
+def _before(col: str, desc: bool, q) -> Column:
+    """Rows sorting strictly before q (ascending: NULLs first; descending: NULLs last)."""
+    c = F.col(col)
+    return (c > F.lit(q)) if desc else (c.isNull() | (c < F.lit(q)))
+
+
+def _threshold(cand: DataFrame, col: str, desc: bool, total: int, n: int, sample_rows: int, seed: int,
+               factor: float):
+    frac = min(1.0, sample_rows / max(total, 1))
+    values = sorted(r[0] for r in cand.where(F.rand(seed) < frac).where(F.col(col).isNotNull())
+                    .select(col).collect())  # at most ~sample_rows values
+    if not values:
+        return None
+    want = min(len(values), max(1, int(factor * n * len(values) / total) + 1))
+    return values[want - 1] if not desc else values[len(values) - want]
+
 
-    Ascending sorts put NULLs first and descending sorts put them last (Spark's defaults).
-    """
+def top_k(df: DataFrame, order: Sequence[tuple[str, bool]], n: int, final_rows: int = 1_000_000,
+          sample_rows: int = 20_000, max_rounds: int = 8, seed: int = 17) -> DataFrame:
+    """The first ``n`` rows of ``df`` ordered by ``order`` = [(column, descending), ...]."""
+    if not order:
+        raise ValueError("top_k needs an ordering")
     n = int(n)
-    col, desc = _first_key(order)
-    cand = df
-    total = cand.count()
-    rank_factor = 2.0
-    for _ in range(max_rounds):
+    return _top_k(df, list(order), n, df.count(), final_rows, sample_rows, max_rounds, seed)
+
+
+def _top_k(cand: DataFrame, order: list, n: int, total: int, final_rows: int, sample_rows: int,
+           rounds: int, seed: int) -> DataFrame:
+    full = order_columns(order)
+    if n <= 0:
+        return cand.limit(0)
+    factor = 2.0
+    for _ in range(rounds):
         if total <= max(final_rows, n):
+            return cand.orderBy(*full).limit(n)
+        col, desc = order[0]
+        q = _threshold(cand, col, desc, total, n, sample_rows, seed, factor)
+        if q is None:  # only NULLs in the first column: they all tie
             break
-        frac = min(1.0, sample_rows / total)
-        values = sorted(r[0] for r in cand.where(F.rand(seed) < frac).where(F.col(col).isNotNull())
-                        .select(col).collect())  # at most ~sample_rows values
-        nulls_first = not desc
-        if not values:
-            break
-        want = max(1, int(rank_factor * n * len(values) / total) + 1)
-        if want >= len(values):
-            break
-        q = values[want - 1] if not desc else values[len(values) - want]
-        keep = (F.col(col) >= F.lit(q)) if desc else (F.col(col) <= F.lit(q))
-        if nulls_first:
-            keep = keep | F.col(col).isNull()
-        narrowed = cand.where(keep)
-        kept = narrowed.count()
-        if kept < n:  # threshold too tight: widen and try again, never cut the result short
-            rank_factor *= 4
+        before = cand.where(_before(col, desc, q))
+        m = before.count()
+        if m >= n:  # the answer lies strictly before q
+            if m >= total:
+                break
+            cand, total = before, m
             continue
-        if kept >= total:  # no progress (ties on the first column)
-            break
-        cand, total = narrowed, kept
-    return cand.orderBy(*order_columns(order)).limit(n)
+        ties = cand.where(F.col(col) == F.lit(q))
+        t = ties.count()
+        if m + t < n:  # q sorts too early: the answer reaches past it; widen and retry
+            factor *= 4
+            continue
+        # all m rows before q belong to the answer; the rest are the best n - m of the ties
+        rest = order[1:]
+        if rest:
+            tied = _top_k(ties, rest, n - m, t, final_rows, sample_rows, rounds, seed + 1)
+        else:
+            tied = ties.limit(n - m)  # fully tied rows are interchangeable
+        return before.unionByName(tied).orderBy(*full).limit(n)
+    return cand.orderBy(*full).limit(n)

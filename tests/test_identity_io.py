@@ -233,3 +233,16 @@ def test_run_overview_and_failed_table(spark):
     ov = res.overview.collect()[0]
     assert ov["total_checks"] == res.rules.count() > 0
     assert len(ov["written_files"]) >= 1 and len(ov["warnings"]) == 1 and ov["output_format"] == "yaml"
+
+
+def test_top_k_descends_into_ties(spark):
+    from ruleforge.operators.topk import top_k
+    df = spark.range(0, 40000).select(F.col("id"), (F.col("id") % 3).alias("g"), (F.col("id") % 7).alias("h"))
+    for order in ([("g", False), ("h", True), ("id", False)], [("g", True), ("id", True)]):
+        cols = [F.col(c).desc() if d else F.col(c).asc() for c, d in order]
+        expect = [tuple(r) for r in df.orderBy(*cols).limit(300).collect()]
+        got = [tuple(r) for r in top_k(df, order, 300, final_rows=200, sample_rows=1000).collect()]
+        assert got == expect, order
+    # fully tied rows: any n of them
+    const = df.select(F.lit(1).alias("k"), "id")
+    assert top_k(const, [("k", False)], 50, final_rows=10, sample_rows=500).count() == 50
