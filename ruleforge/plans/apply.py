@@ -160,3 +160,12 @@ def summarize(checked: DataFrame, keys: list[str]) -> DataFrame:
     """Compact report form used by tests and queries: keys + error / warning names."""
     return checked.select(*keys, issue_names(ERRORS).alias("error_checks"),
                           issue_names(WARNINGS).alias("warning_checks"))
+
+
+def issue_summary(checked: DataFrame) -> DataFrame:
+    """Rows failing each rule: ``criticality, name, function, failing_rows`` (one aggregation)."""
+    errs = checked.select(F.lit("error").alias("criticality"), F.explode(ERRORS).alias("i"))
+    warns = checked.select(F.lit("warn").alias("criticality"), F.explode(WARNINGS).alias("i"))
+    return (errs.unionByName(warns)
+            .groupBy("criticality", F.col("i.name").alias("name"), F.col("i.function").alias("function"))
+            .agg(F.count(F.lit(1)).alias("failing_rows")))

@@ -155,3 +155,13 @@ def test_checking_twice_extends_issues(spark):
     assert twice.columns == ["id", "v", "_errors", "_warnings"]
     got = summarize(twice, ["id"]).orderBy("id").collect()
     assert [(r["error_checks"], r["warning_checks"]) for r in got] == [("a", None), (None, "b")]
+
+
+def test_issue_summary(spark):
+    from ruleforge import issue_summary
+    df = spark.createDataFrame([(1, None, 5), (2, "x", 50), (3, None, 70)], "id int, v string, n int")
+    rules = [{"name": "v_nn", "criticality": "error", "check": {"function": "is_not_null", "arguments": {"column": "v"}}},
+             {"name": "n_cap", "criticality": "warn",
+              "check": {"function": "is_not_greater_than", "arguments": {"column": "n", "limit": 10}}}]
+    got = {(r["criticality"], r["name"]): r["failing_rows"] for r in issue_summary(apply_checks(df, rules)).collect()}
+    assert got == {("error", "v_nn"): 2, ("warn", "n_cap"): 2}
