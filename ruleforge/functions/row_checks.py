@@ -15,7 +15,7 @@ from typing import Any, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import (any_of, as_list, column_label, current_date, current_ts, to_col,
+from .columns import (any_of, column_label, current_date, current_ts, to_col,
                       to_value)
 
 
@@ -318,4 +318,4 @@ ROW_CHECKS = {
     "is_data_fresh": is_data_fresh,
 }
 
-__all__ = ["Condition", "ROW_CHECKS", "as_list"] + list(ROW_CHECKS)
+__all__ = ["Condition", "ROW_CHECKS"] + list(ROW_CHECKS)

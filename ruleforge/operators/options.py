@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field, fields, replace
+from dataclasses import asdict, dataclass, fields, replace
 from typing import Any
 
 
@@ -55,4 +55,4 @@ class ProfileOptions:
 FORM_PRESET = ProfileOptions(max_in_count=20, distinct_ratio=0.01, max_null_ratio=0.05,
                              remove_outliers=False, max_empty_ratio=0.02)
 
-__all__ = ["ProfileOptions", "FORM_PRESET", "field"]
+__all__ = ["ProfileOptions", "FORM_PRESET"]

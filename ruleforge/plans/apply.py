@@ -13,13 +13,13 @@ into the two arrays and drops helper columns.
 
 from __future__ import annotations
 
-from typing import Any, Iterable
+from typing import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.row_checks import ROW_CHECKS, Condition
+from ..functions.row_checks import ROW_CHECKS
 from ..operators.dataset_checks import DATASET_CHECKS, HELPER, CheckContext, attach_grouped_aggregates
 from .rules import select_rules
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ...operators.generate import generate_rules, to_stored_rows, with_identity
 from ...operators.options import FORM_PRESET, ProfileOptions
-from ...operators.prepare import hash_sample, limit_rows, masked, prepare, trim_strings
+from ...operators.prepare import hash_sample, masked, prepare, trim_strings
 from ...operators.profile import histogram_categorical, histogram_numeric, profile
 from . import fixtures as fx
 from .registry import query, table
