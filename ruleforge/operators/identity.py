@@ -12,11 +12,18 @@ from pyspark.sql import functions as F
 from ..plans.rules import BOOL_ARGS, INT_ARGS, LIST_ARGS, TRUE_WORDS
 
 JSON_LOOKING = r"^(\{.*\}|\[.*\])$"
+# Whitespace as Python's str.isspace() sees it (Unicode White_Space plus U+001C-U+001F)
+WS = r"(?U)[\s\x1c-\x1f]"
+
+
+def py_strip(text: Column) -> Column:
+    """``str.strip()``: every leading and trailing whitespace character, not only spaces."""
+    return F.regexp_replace(text, rf"^{WS}+|{WS}+$", "")
 
 
 def canonical_filter(filter_col: Column) -> Column:
     """Whitespace runs collapsed to one space, ends trimmed; NULL → ''."""
-    return F.coalesce(F.trim(F.regexp_replace(filter_col, r"\s+", " ")), F.lit(""))
+    return F.coalesce(py_strip(F.regexp_replace(filter_col, rf"{WS}+", " ")), F.lit(""))
 
 
 def canonical_json_text(text: Column) -> Column:
@@ -28,7 +35,7 @@ def canonical_arguments(arguments: Column) -> Column:
     """Values trimmed (NULL → ''), JSON-looking values re-serialised, keys sorted."""
     entries = F.transform(F.map_entries(arguments), lambda e: F.struct(
         e["key"].alias("key"),
-        canonical_json_text(F.trim(F.coalesce(e["value"], F.lit("")))).alias("value")))
+        canonical_json_text(py_strip(F.coalesce(e["value"], F.lit("")))).alias("value")))
     return F.map_from_entries(F.array_sort(entries))
 
 
@@ -56,7 +63,7 @@ def argument_text(key: Column, raw: Column) -> Column:
     is one; list keys → a JSON list (from JSON text, else a comma list);
     other JSON-looking text → compact sorted JSON; blank → ``null``.
     """
-    t = F.trim(raw)
+    t = py_strip(raw)
     as_bool = F.when(F.lower(t).isin(*sorted(TRUE_WORDS)), F.lit("true")).otherwise(F.lit("false"))
     as_int = F.coalesce(t.try_cast("bigint").cast("string"), t)
     comma = F.to_json(F.filter(F.transform(F.split(t, ","), lambda x: F.trim(x)), lambda x: x != F.lit("")))

@@ -26,20 +26,23 @@ def py_payload(table, fn, args, fec, flt):
         sv = "" if v is None else str(v).strip()
         if (sv.startswith("{") and sv.endswith("}")) or (sv.startswith("[") and sv.endswith("]")):
             try:
-                sv = json.dumps(json.loads(sv), sort_keys=True, separators=(",", ":"))
+                sv = json.dumps(json.loads(sv), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
             except ValueError:
                 pass
         canon[k] = sv
     obj = {"table_name": (table or "").lower(), "filter": " ".join(str(flt).split()) if flt else "",
            "check": {"function": fn, "for_each_column": sorted(fec) if fec else None, "arguments": canon}}
-    return json.dumps(obj, sort_keys=True, separators=(",", ":"))
+    # Non-ASCII characters stay raw UTF-8 in the payload (not \uXXXX escapes)
+    return json.dumps(obj, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
 def test_payload_and_id_match_python(spark):
     rows = [("Cat.Sch.T", "n1", "warn", "default", "sql_expression", {"expression": " `a` IS NOT NULL "}, None),
             ("c.s.t", "n2", "error", "default", "is_in_list", {"column": "x", "allowed": '[ "b", "a" ]',
                                                                "meta": '{"z": 1, "a": [2, 1]}'}, "  a  >\n 1 "),
-            ("c.s.t", "n3", "error", "default", "is_unique", {}, "")]
+            ("c.s.t", "n3", "error", "default", "is_unique", {}, ""),
+            ("c.s.t", "n4", "warn", "default", "sql_expression", {"expression": "\tx > 1\n"}, "a\t=\u00a01\u3000"),
+            ("c.s.t", "n5", "warn", "default", "sql_expression", {"expression": "\u2003ünï\x1d"}, None)]
     df = with_identity(spark.createDataFrame(rows, DOCS))
     for r, src in zip(df.orderBy("name").collect(), rows):
         expect = py_payload(src[0], src[4], src[5], None, src[6])
@@ -48,7 +51,7 @@ def test_payload_and_id_match_python(spark):
 
 
 def test_argument_text_matches_python_typing(spark):
-    cases = [("negate", " Yes"), ("negate", "off"), ("days", " 12 "), ("days", "x1"), ("columns", "a, b,, c"),
+    cases = [("negate", " Yes"), ("negate", "off"), ("days", " 12 "), ("days", "\t7\n"), ("expression", "\u00a0 x\u3000"), ("days", "x1"), ("columns", "a, b,, c"),
              ("columns", '["q", "r"]'), ("group_by", "[broken"), ("props", '{"b": 1, "a": 2}'), ("expression", "  "),
              ("expression", "v > 1"), ("trim_strings", "1"), ("window_minutes", "60")]
     df = spark.createDataFrame(cases, "k string, v string").select("k", "v", argument_text(F.col("k"), F.col("v")).alias("t"))
