@@ -66,7 +66,7 @@ def argument_text(key: Column, raw: Column) -> Column:
     t = py_strip(raw)
     as_bool = F.when(F.lower(t).isin(*sorted(TRUE_WORDS)), F.lit("true")).otherwise(F.lit("false"))
     as_int = F.coalesce(t.try_cast("bigint").cast("string"), t)
-    comma = F.to_json(F.filter(F.transform(F.split(t, ","), lambda x: F.trim(x)), lambda x: x != F.lit("")))
+    comma = F.to_json(F.filter(F.transform(F.split(t, ","), py_strip), lambda x: x != F.lit("")))
     as_list = F.when(t.startswith("["), F.coalesce(F.to_json(F.try_parse_json(t)), comma)).otherwise(comma)
     other = F.when(t.rlike(JSON_LOOKING), F.coalesce(F.to_json(F.try_parse_json(t)), t)) \
         .when(F.coalesce(t, F.lit("")) == F.lit(""), F.lit("null")).otherwise(t)

@@ -51,7 +51,7 @@ def test_payload_and_id_match_python(spark):
 
 
 def test_argument_text_matches_python_typing(spark):
-    cases = [("negate", " Yes"), ("negate", "off"), ("days", " 12 "), ("days", "\t7\n"), ("expression", "\u00a0 x\u3000"), ("days", "x1"), ("columns", "a, b,, c"),
+    cases = [("negate", " Yes"), ("negate", "off"), ("days", " 12 "), ("days", "\t7\n"), ("expression", "\u00a0 x\u3000"), ("group_by", "a,\tb\n, ,c"), ("days", "x1"), ("columns", "a, b,, c"),
              ("columns", '["q", "r"]'), ("group_by", "[broken"), ("props", '{"b": 1, "a": 2}'), ("expression", "  "),
              ("expression", "v > 1"), ("trim_strings", "1"), ("window_minutes", "60")]
     df = spark.createDataFrame(cases, "k string, v string").select("k", "v", argument_text(F.col("k"), F.col("v")).alias("t"))
