@@ -77,6 +77,7 @@ def generate_all(spark: SparkSession, tables: Sequence[str], options: ProfileOpt
                  reader: Callable[[str], DataFrame] | None = None) -> tuple[DataFrame, list[str]]:
     """Rules of every table (union) and the warnings of tables that failed."""
     settings = settings or RulegenSettings(output_format="yaml", output_yaml="unused")
+    tables = table_names(tables)
     if settings.columns is not None and len(tables) != 1:
         raise ValueError("columns can only be given for a single table")
     warnings: list[str] = []
@@ -96,6 +97,13 @@ def generate_all(spark: SparkSession, tables: Sequence[str], options: ProfileOpt
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames), warnings
 
 
+def table_names(tables: Sequence[str] | DataFrame) -> list[str]:
+    """Names from a list or from a discovery frame (``table_name``): one per table, bounded by the catalog."""
+    if isinstance(tables, DataFrame):
+        return [r[0] for r in tables.select("table_name").orderBy("table_name").collect()]
+    return list(tables)
+
+
 def summarize_run(tables: Sequence[str], rules: DataFrame, warnings: Sequence[str] = ()) -> DataFrame:
     """R9 + R10: one row per table: number of checks and a status.
 
@@ -124,6 +132,7 @@ def run(spark: SparkSession, tables: Sequence[str], options: ProfileOptions, set
     from ..sinks.rules_table import append_rules
     from ..sources.rule_documents import read_rule_documents
 
+    tables = table_names(tables)
     rules, warnings = generate_all(spark, tables, options, settings, reader)
     created_at = created_at or now_iso()
     meta = {"profile_options": options.to_dict(),

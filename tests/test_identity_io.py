@@ -249,3 +249,17 @@ def test_top_k_descends_into_ties(spark):
     # fully tied rows: any n of them
     const = df.select(F.lit(1).alias("k"), "id")
     assert top_k(const, [("k", False)], 50, final_rows=10, sample_rows=500).count() == 50
+
+
+def test_run_from_discovery(spark):
+    from ruleforge.operators.options import ProfileOptions
+    from ruleforge.plans import rulegen
+    from ruleforge.plans.suite.io import register_tables
+    from ruleforge.sources.discovery import discover
+    tag = register_tables(spark, "/root/testdata/sf0.001")
+    names = discover(spark, "schema", f"spark_catalog.{tag}_dim", exclude_pattern=".cust*",
+                     exclude_prefix_regex="^na")
+    assert [r[0].split(".")[-1] for r in names.collect()] == ["part", "region", "supplier"]
+    res = rulegen.run(spark, names, ProfileOptions(sample_fraction=1.0, limit=None),
+                      rulegen.RulegenSettings(output_format="yaml", output_yaml=scratch_dir(spark, "t-disc")))
+    assert {r["status"] for r in res.summary.collect()} == {"ok"}
