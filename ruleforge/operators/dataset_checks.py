@@ -308,6 +308,16 @@ def sql_query(query: str, merge_columns: Sequence[str], condition_column: str,
 
 
 # --------------------------------------------------------------------------- G8
+def _name_in(frame: DataFrame, col: Any) -> str:
+    """Name of a column given as text or as a simple Column (``F.col("x")``)."""
+    if isinstance(col, str):
+        return col
+    names = frame.select(col).columns
+    if len(names) != 1 or names[0] not in frame.columns:
+        raise ValueError(f"only plain column references can match rows, got {col!r}")
+    return names[0]
+
+
 def compare_report(df: DataFrame, ref: DataFrame, columns: Sequence[Any], ref_columns: Sequence[Any],
                    exclude_columns: Sequence[Any] | None = None, check_missing_records: bool = False,
                    null_safe_row_matching: bool = True, null_safe_column_value_matching: bool = True,
@@ -328,11 +338,11 @@ def compare_report(df: DataFrame, ref: DataFrame, columns: Sequence[Any], ref_co
     Missing records come from a LEFT ANTI join of reference keys against the
     distinct input keys, appended with ``unionByName`` - no full outer join.
     """
-    keys = [c if isinstance(c, str) else str(c) for c in as_list(columns)]
-    rkeys = [c if isinstance(c, str) else str(c) for c in as_list(ref_columns)]
+    keys = [_name_in(df, c) for c in as_list(columns)]
+    rkeys = [_name_in(ref, c) for c in as_list(ref_columns)]
     if not keys or len(keys) != len(rkeys):
         raise ValueError("columns and ref_columns must be non-empty and of equal length")
-    excl = {str(c) for c in as_list(exclude_columns)}
+    excl = {_name_in(df, c) for c in as_list(exclude_columns)}
     ref_types = {f.name: f.dataType for f in ref.schema.fields}
     compared = [f.name for f in df.schema.fields
                 if f.name in ref_types and f.name not in keys and f.name not in excl

@@ -155,3 +155,11 @@ def test_sql_query_negate(spark):
     q = "SELECT id, v > 10 AS ok FROM {{ t }}"
     r = rule("sql_query", query=q, merge_columns=["id"], condition_column="ok", input_placeholder="t", negate=True)
     assert flags(df, [r]) == [True, False]
+
+
+def test_compare_accepts_column_objects(spark):
+    src = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "k int, s string, v double")
+    ref = spark.createDataFrame([(1, "a", 1.5), (2, "B", 2.0)], "rk int, s string, v double")
+    rep = {r["k"]: r["_changed_columns"] for r in
+           compare_report(src, ref, [F.col("k")], [F.col("rk")], exclude_columns=[F.col("s")]).collect()}
+    assert rep == {1: "v", 2: None}
