@@ -84,6 +84,11 @@ def _looks_like_timestamp(text: str) -> bool:
     return bool(_TS_TEXT.match(text.strip()))
 
 
+def name_col(name: str) -> Column:
+    """The column with exactly this name (dots and backticks in names are not paths)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def column_label(value: Any) -> str:
     """A short readable label for a column argument, used in check names."""
     if isinstance(value, str):

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import name_col
 from .options import ProfileOptions
 from .topk import top_k
 
@@ -36,12 +37,12 @@ def select_columns(df: DataFrame, columns: Sequence[str] | None = None,
         missing = [c for c in columns if c not in df.columns]
         if missing:
             raise ValueError(f"columns not in the table: {missing}")
-        df = df.select(*columns)
+        df = df.select(*[name_col(c) for c in columns])
     if profile_types:
         wanted = {t.lower() for t in profile_types}
         keep = [f.name for f in df.schema.fields
                 if f.dataType.simpleString().lower() in wanted or f.dataType.typeName().lower() in wanted]
-        df = df.select(*keep)
+        df = df.select(*[name_col(c) for c in keep])
     return df
 
 
@@ -51,7 +52,7 @@ def sample_threshold(fraction: float) -> str:
 
 
 def key_text(key: Sequence[str]) -> Column:
-    parts = [F.col(k).cast("string") for k in key]
+    parts = [name_col(k).cast("string") for k in key]
     return parts[0] if len(parts) == 1 else F.concat_ws("|", *parts)
 
 
@@ -71,13 +72,13 @@ def hash_sample(df: DataFrame, fraction: float, seed: int | None, key: Sequence[
     if key:
         h = F.substring(F.md5(F.concat(key_text(key), F.lit(f":{seed}"))), 1, 8)
         return df.where(h < F.lit(sample_threshold(fraction)))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns]), F.lit(2 ** 32))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), *[name_col(c) for c in df.columns]), F.lit(2 ** 32))
     return df.where(bucket < F.lit(int(fraction * 2 ** 32)))
 
 
 def trim_strings(df: DataFrame) -> DataFrame:
     """P5: trim both ends of every string column."""
-    return df.select(*[F.trim(F.col(f.name)).alias(f.name) if is_string(f.dataType) else F.col(f.name)
+    return df.select(*[F.trim(name_col(f.name)).alias(f.name) if is_string(f.dataType) else name_col(f.name)
                        for f in df.schema.fields])
 
 
@@ -104,7 +105,7 @@ def prepare(df: DataFrame, options: ProfileOptions, columns: Sequence[str] | Non
     keep = select_columns(df, columns, options.profile_types)
     if key:
         keep_cols = keep.columns
-        df2 = df.select(*dict.fromkeys(keep_cols + [k for k in key if k not in keep_cols]))
+        df2 = df.select(*[name_col(c) for c in dict.fromkeys(keep_cols + [k for k in key if k not in keep_cols])])
     else:
         df2 = keep
     out = hash_sample(df2, options.sample_fraction, options.sample_seed, key)
@@ -115,9 +116,9 @@ def prepare(df: DataFrame, options: ProfileOptions, columns: Sequence[str] | Non
         # (not the table again) and a lost executor cannot change which rows were chosen
         from ..session import ensure_checkpoint_dir
         ensure_checkpoint_dir(df.sparkSession)
-        out = limit_rows(out, options.limit, key, options.sample_seed).select(*keep.columns)
+        out = limit_rows(out, options.limit, key, options.sample_seed).select(*[name_col(c) for c in keep.columns])
         return out.checkpoint(eager=True)
-    return out.select(*keep.columns)
+    return out.select(*[name_col(c) for c in keep.columns])
 
 
 def masked(col: Column, dt: T.DataType, options: ProfileOptions) -> Column:

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import name_col
 from .options import ProfileOptions
 from .prepare import SIMPLE, is_numeric, is_string, masked, prepare
 
@@ -61,7 +62,7 @@ def column_stats(prep: DataFrame, options: ProfileOptions, table_name: str | Non
     for lo in range(0, max(len(fields), 1), STATS_CHUNK):
         exprs = [F.count(F.lit(1)).alias("n")]
         for i, f in enumerate(fields[lo:lo + STATS_CHUNK], start=lo):
-            c = F.col(f.name)
+            c = name_col(f.name)
             m = masked(c, f.dataType, options)
             exprs.append(F.count_if(c.isNull()).alias(f"nul{i}"))
             if is_string(f.dataType):
@@ -91,7 +92,7 @@ def column_stats(prep: DataFrame, options: ProfileOptions, table_name: str | Non
                 # nothing lies outside the band: the kept bounds are the raw ones, no second pass
                 row[f"kmin{i}"], row[f"kmax{i}"] = row[f"min{i}"], row[f"max{i}"]
                 continue
-            md = masked(F.col(f.name), f.dataType, options).cast("double")
+            md = masked(name_col(f.name), f.dataType, options).cast("double")
             kept = F.when((md >= F.lit(lo)) & (md <= F.lit(hi)), md)
             cond_exprs += [(F.min(kept) + F.lit(0.0)).alias(f"kmin{i}"), (F.max(kept) + F.lit(0.0)).alias(f"kmax{i}")]
         if cond_exprs:
@@ -119,7 +120,7 @@ def value_counts(prep: DataFrame, columns: Sequence[str], options: ProfileOption
     if not columns:
         return prep.sparkSession.createDataFrame([], "column_name string, value string, count bigint")
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"),
-                               masked(F.col(c), types[c], options).cast("string").alias("value"))
+                               masked(name_col(c), types[c], options).cast("string").alias("value"))
                       for c in columns])
     return (prep.select(F.inline(pairs))
             .where(F.col("value").isNotNull())
@@ -187,7 +188,7 @@ def histograms(prep: DataFrame, stats: DataFrame, counts: DataFrame, listed: Seq
     for c in numeric:
         lo, hi = bounds[c]
         width = (hi - lo) / bins if hi > lo else 1.0
-        v = masked(F.col(c), types[c], options).cast("double")
+        v = masked(name_col(c), types[c], options).cast("double")
         b = F.least(F.greatest(F.floor((v - F.lit(lo)) / F.lit(width)), F.lit(0)), F.lit(bins - 1))
         cells.append(F.struct(F.lit(c).alias("column_name"),
                               F.when(v.isNotNull(), F.lit(lo) + b * F.lit(width)).alias("bucket_start")))

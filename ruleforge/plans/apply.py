@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import name_col
 from ..functions.row_checks import ROW_CHECKS
 from ..operators.dataset_checks import DATASET_CHECKS, HELPER, CheckContext, attach_grouped_aggregates
 from .rules import select_rules
@@ -138,9 +139,9 @@ def apply_checks(df: DataFrame, rules: Iterable[dict] | DataFrame, refs: dict[st
         return F.concat(F.coalesce(F.col(col), F.array().cast(T.ArrayType(ISSUE_TYPE))), new) if items \
             else F.coalesce(F.col(col), F.array().cast(T.ArrayType(ISSUE_TYPE)))
 
-    arrays = out.select(*[F.col(c) for c in original + extra],
+    arrays = out.select(*[name_col(c) for c in original + extra],
                         combined(ERRORS, errors).alias(f"{HELPER}e"), combined(WARNINGS, warnings).alias(f"{HELPER}w"))
-    return arrays.select(*[F.col(c) for c in original + extra],
+    return arrays.select(*[name_col(c) for c in original + extra],
                          _null_if_empty(f"{HELPER}e").alias(ERRORS), _null_if_empty(f"{HELPER}w").alias(WARNINGS))
 
 

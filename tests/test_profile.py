@@ -127,3 +127,12 @@ def test_profile_histograms(spark):
     assert len(h["v"]) == 12 and h["v"]["50.0"] == 20
     assert sum(h["w"].values()) == 325 and len(h["w"]) == 4 and h["w"]["0.0"] == 75 + 25
     assert "histogram" not in profile(df, FULL, table_name="t").columns
+
+
+def test_dotted_column_names(spark):
+    df = spark.createDataFrame([(1, "x"), (2, "y"), (None, "x")], "`a.b` int, `c d` string")
+    p = {r["column_name"]: r for r in profile(df, FULL, table_name="t").collect()}
+    assert p["a.b"]["null_count"] == 1 and p["a.b"]["max"] == 2.0 and p["c d"]["values"] == ["x", "y"]
+    rules = generate_rules(profile(df, FULL, table_name="t"), FULL)
+    out = apply_checks(df, rules_from_documents(rules))
+    assert out.count() == 3
