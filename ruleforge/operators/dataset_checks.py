@@ -427,9 +427,20 @@ def compare_datasets(columns: Sequence[Any], ref_columns: Sequence[Any], exclude
 
 
 # --------------------------------------------------------------------------- G9
-def _window_start(ts: Column, window_minutes: int) -> Column:
-    # tumbling windows aligned to the epoch
-    return F.window(ts, f"{int(window_minutes)} minutes").start
+def _window_start(ts: Column, window_minutes: int, type_name: str = "timestamp_ntz") -> Column:
+    """Start of the epoch-aligned tumbling window of ``ts``; NULL when ``ts`` is NULL.
+
+    Spark filters out every row whose time is NULL wherever ``window()`` is
+    used, so it gets a time that is never NULL and the NULL is put back:
+    no input row is dropped.
+    """
+    epoch = F.lit("1970-01-01 00:00:00").cast(type_name)
+    return F.when(ts.isNotNull(), F.window(F.coalesce(ts, epoch), f"{int(window_minutes)} minutes").start)
+
+
+def _time_type(df: DataFrame, ts: Column) -> str:
+    t = df.select(ts).schema.fields[0].dataType
+    return "timestamp_ntz" if isinstance(t, T.TimestampNTZType) else "timestamp"
 
 
 def is_data_fresh_per_time_window(column: Any, window_minutes: int, min_records_per_window: int,
@@ -445,8 +456,10 @@ def is_data_fresh_per_time_window(column: Any, window_minutes: int, min_records_
             start = current_ts(curr_timestamp) - F.make_dt_interval(
                 mins=F.lit(int(lookback_windows) * int(window_minutes)))
             scope = scope & (ts >= start)
-        src = df.withColumn(wk, F.when(scope, _window_start(ts, window_minutes)))
-        counts = (_base(ctx.source.withColumn(wk, F.when(scope, _window_start(ts, window_minutes))), ctx).where(F.col(wk).isNotNull())
+        tt = _time_type(ctx.source, ts)
+        src = df.withColumn(wk, F.when(scope, _window_start(ts, window_minutes, tt)))
+        counts = (_base(ctx.source.withColumn(wk, F.when(scope, _window_start(ts, window_minutes, tt))), ctx)
+                  .where(F.col(wk).isNotNull())
                   .groupBy(F.col(wk).alias(rwk)).agg(F.count(F.lit(1)).alias(cnt)))
         out = _key_join(src, counts, [wk], [rwk], null_safe=False).drop(rwk)
         fail = _judged(ctx) & F.col(wk).isNotNull() & (F.coalesce(F.col(cnt), F.lit(0)) < int(min_records_per_window))
@@ -470,7 +483,7 @@ def freshness_windows(df: DataFrame, column: Any, window_minutes: int,
     spark = df.sparkSession
     ts = to_col(column)
     minutes = int(window_minutes)
-    counts = (df.where(ts.isNotNull()).groupBy(_window_start(ts, minutes).alias("window_start"))
+    counts = (df.where(ts.isNotNull()).groupBy(_window_start(ts, minutes, _time_type(df, ts)).alias("window_start"))
               .agg(F.count(F.lit(1)).alias("records")))
     epoch = F.col("window_start").cast("timestamp").cast("long")
     lo, hi = counts.agg(F.min(epoch), F.max(epoch)).collect()[0]  # one row: the span

@@ -91,3 +91,58 @@ def test_compare_matches_brute_force(spark):
         rep = compare_report(src, ref, ["k"], ["k"], check_missing_records=True)
         assert sorted(r["k"] for r in rep.where("_compare_status = 'missing'").collect()) == missing
     check()
+
+
+def test_fresh_per_window_matches_brute_force(spark):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    base = dt.datetime(2024, 1, 1)
+
+    @FAST
+    @given(st.lists(st.one_of(st.none(), st.integers(0, 5 * 3600)), min_size=1, max_size=30),
+           st.sampled_from([30, 60, 90]), st.integers(1, 4))
+    def check(offsets, minutes, min_records):
+        rows = [(i, None if o is None else base + dt.timedelta(seconds=o)) for i, o in enumerate(offsets)]
+        df = spark.createDataFrame(rows, "id int, t timestamp").withColumn("t", F.col("t").cast("timestamp_ntz"))
+        epoch0 = int((base - dt.datetime(1970, 1, 1)).total_seconds())
+        bucket = {i: (epoch0 + o) // (60 * minutes) for i, o in enumerate(offsets) if o is not None}
+        counts = Counter(bucket.values())
+        expect = {i: (i in bucket and counts[bucket[i]] < min_records) for i in range(len(offsets))}
+        got = verdicts(df, {"check": {"function": "is_data_fresh_per_time_window", "arguments": {
+            "column": "t", "window_minutes": minutes, "min_records_per_window": min_records}}})
+        assert got == expect
+    check()
+
+
+def test_no_check_drops_or_adds_rows(spark):
+    """Every check keeps exactly the input rows, also when every column holds NULLs."""
+    from pyspark.sql import functions as F
+
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    dirty = ev.select(*[F.when(F.col("event_id") % 7 == i % 7, None).otherwise(F.col(c)).alias(c)
+                        for i, c in enumerate(ev.columns)])
+    ref = dirty.select(F.col("user_id").alias("uid")).where("uid % 2 = 0")
+    q = "SELECT event_id, value > 100 AS bad FROM {{ input }}"
+    rules = [
+        {"function": "is_unique", "arguments": {"columns": ["user_id", "event_type"]}},
+        {"function": "is_unique", "arguments": {"columns": ["user_id"], "nulls_distinct": False}},
+        {"function": "is_aggr_not_greater_than", "arguments": {"column": "value", "aggr_type": "avg",
+                                                               "group_by": ["event_type"], "limit": 50}},
+        {"function": "is_aggr_equal", "arguments": {"aggr_type": "count", "limit": 3}},
+        {"function": "foreign_key", "arguments": {"columns": ["user_id"], "ref_columns": ["uid"], "ref_df_name": "r"}},
+        {"function": "sql_query", "arguments": {"query": q, "merge_columns": ["event_id"], "condition_column": "bad",
+                                                "input_placeholder": "input"}},
+        {"function": "compare_datasets", "arguments": {"columns": ["event_id"], "ref_columns": ["event_id"],
+                                                       "ref_df_name": "d"}},
+        {"function": "is_data_fresh_per_time_window", "arguments": {"column": "ts", "window_minutes": 60,
+                                                                    "min_records_per_window": 2}},
+    ]
+    n = dirty.count()
+    refs = {"r": ref, "d": dirty.where("event_id % 3 = 0")}
+    for r in rules:
+        out = apply_checks(dirty, [{"criticality": "error", "check": r}], refs)
+        assert out.count() == n, r["function"]
+    everything = apply_checks(dirty, [{"criticality": "warn", "check": r} for r in rules], refs)
+    assert everything.count() == n
