@@ -157,7 +157,9 @@ def profile(df: DataFrame, options: ProfileOptions | None = None, columns: Seque
                        F.when(F.col("column_name").isin(screened) if screened else F.lit(False), F.lit(0)),
                        F.col("approx_distinct")).cast("bigint").alias("distinct_count"),
             (F.col("column_name").isin(screened) if screened else F.lit(False)).alias("distinct_exact"),
-            F.col("values")]
+            # a listed column without any non-NULL value has an empty list
+            F.when(F.col("values").isNull() & (F.col("column_name").isin(listed) if listed else F.lit(False)),
+                   F.array().cast("array<string>")).otherwise(F.col("values")).alias("values")]
     if options.include_histograms:
         out = out.join(histograms(prep, stats, counts, listed, options), "column_name", "left")
         cols.append(F.col("histogram"))

@@ -146,3 +146,34 @@ def test_no_check_drops_or_adds_rows(spark):
         assert out.count() == n, r["function"]
     everything = apply_checks(dirty, [{"criticality": "warn", "check": r} for r in rules], refs)
     assert everything.count() == n
+
+
+def test_profile_matches_brute_force(spark):
+    from ruleforge.operators.generate import generate_rules
+    from ruleforge.operators.options import ProfileOptions
+    from ruleforge.operators.profile import profile
+    from ruleforge.plans.rules import rules_from_documents
+
+    texts = st.one_of(st.none(), st.sampled_from(["", " a", "a", "b ", "c", "  "]))
+    nums = st.one_of(st.none(), st.integers(-3, 40))
+    opts = ProfileOptions(sample_fraction=1.0, limit=None, remove_outliers=False, distinct_ratio=1.0)
+
+    @FAST
+    @given(st.lists(st.tuples(texts, nums), min_size=1, max_size=30))
+    def check(rows):
+        df = spark.createDataFrame(rows, "s string, x int")
+        p = {r["column_name"]: r for r in profile(df, opts, table_name="t").collect()}
+        ss = [None if s is None else s.strip() for s, _ in rows]
+        xs = [x for _, x in rows]
+        assert p["s"]["null_count"] == sum(s is None for s in ss)
+        assert p["s"]["empty_count"] == sum(s == "" for s in ss)
+        assert p["s"]["distinct_count"] == len({s for s in ss if s is not None})
+        assert p["s"]["values"] == sorted({s for s in ss if s is not None})
+        present = [x for x in xs if x is not None]
+        assert p["x"]["null_count"] == len(xs) - len(present)
+        assert (p["x"]["min"], p["x"]["max"]) == ((min(present), max(present)) if present else (None, None))
+        # rules made from the whole table never fail on that table (outliers off, ratio permissive)
+        rules = rules_from_documents(generate_rules(profile(df, opts, table_name="t"), opts))
+        trimmed = df.selectExpr("trim(s) AS s", "x")
+        assert apply_checks(trimmed, rules).where("_errors IS NOT NULL OR _warnings IS NOT NULL").count() == 0
+    check()
