@@ -177,3 +177,58 @@ def test_profile_matches_brute_force(spark):
         trimmed = df.selectExpr("trim(s) AS s", "x")
         assert apply_checks(trimmed, rules).where("_errors IS NOT NULL OR _warnings IS NOT NULL").count() == 0
     check()
+
+
+def test_row_checks_match_brute_force(spark):
+    import datetime as dt
+    import ipaddress
+    import re
+
+    octet = st.one_of(st.integers(0, 300).map(str), st.sampled_from(["01", "x", ""]))
+    ips = st.one_of(st.none(), st.lists(octet, min_size=3, max_size=5).map(".".join))
+    dates = st.one_of(st.none(), st.tuples(st.integers(2023, 2024), st.integers(0, 13), st.integers(0, 32))
+                      .map(lambda t: f"{t[0]}-{t[1]:02d}-{t[2]:02d}"))
+    words = st.one_of(st.none(), st.sampled_from(["", "  ", "ab", " ab ", "Brand#3", "Brand#9", "x"]))
+    nums = st.one_of(st.none(), st.integers(-5, 15))
+
+    def valid_ip(s):
+        parts = s.split(".")
+        return len(parts) == 4 and all(re.fullmatch(r"0|[1-9][0-9]{0,2}", p) and int(p) <= 255 for p in parts)
+
+    def valid_date(s):
+        try:
+            dt.date.fromisoformat(s)
+            return True
+        except ValueError:
+            return False
+
+    @FAST
+    @given(st.lists(st.tuples(ips, dates, words, nums), min_size=1, max_size=30))
+    def check(rows):
+        df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, ip string, d string, w string, n int")
+        rules = {
+            "range": ("is_in_range", {"column": "n", "min_limit": 0, "max_limit": 10},
+                      lambda r: r[3] is not None and not 0 <= r[3] <= 10),
+            "nne": ("is_not_null_and_not_empty", {"column": "w", "trim_strings": True},
+                    lambda r: r[2] is None or r[2].strip() == ""),
+            "list": ("is_in_list", {"column": "w", "allowed": ["ab", "x"]},
+                     lambda r: r[2] is not None and r[2] not in ("ab", "x")),
+            "rx": ("regex_match", {"column": "w", "regex": "^Brand#[1-5]$"},
+                   lambda r: r[2] is not None and not re.search(r"^Brand#[1-5]$", r[2])),
+            "rxn": ("regex_match", {"column": "w", "regex": "^Brand#[1-5]$", "negate": True},
+                    lambda r: r[2] is not None and bool(re.search(r"^Brand#[1-5]$", r[2]))),
+            "date": ("is_valid_date", {"column": "d", "date_format": "yyyy-MM-dd"},
+                     lambda r: r[1] is not None and not valid_date(r[1])),
+            "ip": ("is_valid_ipv4_address", {"column": "ip"}, lambda r: r[0] is not None and not valid_ip(r[0])),
+            "cidr": ("is_ipv4_address_in_cidr", {"column": "ip", "cidr_block": "10.0.0.0/9"},
+                     lambda r: r[0] is not None and (not valid_ip(r[0]) or
+                                                     ipaddress.ip_address(r[0]) not in ipaddress.ip_network("10.0.0.0/9"))),
+        }
+        spec = [{"name": k, "criticality": "error", "check": {"function": f, "arguments": a}}
+                for k, (f, a, _) in rules.items()]
+        got = {r["id"]: set((r["error_checks"] or "").split(",")) - {""}
+               for r in summarize(apply_checks(df, spec), ["id"]).collect()}
+        for i, row in enumerate(rows):
+            expect = {k for k, (_, _, fails) in rules.items() if fails(row)}
+            assert got[i] == expect, (row, got[i], expect)
+    check()
