@@ -56,7 +56,9 @@ def ensure_rules_table(spark: SparkSession, fqn: str, location: str | None = Non
     parts = fqn.split(".")
     if len(parts) >= 2:
         schema = ".".join(f"`{p}`" for p in parts[:-1])
-        spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}")
+        # with a table folder given, the schema's own folder sits next to it (not in a local warehouse)
+        where = f" LOCATION '{location.rstrip('/')}.schema'" if location else ""
+        spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}{where}")
     if not spark.catalog.tableExists(fqn):
         w = spark.createDataFrame([], documented_schema()).write.format("parquet").mode("overwrite")
         if location:
