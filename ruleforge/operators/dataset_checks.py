@@ -76,8 +76,19 @@ def _base(df: DataFrame, ctx: CheckContext) -> DataFrame:
 
 def _key_join(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str],
               null_safe: bool, how: str = "left") -> DataFrame:
-    conds = [(F.col(l).eqNullSafe(F.col(r)) if null_safe else (F.col(l) == F.col(r)))
-             for l, r in zip(left_keys, right_keys)]
+    """Join on key columns, always spelled null-safe (``<=>``).
+
+    Spark plans ``<=>`` on ``coalesce(k, ·), isnull(k)``, which no aggregate's
+    output partitioning satisfies, so both sides arrive through their own
+    shuffle and AQE's skew-join split can cut a hot key of the input into
+    several tasks (with plain ``=`` the aggregated side's partitioning is
+    reused and the split does not apply). Plain equality semantics, when asked
+    for, come from dropping NULL keys on the right first: a NULL then matches
+    nothing, as with ``=``.
+    """
+    if not null_safe:
+        right = right.where(all_of(F.col(r).isNotNull() for r in right_keys))
+    conds = [F.col(l).eqNullSafe(F.col(r)) for l, r in zip(left_keys, right_keys)]
     return left.join(right, on=all_of(conds), how=how)
 
 

@@ -45,3 +45,42 @@ def test_filters_and_columns_reach_the_scan(spark):
     text = plan_text(out)
     assert "PushedFilters: [IsNotNull(s_acctbal), GreaterThan(s_acctbal,0.0)" in text
     assert "ReadSchema: struct<l_orderkey:bigint,l_suppkey:bigint>" in text
+
+
+def test_hot_key_is_split_by_aqe(spark):
+    """One key holding a third of the rows: the join-back's skewed partition is split into several tasks."""
+    from pyspark.sql import functions as F
+
+    from ruleforge import apply_checks
+    from ruleforge.plans.apply import summarize
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+            "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        n = 30000
+        df = spark.range(0, n).select(
+            F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"),
+            F.lit("payload-text-to-make-rows-wide").alias("pad"))
+        ref = spark.range(0, n, 2).select(F.col("id").alias("rk"))
+        rules = [{"name": "u", "criticality": "error", "check": {"function": "is_unique", "arguments": {"columns": ["k"]}}},
+                 {"name": "fk", "criticality": "warn", "check": {"function": "foreign_key", "arguments": {
+                     "columns": ["k"], "ref_columns": ["rk"], "ref_df_name": "r"}}}]
+        res = summarize(apply_checks(df, rules, {"r": ref}), ["id", "k"])
+        rows = res.collect()
+        plan = res._jdf.queryExecution().executedPlan().toString()  # the final adaptive plan
+        assert "SortMergeJoin(skew=true)" in plan
+        assert len(rows) == n
+        # every row of the hot key (the multiples of 3, and row 7 itself) is a duplicate
+        assert sum(r["error_checks"] == "u" for r in rows) == n // 3 + 1
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
