@@ -89,6 +89,15 @@ def headline(spark, sf):
         "aggr_group_lineitem": lambda: REGISTRY["chk_aggr_equal"].fn(spark, sf),
         "pii_documents": lambda: REGISTRY["chk_pii"].fn(spark, sf),
         "dirty_events_profile": lambda: profile(fx.events_dirty(spark, sf), full, table_name="events"),
+        # a third of lineitem's rows on one hot key: uniqueness, grouped aggregate and foreign key over it
+        "hot_key_dataset_checks": lambda: apply_checks(
+            li().withColumn("hk", F.when(F.col("l_partkey") % 3 == 0, F.lit(-1)).otherwise(F.col("l_orderkey"))),
+            [{"criticality": "error", "check": {"function": "is_unique", "arguments": {"columns": ["hk", "l_linenumber"]}}},
+             {"criticality": "warn", "check": {"function": "is_aggr_not_greater_than", "arguments": {
+                 "column": "l_quantity", "aggr_type": "sum", "group_by": ["hk"], "limit": 500}}},
+             {"criticality": "error", "check": {"function": "foreign_key", "arguments": {
+                 "columns": ["hk"], "ref_columns": ["o_orderkey"], "ref_df_name": "orders"}}}],
+            refs={"orders": table(spark, sf, "orders")}),
     }
     return qs
 
