@@ -170,3 +170,37 @@ def issue_summary(checked: DataFrame) -> DataFrame:
     return (errs.unionByName(warns)
             .groupBy("criticality", F.col("i.name").alias("name"), F.col("i.function").alias("function"))
             .agg(F.count(F.lit(1)).alias("failing_rows")))
+
+
+def validate_rules(rules: Iterable[dict]) -> list[str]:
+    """Problems of a rule set, found without running a job: unknown functions, bad arguments or filters.
+
+    Needs an active session (Column expressions are built, not executed).
+    """
+    from pyspark.errors import AnalysisException, ParseException
+
+    from .rules import expand_for_each, normalize_rule
+
+    spark = SparkSession.getActiveSession()
+
+    def parses(text: str) -> None:
+        # SQL syntax is checked eagerly; unknown columns are expected without the table
+        try:
+            spark.range(0).selectExpr(text)
+        except ParseException:
+            raise
+        except AnalysisException:
+            pass
+
+    problems = []
+    for i, raw in enumerate(rules):
+        label = raw.get("name") or f"rule {i}"
+        try:
+            for r in expand_for_each(normalize_rule(raw)):
+                build_condition(r)
+                for text in (r.get("filter"), r["arguments"].get("expression")):
+                    if text:
+                        parses(text)
+        except Exception as e:  # noqa: BLE001 - every problem is reported, none raised
+            problems.append(f"{label}: {type(e).__name__}: {str(e).splitlines()[0]}")
+    return problems

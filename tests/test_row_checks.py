@@ -165,3 +165,19 @@ def test_issue_summary(spark):
               "check": {"function": "is_not_greater_than", "arguments": {"column": "n", "limit": 10}}}]
     got = {(r["criticality"], r["name"]): r["failing_rows"] for r in issue_summary(apply_checks(df, rules)).collect()}
     assert got == {("error", "v_nn"): 2, ("warn", "n_cap"): 2}
+
+
+def test_validate_rules(spark):
+    from ruleforge import validate_rules
+    good = {"name": "ok", "criticality": "warn", "check": {"function": "is_not_null", "arguments": {"column": "a"}}}
+    bad = [{"name": "nofn", "check": {"arguments": {}}},
+           {"name": "unknown", "check": {"function": "is_purple", "arguments": {}}},
+           {"name": "badarg", "check": {"function": "is_in_range", "arguments": {"column": "a", "lo": 1}}},
+           {"name": "crit", "criticality": "fatal", "check": {"function": "is_not_null", "arguments": {"column": "a"}}},
+           {"name": "cidr", "check": {"function": "is_ipv4_address_in_cidr", "arguments": {"column": "a",
+                                                                                         "cidr_block": "10.0.0.0/40"}}},
+           {"name": "filt", "filter": "a = = 1", "check": {"function": "is_not_null", "arguments": {"column": "a"}}},
+           {"name": "expr", "check": {"function": "sql_expression", "arguments": {"expression": "a >"}}}]
+    assert validate_rules([good]) == []
+    problems = validate_rules([good] + bad)
+    assert [p.split(":")[0] for p in problems] == ["nofn", "unknown", "badarg", "crit", "cidr", "filt", "expr"]
