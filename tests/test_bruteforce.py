@@ -1,5 +1,6 @@
 """Dataset-level checks against plain-Python brute force on small random frames (NULL keys, duplicates)."""
 
+import os
 from collections import Counter, defaultdict
 
 from hypothesis import given, settings, strategies as st
@@ -11,7 +12,7 @@ from ruleforge.plans.apply import summarize
 KEY = st.one_of(st.none(), st.integers(0, 3))
 ROWS = st.lists(st.tuples(KEY, KEY, st.integers(-5, 5)), min_size=1, max_size=25)
 SCHEMA = "id int, a int, b int, v int"
-FAST = settings(max_examples=12, deadline=None)
+FAST = settings(max_examples=int(os.environ.get("BRUTE_EXAMPLES", "12")), deadline=None)  # more: BRUTE_EXAMPLES
 
 
 def frame(spark, rows):
