@@ -117,7 +117,18 @@ def is_unique(columns: Sequence[Any], nulls_distinct: bool = True) -> DatasetCon
                        F.col(cnt).cast("string"), F.lit(" rows share it"))
         return out, fail, msg
 
-    return DatasetCondition(f"{label}_is_not_unique", attach)
+    def unique_message(n: Column) -> Column:
+        return F.concat(F.lit(f"Value of composite key ({label}) is not unique: "), n.cast("string"),
+                        F.lit(" rows share it"))
+
+    # alone: the cheaper form above (only duplicate keys are joined back); next to aggregate checks over
+    # the same keys and filter it becomes one more aggregate of their shared groupBy: count > 1, and with
+    # nulls_distinct no key column NULL
+    spec = AggSpec(tuple(cols), lambda: F.count(F.lit(1)), lambda a, l: a > l, 1, "greater than", "count", label,
+                   row_condition=(lambda: all_of(to_col(c).isNotNull() for c in cols)) if nulls_distinct else None,
+                   message=unique_message)
+    return DatasetCondition(f"{label}_is_not_unique", attach, share_key=("aggr", tuple(str(c) for c in cols)),
+                            agg_spec=spec)
 
 
 # ------------------------------------------------------------------------ G2-G5
@@ -146,6 +157,8 @@ class AggSpec:
     words: str
     aggr_type: str
     label: str
+    row_condition: Callable[[], Column] | None = None  # extra per-row requirement for failing
+    message: Callable[[Column], Column] | None = None  # custom message from the aggregate value
 
 
 def _agg_message(spec: AggSpec, val: Column, lim: Column) -> Column:
@@ -176,7 +189,10 @@ def attach_grouped_aggregates(df: DataFrame, ctx: CheckContext, specs: Sequence[
     for sp, v in zip(specs, vals):
         lim = to_value(sp.limit)
         fail = _judged(ctx) & F.coalesce(sp.compare(F.col(v), lim), F.lit(False))
-        results.append((fail, _agg_message(sp, F.col(v), lim)))
+        if sp.row_condition is not None:
+            fail = fail & F.coalesce(sp.row_condition(), F.lit(False))
+        msg = sp.message(F.col(v)) if sp.message is not None else _agg_message(sp, F.col(v), lim)
+        results.append((fail, msg))
     return out, results
 
 

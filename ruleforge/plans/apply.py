@@ -95,6 +95,11 @@ def apply_checks(df: DataFrame, rules: Iterable[dict] | DataFrame, refs: dict[st
     for i, (rule, kind, cond) in enumerate(built):
         if kind == "dataset" and cond.share_key is not None:
             shared.setdefault((cond.share_key, rule.get("filter") or ""), []).append(i)
+    # uniqueness checks keep their own cheaper plan (only duplicate keys are joined back) unless an
+    # aggregate check over the same keys and filter already needs the full per-key aggregate
+    for key, members in list(shared.items()):
+        if all(built[m][0]["function"] == "is_unique" for m in members):
+            del shared[key]
     frozen: dict[int, tuple[Column, Column]] = {}
 
     def freeze(frame: DataFrame, i: int, fail: Column, message: Column) -> DataFrame:

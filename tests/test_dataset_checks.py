@@ -163,3 +163,21 @@ def test_compare_accepts_column_objects(spark):
     rep = {r["k"]: r["_changed_columns"] for r in
            compare_report(src, ref, [F.col("k")], [F.col("rk")], exclude_columns=[F.col("s")]).collect()}
     assert rep == {1: "v", 2: None}
+
+
+def test_unique_shares_the_aggregate_of_the_same_keys(spark):
+    df = spark.createDataFrame([(1, 1, None, 5), (2, 1, None, 6), (3, 2, 2, 1), (4, 2, 2, 9), (5, 3, 1, 4),
+                                (6, None, None, 2), (7, None, None, 3)], "id int, a int, b int, v int")
+    for nulls_distinct in (True, False):
+        uniq = rule("is_unique", columns=["a", "b"], nulls_distinct=nulls_distinct)
+        aggr = rule("is_aggr_not_greater_than", column="v", aggr_type="sum", group_by=["a", "b"], limit=9)
+        uniq["name"], aggr["name"] = "u", "s"
+        together = apply_checks(df, [uniq, aggr])
+        plan = together._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join LeftOuter") == 1
+        got = {r["id"]: r["error_checks"] for r in summarize(together, ["id"]).collect()}
+        alone_u = {r["id"]: r["error_checks"] for r in summarize(apply_checks(df, [uniq]), ["id"]).collect()}
+        alone_s = {r["id"]: r["error_checks"] for r in summarize(apply_checks(df, [aggr]), ["id"]).collect()}
+        for i in got:
+            names = ",".join(n for n, d in (("s", alone_s), ("u", alone_u)) if d[i] is not None) or None
+            assert got[i] == names, (nulls_distinct, i)
