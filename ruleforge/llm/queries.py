@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classifier, decontaminate, jaccard_join, pii, quality_rules, secrets, urls
+from . import bpe, classifier, decontaminate, jaccard_join, line_dedup, pii, quality_rules, secrets, token_counts, urls
 from .common import table
 
 QUERIES: dict = {}
@@ -57,3 +57,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edited = token_counts.redactions(table(spark, sf_dir, "documents"))
+    return token_counts.update(token_counts.build(edited, text_col="_text", edits_col="edits"), keep_tree=False)
