@@ -16,7 +16,7 @@ def plan_text(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if not n.startswith(EAGER)))
+@pytest.mark.parametrize("name", sorted(n for n in entry.REGISTRY if not n.startswith(EAGER)))
 def test_no_all_pairs_and_no_windows(spark, name):
     text = plan_text(entry.queries()[name](spark, SF_SMALL))
     operators = [line.lstrip(" :+-*()0123456789").split(" ")[0] for line in text.split("\n")]
