@@ -52,10 +52,13 @@ def ngrams(host: Column, path: Column) -> Column:
     """Character n-grams of host and path, which have spaces of their own."""
 
     def grams(tag: str, text: Column, n: int) -> Column:
-        raw = F.encode(text, "UTF-16BE")  # two bytes a character, so that a substring is reached in constant time
-        last = (F.octet_length(raw) / 2 - n).cast("int")
-        places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.concat(F.lit(tag), F.hex(F.substring(raw, i * 2 + 1, F.lit(2 * n)))))
+        def of(raw: Column) -> Column:
+            last = (F.octet_length(raw) / 2 - n).cast("int")
+            places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+            return F.transform(places, lambda i: F.concat(F.lit(tag), F.hex(F.substring(raw, i * 2 + 1, F.lit(2 * n)))))
+
+        # two bytes a character, so that a substring is reached in constant time; bound once by the outer function
+        return F.flatten(F.transform(F.array(F.encode(text, "UTF-16BE")), of))
 
     return F.concat(*[grams(tag, F.concat(F.lit("^"), text, F.lit("$")), n) for tag, text in (("h", host), ("p", path)) for n in SIZES])
 
