@@ -8,7 +8,7 @@ from typing import Any
 
 @dataclass(frozen=True)
 class ProfileOptions:
-    # Option defaults as the option texts give them.
+    # Option defaults as the option texts give them; whole tables are profiled unless asked otherwise.
     round: bool = True
     max_in_count: int = 10
     distinct_ratio: float = 0.05
@@ -18,9 +18,9 @@ class ProfileOptions:
     num_sigmas: float = 3.0
     trim_strings: bool = True
     max_empty_ratio: float = 0.01
-    sample_fraction: float = 0.3
+    sample_fraction: float = 1.0
     sample_seed: int | None = None
-    limit: int | None = 1000
+    limit: int | None = None
     profile_types: tuple | None = None
     min_length: int | None = None
     max_length: int | None = None
@@ -51,8 +51,11 @@ class ProfileOptions:
         return {k: list(v) if isinstance(v, tuple) else v for k, v in asdict(self).items()}
 
 
+# The sample and limit of the option texts, for a quick look at a part of a table.
+QUICK_LOOK = ProfileOptions(sample_fraction=0.3, limit=1000)
+
 # The second preset, the defaults of the configuration form.
 FORM_PRESET = ProfileOptions(max_in_count=20, distinct_ratio=0.01, max_null_ratio=0.05,
-                             remove_outliers=False, max_empty_ratio=0.02)
+                             remove_outliers=False, max_empty_ratio=0.02, sample_fraction=0.3, limit=1000)
 
-__all__ = ["ProfileOptions", "FORM_PRESET"]
+__all__ = ["ProfileOptions", "FORM_PRESET", "QUICK_LOOK"]

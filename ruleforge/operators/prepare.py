@@ -60,8 +60,9 @@ def hash_sample(df: DataFrame, fraction: float, seed: int | None, key: Sequence[
     """P3 (D7): repeatable, partition-independent sample.
 
     With a key: ``substr(md5(key || ':' || seed), 1, 8) < hex(fraction·2^32)``
-    (DuckDB computes the same rows). Without a key the whole row is hashed with
-    ``xxhash64``. A fraction of 1 keeps everything, 0 keeps nothing (D8).
+    (DuckDB computes the same rows). Without a key every row is drawn by itself
+    (``DataFrame.sample``), so equal rows stay or go independently and any
+    column type will do. A fraction of 1 keeps everything, 0 nothing (D8).
     """
     if fraction is None or fraction >= 1:
         return df
@@ -72,8 +73,7 @@ def hash_sample(df: DataFrame, fraction: float, seed: int | None, key: Sequence[
     if key:
         h = F.substring(F.md5(F.concat(key_text(key), F.lit(f":{seed}"))), 1, 8)
         return df.where(h < F.lit(sample_threshold(fraction)))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), *[name_col(c) for c in df.columns]), F.lit(2 ** 32))
-    return df.where(bucket < F.lit(int(fraction * 2 ** 32)))
+    return df.sample(withReplacement=False, fraction=fraction, seed=seed)
 
 
 def trim_strings(df: DataFrame) -> DataFrame:

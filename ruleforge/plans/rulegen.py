@@ -122,7 +122,7 @@ def summarize_run(tables: Sequence[str], rules: DataFrame, warnings: Sequence[st
 
 
 def now_iso() -> str:
-    return dt.datetime.now(dt.timezone.utc).replace(microsecond=0, tzinfo=None).isoformat() + "Z"
+    return f"{dt.datetime.now(dt.timezone.utc):%Y-%m-%dT%H:%M:%SZ}"
 
 
 def run(spark: SparkSession, tables: Sequence[str], options: ProfileOptions, settings: RulegenSettings,
@@ -137,11 +137,13 @@ def run(spark: SparkSession, tables: Sequence[str], options: ProfileOptions, set
     created_at = created_at or now_iso()
     meta = {"profile_options": options.to_dict(),
             "generator_settings": {k: v for k, v in asdict(settings).items() if k not in {"columns", "parallelism", "table_location"}}}
+    # a stored row always names its table, also where rule documents leave the name out
+    named = (rules.withColumn("table_name", F.coalesce("table_name", "source_table")) if "source_table" in rules.columns else rules)
     written: list[str] = []
     if settings.output_format in {"yaml", "both"}:
         written = write_rule_files(rules, settings.output_yaml)
     if settings.output_format == "table":
-        append_rules(spark, to_stored_rows(rules, settings.created_by, created_at, generator_meta=meta),
+        append_rules(spark, to_stored_rows(named, settings.created_by, created_at, generator_meta=meta),
                      settings.output_table, settings.table_location)
     elif settings.output_format == "both":
         # the table holds exactly what the files say (K3)

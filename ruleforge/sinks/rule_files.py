@@ -57,10 +57,14 @@ def rule_yaml(rules: DataFrame) -> Column:
 
 
 def write_rule_files(rules: DataFrame, out_dir: str, table_col: str | None = None) -> str:
-    """Write rules as YAML under ``out_dir/table=<name>/``; returns ``out_dir``."""
+    """Write rules as YAML under ``out_dir/table=<name>/``; returns ``out_dir``.
+
+    Only the folders of the tables that these rules belong to are replaced.
+    """
     key = table_col or ("source_table" if "source_table" in rules.columns else "table_name")
     docs = rules.select(F.coalesce(F.col(key), F.lit("unknown")).alias(TABLE_DIR_COLUMN),
                         rule_yaml(rules).alias("value"))
-    (docs.repartition(TABLE_DIR_COLUMN).write.mode("overwrite").partitionBy(TABLE_DIR_COLUMN)
+    (docs.repartition(TABLE_DIR_COLUMN).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(TABLE_DIR_COLUMN)
      .option("lineSep", "\n").text(out_dir))
     return out_dir

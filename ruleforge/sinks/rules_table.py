@@ -15,24 +15,23 @@ from pyspark.sql import types as T
 
 from ..operators.generate import RULES_TABLE_SCHEMA
 
-# The column documentation of the stored rules table.
 COLUMN_COMMENTS = {
-    "check_id": "SHA-256 of the canonical payload: the stable identity of the rule.",
-    "check_id_payload": "Canonical JSON the check_id is computed from.",
-    "table_name": "Fully qualified table the rule applies to.",
-    "name": "Rule name.",
-    "criticality": "warn or error.",
-    "check": "The check: function, for_each_column and text arguments.",
-    "filter": "Optional SQL predicate: the rule applies only where it holds.",
-    "run_config_name": "Run configuration the rule belongs to.",
-    "user_metadata": "Free key/value annotations.",
-    "yaml_path": "File the rule was loaded from, or <generated://table>.",
-    "active": "Inactive rules are ignored by runners.",
-    "generator_meta": "Profile options and generator settings that produced the rule.",
-    "created_by": "Author of the rule.",
-    "created_at": "Creation time, ISO-8601 text.",
-    "updated_by": "Last editor.",
-    "updated_at": "Last edit time, ISO-8601 text.",
+    "check_id": "Hash of check_id_payload; equal for equal rules of a table.",
+    "check_id_payload": "What makes two rules the same, as sorted JSON.",
+    "table_name": "Table whose rows are judged.",
+    "name": "Name under which issues are reported.",
+    "criticality": "Issues go to errors (error) or to warnings (warn).",
+    "check": "Function, the columns it is repeated for, and its arguments as text.",
+    "filter": "Rows to judge, as a SQL condition; all rows without one.",
+    "run_config_name": "Group of rules that run together.",
+    "user_metadata": "Notes that are copied to the issues.",
+    "yaml_path": "Rule file, or the table of a generated rule.",
+    "active": "Whether the rule is applied.",
+    "generator_meta": "Options of the profile and of the run that made the rule.",
+    "created_by": "Who made the row.",
+    "created_at": "When the row was made (UTC).",
+    "updated_by": "Who changed the row last.",
+    "updated_at": "When the row was changed last (UTC).",
 }
 
 

@@ -22,28 +22,17 @@ DOC_SCHEMA = ("table_name string, name string, criticality string, run_config_na
 
 
 def stringify(value) -> str:
-    """The stored text of an argument value."""
-    if isinstance(value, (list, dict, tuple)):
-        return json.dumps(list(value) if isinstance(value, tuple) else value, sort_keys=True, separators=(",", ":"))
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    if value is None:
-        return "null"
-    return str(value)
+    """The stored text of an argument value: JSON for what JSON spells differently from text, else the text."""
+    as_json = value is None or isinstance(value, (bool, list, tuple, dict))
+    return json.dumps(value, sort_keys=True, separators=(",", ":")) if as_json else str(value)
 
 
 def _rules_of(text: str) -> list[dict]:
+    """The mappings of a file: each of its YAML documents is one, or a list of them."""
     import yaml
 
-    out: list[dict] = []
-    for doc in yaml.safe_load_all(text):
-        if not doc:
-            continue
-        if isinstance(doc, dict):
-            out.append(doc)
-        elif isinstance(doc, list):
-            out.extend(x for x in doc if isinstance(x, dict))
-    return out
+    entries = (doc if isinstance(doc, list) else [doc] for doc in yaml.safe_load_all(text))
+    return [entry for group in entries for entry in group if isinstance(entry, dict) and entry]
 
 
 def _table_of_path(path: str) -> str | None:

@@ -263,3 +263,17 @@ def test_run_from_discovery(spark):
     res = rulegen.run(spark, names, ProfileOptions(sample_fraction=1.0, limit=None),
                       rulegen.RulegenSettings(output_format="yaml", output_yaml=scratch_dir(spark, "t-disc")))
     assert {r["status"] for r in res.summary.collect()} == {"ok"}
+
+
+def test_argument_types_follow_the_signature():
+    assert parse_argument("allowed", "click, view") == ["click", "view"] and parse_argument("allowed", '["a", 1]') == ["a", 1]
+    assert parse_argument("regex", "[5]") == "[5]" and parse_argument("days", "x1") == "x1" and parse_argument("days", "-2") == -2
+
+
+def test_a_second_run_keeps_the_rules_of_other_tables(spark, tmp_path):
+    from ruleforge.operators.generate import generate_rules
+    from ruleforge.operators.profile import profile
+    from ruleforge.sinks.rule_files import write_rule_files
+    for name in ("one", "two", "one"):
+        write_rule_files(generate_rules(profile(spark.range(100), table_name=name)), str(tmp_path / "rules"))
+    assert sorted(p.name for p in (tmp_path / "rules").glob("table=*")) == ["table=one", "table=two"]

@@ -71,9 +71,14 @@ def test_types_columns_and_empty_sample(spark):
 
 def test_sample_and_limit_are_repeatable(spark):
     df = spark.range(0, 5000).withColumn("v", F.col("id") % 97)
-    a = hash_sample(df.repartition(3), 0.2, 11).select("id").collect()
-    b = hash_sample(df.repartition(8), 0.2, 11).select("id").collect()
+    a = hash_sample(df.repartition(3), 0.2, 11, ["id"]).select("id").collect()
+    b = hash_sample(df.repartition(8), 0.2, 11, ["id"]).select("id").collect()
     assert sorted(a) == sorted(b) and 700 < len(a) < 1300
+    # without a key rows are drawn one by one: equal rows don't stay or go together, and a map column will do
+    few = spark.range(0, 5000).select((F.col("id") % 3).alias("v"), F.create_map(F.lit("k"), F.lit(1)).alias("m"))
+    for seed in (1, 2, 3):
+        got = hash_sample(few, 0.2, seed)
+        assert 700 < got.count() < 1300 and got.select("v").distinct().count() == 3
     # with a key: the first rows in key order, whatever the partitioning
     keyed = ProfileOptions(sample_fraction=0.5, sample_seed=3, limit=100, sample_key=("id",))
     x = sorted(prepare(df.repartition(2), keyed).collect())
