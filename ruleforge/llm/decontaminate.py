@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import col, id_type, ship, stage
 
-BITS = 16                # terms
+BITS = 14                # terms
 RANK = 128               # latent dimensions
 STEP, PASSAGE = 32, 64   # words from passage to passage, and in one
 SAMPLE = 4096            # passages that the basis is fitted on at most, the first by hash
