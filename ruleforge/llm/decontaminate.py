@@ -35,7 +35,7 @@ RANK = 128               # latent dimensions
 STEP, PASSAGE = 32, 64   # words from passage to passage, and in one
 SAMPLE = 4096            # passages that the basis is fitted on at most, the first by hash
 ITEM_WEIGHT = 6.0        # weight of benchmark passages in the fit
-COSINE = 0.30            # candidates
+COSINE = 0.25            # candidates
 COPY, PARAPHRASE, ANSWER = 0.8, 0.55, 0.8  # parts of the item, or of its answer, in order
 BLOCK_ITEMS = 5000
 
