@@ -11,7 +11,7 @@ from typing import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ruleforge.session import ensure_checkpoint_dir, scratch_dir
+from ruleforge.session import scratch_dir
 
 
 def col(name: str) -> Column:
@@ -31,13 +31,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_dir(df.sparkSession, f"llm-{name}")
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    written = df.sparkSession.read.parquet(path)
+    written._ruleforge_path = path
+    return written
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder (never a local one)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Reliable cut of the lineage: a written table in the shared folder, compressed and of known size (never a local one)."""
+    return stage(df, "cut")
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Delete tables that ``stage`` wrote and that nothing reads any more, since what was made of them is written itself."""
+    for df in frames:
+        path = getattr(df, "_ruleforge_path", None)
+        if path is not None:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def ship(spark: SparkSession) -> None:

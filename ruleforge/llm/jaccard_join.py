@@ -37,7 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpoint, col, id_type, map_batches, stage, texts_of
+from .common import checkpoint, col, id_type, map_batches, release, stage, texts_of
 from .components import connected
 
 HOT = 256                    # documents with a column in their prefix beyond which it is moved to the end
@@ -154,7 +154,9 @@ class Join:
             pairs = pairs.join(on.select(F.col("cid").alias("cid" + s), F.lit(True).alias("on" + s)), "cid" + s, "left")
         pairs = pairs.filter(F.col("on_a").isNull() | F.col("on_b").isNull())
         pairs = pairs.filter(seen_a + seen_b - 2 * F.col("both") <= self.allowed(F.col("n_a"), F.col("n_b")))
-        return checkpoint(pairs.select("cid_a", "cid_b")), on, found
+        pairs = checkpoint(pairs.select("cid_a", "cid_b"))
+        release(counts, shared)
+        return pairs, on, found
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs that link, by their whole sets."""
@@ -222,7 +224,7 @@ class Join:
         now = reps = stage(reps, "classes")
         seen = rows.groupBy("rk").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0]
         self.repeated = bool(seen and seen > 1)
-        hot, pairs, spent, links = np.empty(0, dtype=np.int64), [], [], []
+        hot, pairs, prefixes, links = np.empty(0, dtype=np.int64), [], [], []
         while True:
             open_pairs, on, found = self.candidates(now)
             pairs.append(open_pairs)
@@ -230,16 +232,20 @@ class Join:
                 break
             hot = np.union1d(hot, found)
             now = stage(self.sets(on, reps, hot), "prefixes")
-            spent.append(now.filter("spent").select("cid"))
-        pairs = checkpoint(_union(pairs).distinct())
-        ends = checkpoint(_union(spent).distinct()) if spent else None
+            release(on)
+            prefixes.append(now)
+        rounds, pairs = pairs, checkpoint(_union(pairs).distinct())
+        ends = checkpoint(_union([p.filter("spent").select("cid") for p in prefixes]).distinct()) if prefixes else None
+        release(on, *rounds, *prefixes)
         ends = ends if ends is not None and not ends.isEmpty() else None
         wanted = pairs.select(F.col("cid_a").alias("cid")).union(pairs.select("cid_b"))
         sets = stage(self.sets(wanted if ends is None else wanted.union(ends), reps), "sets")
         links.append(self.verified(pairs, sets))
         if ends is not None:
             links.append(self.families(stage(self.sets(ends, reps, hot), "spent").filter("spent"), sets))
-        return self.labelled(rows, checkpoint(_union(links)))
+        links = checkpoint(_union(links))
+        release(pairs, sets, reps)
+        return self.labelled(rows, links)
 
     def labelled(self, rows: DataFrame, links: DataFrame) -> DataFrame:
         roots = connected(links, "cid_a", "cid_b").select(F.col("node").alias("cid"), "root")
