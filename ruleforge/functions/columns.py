@@ -10,8 +10,9 @@ from __future__ import annotations
 import datetime as _dt
 import re
 from typing import Any, Iterable
+from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -52,6 +53,9 @@ def timestamp_lit(value: Any) -> Column:
     if isinstance(value, Column):
         return value
     if isinstance(value, _dt.datetime):
+        if value.tzinfo is not None:  # the same moment on the session's clock
+            zone = SparkSession.active().conf.get("spark.sql.session.timeZone")
+            value = value.astimezone(ZoneInfo(zone)).replace(tzinfo=None)
         value = value.isoformat(sep=" ")
     return F.lit(str(value)).cast("timestamp_ntz")
 

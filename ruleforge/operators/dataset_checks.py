@@ -184,6 +184,10 @@ def attach_grouped_aggregates(df: DataFrame, ctx: CheckContext, specs: Sequence[
     agg = (_base(ctx.source.withColumns(keyed), ctx).groupBy(*gk)
            .agg(*[sp.agg_expr().alias(v) for sp, v in zip(specs, vals)])
            .select(*[F.col(a).alias(b) for a, b in zip(gk, rk)], *vals))
+    if not any(isinstance(sp.limit, (str, Column)) for sp in specs):
+        # no limit depends on the row: only groups that fail one of the checks are joined back
+        agg = agg.where(any_of(F.coalesce(sp.compare(F.col(v), to_value(sp.limit)), F.lit(False))
+                               for sp, v in zip(specs, vals)))
     out = _key_join(df.withColumns(keyed), agg, gk, rk, null_safe=True)
     results = []
     for sp, v in zip(specs, vals):
@@ -325,7 +329,8 @@ def sql_query(query: str, merge_columns: Sequence[str], condition_column: str,
             cond = ~cond
         # one verdict per merge key: no row of the input multiplies
         verdict = (res.groupBy(*[F.col(m).alias(r) for m, r in zip(merge, rk)])
-                   .agg(F.bool_or(cond).alias(flag)))
+                   .agg(F.bool_or(cond).alias(flag))
+                   .where(F.col(flag)))  # only failing keys are joined back
         out = _key_join(df, verdict, merge, rk, null_safe=True).drop(*rk)
         fail = _judged(ctx) & F.coalesce(F.col(flag), F.lit(False))
         text_msg = msg or f"Value is {'not ' if negate else ''}matching query condition column '{condition_column}'"
@@ -345,6 +350,15 @@ def _name_in(frame: DataFrame, col: Any) -> str:
     return names[0]
 
 
+def _comparable(t: T.DataType) -> bool:
+    """Types whose values Spark can order and compare: none that holds a map or a variant."""
+    if isinstance(t, T.ArrayType):
+        return _comparable(t.elementType)
+    if isinstance(t, T.StructType):
+        return all(_comparable(f.dataType) for f in t.fields)
+    return not isinstance(t, (T.MapType, T.VariantType))
+
+
 def compare_report(df: DataFrame, ref: DataFrame, columns: Sequence[Any], ref_columns: Sequence[Any],
                    exclude_columns: Sequence[Any] | None = None, check_missing_records: bool = False,
                    null_safe_row_matching: bool = True, null_safe_column_value_matching: bool = True,
@@ -357,11 +371,11 @@ def compare_report(df: DataFrame, ref: DataFrame, columns: Sequence[Any], ref_co
     ``check_missing_records``, ``ambiguous`` = the reference holds several
     different rows for the key) and ``changed_col`` (sorted, comma-joined
     names of differing columns). Only columns present on both sides are
-    compared; map columns are skipped; key columns are not compared.
+    compared; columns that hold a map are skipped; key columns are not compared.
 
-    Plan: the reference is reduced to one row per key (``dropDuplicates`` then
-    ``groupBy`` with a count of versions), then LEFT-joined to the input, so
-    the input is never multiplied and its hot keys can be split by AQE.
+    Plan: the reference is reduced to one row per key (one ``groupBy`` with the
+    least and greatest version), then LEFT-joined to the input, so the input
+    is never multiplied and its hot keys can be split by AQE.
     Missing records come from a LEFT ANTI join of reference keys against the
     distinct input keys, appended with ``unionByName`` - no full outer join.
     """
@@ -373,25 +387,22 @@ def compare_report(df: DataFrame, ref: DataFrame, columns: Sequence[Any], ref_co
     ref_types = {f.name: f.dataType for f in ref.schema.fields}
     compared = [f.name for f in df.schema.fields
                 if f.name in ref_types and f.name not in keys and f.name not in excl
-                and not isinstance(f.dataType, T.MapType) and not isinstance(ref_types[f.name], T.MapType)]
+                and _comparable(f.dataType) and _comparable(ref_types[f.name])]
 
     rk = [f"{HELPER}rk{i}_{tag}" for i in range(len(keys))]
     rv = [f"{HELPER}rv{j}_{tag}" for j in range(len(compared))]
     nv = f"{HELPER}nv_{tag}"
-    rks = [k + "_s" for k in rk]
 
     refv = ref.select(*[F.col(c).alias(k) for c, k in zip(rkeys, rk)],
                       *[F.col(c).alias(v) for c, v in zip(compared, rv)])
     if not null_safe_row_matching:
         refv = refv.where(all_of(F.col(k).isNotNull() for k in rk))
-    refv = refv.dropDuplicates()
-    # one row per reference key: its number of distinct versions and, when there is exactly one,
-    # that version's values (hash aggregates and joins on the reference side only)
-    versions = refv.groupBy(*rk).agg(F.count(F.lit(1)).alias(nv))
-    single_keys = versions.where(F.col(nv) == 1).select(*[F.col(a).alias(b) for a, b in zip(rk, rks)])
-    single = _key_join(refv, single_keys, rk, rks, null_safe=True, how="left_semi")
-    one_per_key = _key_join(versions, single.select(*[F.col(a).alias(b) for a, b in zip(rk, rks)], *rv),
-                            rk, rks, null_safe=True).drop(*rks)
+    # one row per reference key from one aggregation: its least and greatest version differ when it has several
+    least, greatest = f"{HELPER}least_{tag}", f"{HELPER}greatest_{tag}"
+    version = F.struct(F.lit(0).alias("_"), *[F.col(v) for v in rv])
+    one_per_key = (refv.groupBy(*rk).agg(F.min(version).alias(least), F.max(version).alias(greatest))
+                   .select(*rk, F.when(F.col(least).eqNullSafe(F.col(greatest)), 1).otherwise(2).alias(nv),
+                           *[F.col(least)[v].alias(v) for v in rv]))
 
     joined = _key_join(df, one_per_key, keys, rk, null_safe=null_safe_row_matching)
 
@@ -441,6 +452,8 @@ def compare_datasets(columns: Sequence[Any], ref_columns: Sequence[Any], exclude
         out = compare_report(df, ref, columns, ref_columns, exclude_columns, check_missing_records,
                              null_safe_row_matching, null_safe_column_value_matching,
                              status_col=st, changed_col=ch, tag=ctx.tag, source=ctx.source)
+        if check_missing_records:  # marks the appended rows, which no other rule judges (see apply.py)
+            out = out.withColumn(ctx.col("missing"), F.col(st) == "missing")
         judged = F.lit(True) if ctx.filter is None else (F.coalesce(ctx.filter, F.lit(False))
                                                        | (F.col(st) == "missing"))
         fail = judged & (F.col(st) != F.lit("matched"))
@@ -480,18 +493,20 @@ def is_data_fresh_per_time_window(column: Any, window_minutes: int, min_records_
         ts = to_col(column)
         scope = ts.isNotNull()
         if lookback_windows is not None:
-            start = current_ts(curr_timestamp) - F.make_dt_interval(
-                mins=F.lit(int(lookback_windows) * int(window_minutes)))
-            scope = scope & (ts >= start)
+            now = current_ts(curr_timestamp)
+            start = now - F.make_dt_interval(mins=F.lit(int(lookback_windows) * int(window_minutes)))
+            scope = scope & (ts >= start) & (ts <= now)
         tt = _time_type(ctx.source, ts)
         src = df.withColumn(wk, F.when(scope, _window_start(ts, window_minutes, tt)))
         counts = (_base(ctx.source.withColumn(wk, F.when(scope, _window_start(ts, window_minutes, tt))), ctx)
                   .where(F.col(wk).isNotNull())
-                  .groupBy(F.col(wk).alias(rwk)).agg(F.count(F.lit(1)).alias(cnt)))
+                  .groupBy(F.col(wk).alias(rwk)).agg(F.count(F.lit(1)).alias(cnt))
+                  # only windows that fail are joined back; a judged row's window counts at least that row
+                  .where(F.col(cnt) < int(min_records_per_window)))
         out = _key_join(src, counts, [wk], [rwk], null_safe=False).drop(rwk)
-        fail = _judged(ctx) & F.col(wk).isNotNull() & (F.coalesce(F.col(cnt), F.lit(0)) < int(min_records_per_window))
+        fail = _judged(ctx) & F.col(cnt).isNotNull()
         msg = F.concat(F.lit("Window starting "), F.col(wk).cast("string"), F.lit(" holds "),
-                       F.coalesce(F.col(cnt), F.lit(0)).cast("string"),
+                       F.col(cnt).cast("string"),
                        F.lit(f" records, fewer than {int(min_records_per_window)}"))
         return out, fail, msg
 

@@ -86,7 +86,7 @@ def limit_rows(df: DataFrame, limit: int | None, key: Sequence[str] = (), seed:
     """At most ``limit`` rows (0 / None = no limit, D8).
 
     With a key the rows are the first ``limit`` in key order, exactly and the
-    same on every run; ``top_k`` narrows the candidates first, so no single task
+    same on every run; ``top_k`` ranks in two levels, so no single task
     receives partitions × limit rows. Without a key they are the first rows
     read (the option's meaning): a plain limit, where each task stops after
     ``limit`` rows and the final task reads about ``limit`` rows, so a huge

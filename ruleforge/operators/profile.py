@@ -42,12 +42,20 @@ PROFILE_SCHEMA = T.StructType([
     T.StructField("min_kept", T.DoubleType()),
     T.StructField("max_kept", T.DoubleType()),
     T.StructField("outliers_removed", T.BooleanType()),
+    # the kept bounds of whole-number and decimal columns in their own type, as text: doubles round them
+    T.StructField("min_text", T.StringType()),
+    T.StructField("max_text", T.StringType()),
 ])
 
 
 STATS_CHUNK = 128  # columns per statistics aggregate
 
 
+def _exact(dt: T.DataType) -> bool:
+    """Numbers with an exact text of their own: whole numbers and decimals."""
+    return is_numeric(dt) and not isinstance(dt, (T.FloatType, T.DoubleType))
+
+
 def _screen_limit(options: ProfileOptions) -> int:
     return 2 * int(options.max_in_count) + 10
 
@@ -74,6 +82,8 @@ def column_stats(prep: DataFrame, options: ProfileOptions, table_name: str | Non
                 # "+ 0.0" turns a -0.0 bound into 0.0 (both compare equal; report one spelling)
                 exprs += [(F.min(md) + F.lit(0.0)).alias(f"min{i}"), (F.max(md) + F.lit(0.0)).alias(f"max{i}"),
                           F.avg(md).alias(f"avg{i}"), F.stddev_samp(md).alias(f"sd{i}")]
+                if _exact(f.dataType):
+                    exprs += [F.min(m).cast("string").alias(f"tmin{i}"), F.max(m).cast("string").alias(f"tmax{i}")]
         row.update(prep.agg(*exprs).collect()[0].asDict())  # one row: bounded by the chunk width
 
     outlier_set = set(options.outlier_columns or [])
@@ -91,10 +101,16 @@ def column_stats(prep: DataFrame, options: ProfileOptions, table_name: str | Non
             if row[f"min{i}"] >= lo and row[f"max{i}"] <= hi:
                 # nothing lies outside the band: the kept bounds are the raw ones, no second pass
                 row[f"kmin{i}"], row[f"kmax{i}"] = row[f"min{i}"], row[f"max{i}"]
+                row[f"ktmin{i}"], row[f"ktmax{i}"] = row.get(f"tmin{i}"), row.get(f"tmax{i}")
                 continue
-            md = masked(name_col(f.name), f.dataType, options).cast("double")
-            kept = F.when((md >= F.lit(lo)) & (md <= F.lit(hi)), md)
+            m = masked(name_col(f.name), f.dataType, options)
+            md = m.cast("double")
+            inside = (md >= F.lit(lo)) & (md <= F.lit(hi))
+            kept = F.when(inside, md)
             cond_exprs += [(F.min(kept) + F.lit(0.0)).alias(f"kmin{i}"), (F.max(kept) + F.lit(0.0)).alias(f"kmax{i}")]
+            if _exact(f.dataType):
+                own = F.when(inside, m)
+                cond_exprs += [F.min(own).cast("string").alias(f"ktmin{i}"), F.max(own).cast("string").alias(f"ktmax{i}")]
         if cond_exprs:
             row.update(prep.agg(*cond_exprs).collect()[0].asDict())
 
@@ -109,7 +125,8 @@ def column_stats(prep: DataFrame, options: ProfileOptions, table_name: str | Non
                      row.get(f"avg{i}") if num else None, row.get(f"sd{i}") if num else None,
                      (row.get(f"kmin{i}") if removed else row.get(f"min{i}")) if num else None,
                      (row.get(f"kmax{i}") if removed else row.get(f"max{i}")) if num else None,
-                     removed))
+                     removed,
+                     row.get(f"ktmin{i}" if removed else f"tmin{i}"), row.get(f"ktmax{i}" if removed else f"tmax{i}")))
     # the statistics of a handful of columns, not data rows
     return spark.createDataFrame(rows, PROFILE_SCHEMA)
 

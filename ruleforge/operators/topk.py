@@ -1,92 +1,43 @@
-"""Exact top-n rows by an ordering, without funnelling partitions × n rows into one task.
+"""Exact top-n rows by an ordering, in one pass, without funnelling partitions × n rows into one task.
 
 Spark plans ``orderBy(...).limit(n)`` as ``TakeOrderedAndProject``: every
 partition keeps its own n best rows and all of them go to a single task. On
 a table split into hundreds of thousands of partitions that task receives
-partitions × n rows. ``top_k`` narrows the candidates first:
-
-1. count the candidates; at most ``final_rows`` → plain ordered limit;
-2. from a bounded random sample of the first sort column (at most about
-   ``sample_rows`` values reach the driver) pick a value q whose rank stands
-   for about ``2n`` candidates;
-3. count the rows strictly before q (``m``). If ``m >= n`` the answer lies
-   among them: narrow to them and repeat. Otherwise the answer is those m rows
-   plus the best ``n - m`` rows among the ties ``= q``, found by the same
-   procedure on the remaining sort columns (when there are none, any
-   ``n - m`` ties are equally right).
-
-Every filter is a plain comparison on one column, pushed into the scan; the
-final ordered limit runs on at most ``final_rows`` rows. The result is exact.
+partitions × n rows. ``top_k`` puts a level between: partitions are dealt to
+``BUCKETS`` buckets, each bucket keeps its n best rows, and the last task
+receives ``BUCKETS`` × n rows at most. Spark plans the ranking as
+``WindowGroupLimit`` on both sides of its shuffle, so a task sends n rows.
+
+Spark does so up to ``spark.sql.optimizer.windowGroupLimitThreshold`` rows;
+beyond it the ranking would shuffle the whole table, and the plain ordered
+limit is used. The rows are the same either way, ties in all columns apart.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BUCKETS = 64
+_BUCKET, _RANK = "__rf_bucket", "__rf_rank"
+
 
 def order_columns(order: Sequence[tuple[str, bool]]) -> list[Column]:
     return [F.col(c).desc() if desc else F.col(c).asc() for c, desc in order]
 
 
-def _before(col: str, desc: bool, q) -> Column:
-    """Rows sorting strictly before q (ascending: NULLs first; descending: NULLs last)."""
-    c = F.col(col)
-    return (c > F.lit(q)) if desc else (c.isNull() | (c < F.lit(q)))
-
-
-def _threshold(cand: DataFrame, col: str, desc: bool, total: int, n: int, sample_rows: int, seed: int,
-               factor: float):
-    frac = min(1.0, sample_rows / max(total, 1))
-    values = sorted(r[0] for r in cand.where(F.rand(seed) < frac).where(F.col(col).isNotNull())
-                    .select(col).collect())  # at most ~sample_rows values
-    if not values:
-        return None
-    want = min(len(values), max(1, int(factor * n * len(values) / total) + 1))
-    return values[want - 1] if not desc else values[len(values) - want]
-
-
-def top_k(df: DataFrame, order: Sequence[tuple[str, bool]], n: int, final_rows: int = 1_000_000,
-          sample_rows: int = 20_000, max_rounds: int = 8, seed: int = 17) -> DataFrame:
+def top_k(df: DataFrame, order: Sequence[tuple[str, bool]], n: int) -> DataFrame:
     """The first ``n`` rows of ``df`` ordered by ``order`` = [(column, descending), ...]."""
     if not order:
         raise ValueError("top_k needs an ordering")
     n = int(n)
-    return _top_k(df, list(order), n, df.count(), final_rows, sample_rows, max_rounds, seed)
-
-
-def _top_k(cand: DataFrame, order: list, n: int, total: int, final_rows: int, sample_rows: int,
-           rounds: int, seed: int) -> DataFrame:
-    full = order_columns(order)
     if n <= 0:
-        return cand.limit(0)
-    factor = 2.0
-    for _ in range(rounds):
-        if total <= max(final_rows, n):
-            return cand.orderBy(*full).limit(n)
-        col, desc = order[0]
-        q = _threshold(cand, col, desc, total, n, sample_rows, seed, factor)
-        if q is None:  # only NULLs in the first column: they all tie
-            break
-        before = cand.where(_before(col, desc, q))
-        m = before.count()
-        if m >= n:  # the answer lies strictly before q
-            if m >= total:
-                break
-            cand, total = before, m
-            continue
-        ties = cand.where(F.col(col) == F.lit(q))
-        t = ties.count()
-        if m + t < n:  # q sorts too early: the answer reaches past it; widen and retry
-            factor *= 4
-            continue
-        # all m rows before q belong to the answer; the rest are the best n - m of the ties
-        rest = order[1:]
-        if rest:
-            tied = _top_k(ties, rest, n - m, t, final_rows, sample_rows, rounds, seed + 1)
-        else:
-            tied = ties.limit(n - m)  # fully tied rows are interchangeable
-        return before.unionByName(tied).orderBy(*full).limit(n)
-    return cand.orderBy(*full).limit(n)
+        return df.limit(0)
+    by = order_columns(order)
+    if n <= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        rank = F.row_number().over(Window.partitionBy(_BUCKET).orderBy(*by))
+        df = (df.withColumn(_BUCKET, F.pmod(F.spark_partition_id(), F.lit(BUCKETS))).withColumn(_RANK, rank)
+              .where(F.col(_RANK) <= n).drop(_BUCKET, _RANK))
+    return df.orderBy(*by).limit(n)

@@ -76,11 +76,16 @@ def build_condition(rule: dict):
 
 
 def apply_checks(df: DataFrame, rules: Iterable[dict] | DataFrame, refs: dict[str, DataFrame] | None = None,
-                 run_config_name: str | None = None, spark: SparkSession | None = None) -> DataFrame:
-    """Annotate every row of ``df`` with the rules it violates."""
+                 run_config_name: str | None = None, spark: SparkSession | None = None,
+                 table_name: str | None = None) -> DataFrame:
+    """Annotate every row of ``df`` with the rules it violates.
+
+    ``rules`` may be a stored rules table; ``table_name`` picks one table's rules and is required where it
+    holds those of several.
+    """
     if isinstance(rules, DataFrame):
         from .rules import rules_from_table
-        rules = rules_from_table(rules)
+        rules = rules_from_table(rules, table_name)
     spark = spark or df.sparkSession
     selected = select_rules(rules, run_config_name)
     # issues from an earlier run on the same frame are kept and extended, not duplicated
@@ -109,6 +114,7 @@ def apply_checks(df: DataFrame, rules: Iterable[dict] | DataFrame, refs: dict[st
         return frame.withColumns({flag: F.coalesce(fail, F.lit(False)), text: F.when(fail, message)})
 
     out = df
+    judged: list[tuple[int, dict, Column, Column]] = []
     for i, (rule, kind, cond) in enumerate(built):
         filt = F.expr(rule["filter"]) if rule.get("filter") else None
         name = rule.get("name") or cond.name
@@ -130,8 +136,15 @@ def apply_checks(df: DataFrame, rules: Iterable[dict] | DataFrame, refs: dict[st
                     out, f, msg = cond.attach(out, ctx)
                     out = freeze(out, i, f, msg)
             fail, message = frozen[i]
-        item = (fail, _issue(name, message, rule))
-        (errors if rule["criticality"] == "error" else warnings).append(item)
+        judged.append((i, rule, fail, _issue(name, message, rule)))
+
+    # rows that a comparison appended are judged by that comparison alone
+    appended = {i: f"{HELPER}missing_{i}" for i in range(len(built)) if f"{HELPER}missing_{i}" in out.columns}
+    for i, rule, fail, issue in judged:
+        for j, flag in appended.items():
+            if j != i:
+                fail = fail & ~F.coalesce(F.col(flag), F.lit(False))
+        (errors if rule["criticality"] == "error" else warnings).append((fail, issue))
 
     keep = [c for c in out.columns if not c.startswith(HELPER) and c not in earlier]
     extra = [c for c in keep if c not in original]  # e.g. nothing today; kept for safety

@@ -172,9 +172,11 @@ def chk_fresh_per_window(spark, sf):
 
 
 @query("chk_fresh_lookback", "G9",
-       oracle("SELECT *, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 2880 MINUTE) "
+       oracle("SELECT *, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 2880 MINUTE "
+              "AND ts <= TIMESTAMP '2024-01-31 00:00:00') "
               "OVER (PARTITION BY time_bucket(INTERVAL 120 MINUTE, ts)) AS n FROM events", ["event_id"],
-              "ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 2880 MINUTE AND n < 20", "two_hour_arrivals"))
+              "ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 2880 MINUTE "
+              "AND ts <= TIMESTAMP '2024-01-31 00:00:00' AND n < 20", "two_hour_arrivals"))
 def chk_fresh_lookback(spark, sf):
     return checked(table(spark, sf, "events"),
                    [rule("is_data_fresh_per_time_window", "two_hour_arrivals", column="ts", window_minutes=120,

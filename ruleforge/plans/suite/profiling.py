@@ -212,7 +212,8 @@ def rules_duck(max_null=0.01, max_empty=0.01, max_in=10, ratio=0.05, outliers=Tr
         "UNION ALL SELECT column_name || '_is_not_null_or_empty', '`' || column_name || '` IS NOT NULL AND trim(`' || "
         "column_name || '`) <> ''''', 'not_null_or_empty' FROM s "
         f"WHERE kind = 'str' AND nulls / n <= {max_null} AND empties / n <= {max_empty} "
-        "UNION ALL SELECT column_name || '_is_in', '`' || column_name || '` IN (' || " + _quoted_list() + " || ')', 'is_in' "
+        "UNION ALL SELECT column_name || '_is_in', CASE WHEN kind = 'str' THEN 'trim(`' || column_name || '`)' "
+        "ELSE '`' || column_name || '`' END || ' IN (' || " + _quoted_list() + " || ')', 'is_in' "
         f"FROM s WHERE kind IN ('str', 'num') AND nd <= {max_in} AND nd / n < {ratio} "
         "UNION ALL SELECT column_name || '_min_max', '`' || column_name || '` >= ' || "
         "CAST(CAST(floor(min_kept) AS BIGINT) AS VARCHAR) || ' AND `' || column_name || '` <= ' || "

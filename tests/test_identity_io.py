@@ -148,7 +148,7 @@ def test_top_k_is_exact_when_narrowing(spark):
     for order in ([("v", False), ("id", False)], [("v", True), ("id", True)], [("w", False), ("id", True)]):
         cols = [F.col(c).desc() if d else F.col(c).asc() for c, d in order]
         expect = [tuple(r) for r in df.orderBy(*cols).limit(250).collect()]
-        got = [tuple(r) for r in top_k(df, order, 250, final_rows=100, sample_rows=2000).collect()]
+        got = [tuple(r) for r in top_k(df, order, 250).collect()]
         assert got == expect, order
 
 
@@ -244,11 +244,11 @@ def test_top_k_descends_into_ties(spark):
     for order in ([("g", False), ("h", True), ("id", False)], [("g", True), ("id", True)]):
         cols = [F.col(c).desc() if d else F.col(c).asc() for c, d in order]
         expect = [tuple(r) for r in df.orderBy(*cols).limit(300).collect()]
-        got = [tuple(r) for r in top_k(df, order, 300, final_rows=200, sample_rows=1000).collect()]
+        got = [tuple(r) for r in top_k(df, order, 300).collect()]
         assert got == expect, order
     # fully tied rows: any n of them
     const = df.select(F.lit(1).alias("k"), "id")
-    assert top_k(const, [("k", False)], 50, final_rows=10, sample_rows=500).count() == 50
+    assert top_k(const, [("k", False)], 50).count() == 50
 
 
 def test_run_from_discovery(spark):

@@ -24,7 +24,7 @@ def test_rounding(spark):
 
 def test_few_values_by_count_and_ratio(spark):
     df = spark.createDataFrame([(["A", "B", "C"][i % 3],) for i in range(90)], "status string")
-    assert rules_of(spark, df)["status_is_in"] == "`status` IN ('A', 'B', 'C')"
+    assert rules_of(spark, df)["status_is_in"] == "trim(`status`) IN ('A', 'B', 'C')"
     df2 = spark.createDataFrame([(f"v{i % 10}",) for i in range(1000)], "s string")
     assert "s_is_in" in rules_of(spark, df2)
     assert "s_is_in" not in rules_of(spark, df2, FULL.with_(distinct_ratio=0.005))
