@@ -3,9 +3,9 @@
 * Row-level checks (and ``foreign_key`` against a static reference, a
   stream-static LEFT join) are plain projections of the stream:
   ``apply_checks_stream`` returns a streaming DataFrame.
-* Windowed freshness uses event-time windows with a watermark; windows are
-  emitted once the watermark passes their end (append mode), so state stays
-  bounded by the watermark delay.
+* Windowed freshness uses event-time windows with a watermark, so state stays
+  bounded by its delay. A running stream emits a window once the watermark
+  passes its end (append mode); a bounded run gives all windows.
 * Other dataset-level checks need the whole micro-batch: they run per batch
   through ``foreachBatch`` (``apply_checks_per_batch``).
 """
@@ -36,8 +36,13 @@ def apply_checks_stream(stream: DataFrame, rules: Iterable[dict], refs: dict[str
 
 
 def window_counts_stream(stream: DataFrame, column: str, window_minutes: int, min_records_per_window: int,
-                         watermark: str = "0 minutes") -> DataFrame:
-    """Records per tumbling window, emitted when the watermark passes the window end."""
+                         watermark: str) -> DataFrame:
+    """Records per tumbling window.
+
+    ``watermark`` is how late a row may come; later ones are not counted. In
+    append mode a window is emitted once the watermark has passed its end;
+    ``run_windows`` gives every window of a bounded run.
+    """
     ntz = dict(stream.dtypes).get(column) == "timestamp_ntz"
     if ntz:  # event time must be a TIMESTAMP; zone-less values are read as UTC (session zone)
         stream = stream.withColumn(column, F.col(column).cast("timestamp"))
@@ -60,10 +65,30 @@ def apply_checks_per_batch(rules: Iterable[dict], sink: Callable[[DataFrame, int
     return run
 
 
-def file_stream(spark: SparkSession, folder: str, file_name: str, schema) -> DataFrame:
-    """A file source over one file name of a folder (the test tables are single parquet files)."""
-    return (spark.readStream.schema(schema).option("pathGlobFilter", file_name)
-            .option("maxFilesPerTrigger", 1).parquet(folder))
+def file_stream(spark: SparkSession, folder: str, file_name: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    """A file source over the files of a folder with one name or pattern; all new files make a batch unless limited."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_name)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(folder)
+
+
+def run_windows(counts: DataFrame, out_dir: str) -> DataFrame:
+    """Every window of the available input, the newest included: the last count that the run gave for each.
+
+    Each batch's changed windows are a folder of their own, overwritten when the batch is run again.
+    """
+    def sink(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_dir}/data/epoch={epoch}")
+
+    q = (counts.writeStream.outputMode("update").foreachBatch(sink)
+         .option("checkpointLocation", out_dir + "/_checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    changes = counts.sparkSession.read.parquet(out_dir + "/data")
+    last = changes.groupBy("window_start", "window_end").agg(F.max_by(F.struct("records", "fresh"), "epoch").alias("last"))
+    return last.select("window_start", "window_end", "last.records", "last.fresh")
 
 
 def run_to_parquet(stream: DataFrame, out_dir: str, output_mode: str = "append") -> DataFrame:

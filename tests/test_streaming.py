@@ -43,3 +43,17 @@ def test_dataset_checks_per_batch(spark):
     batch = summarize(apply_checks(spark.read.parquet(f"{SF_SMALL}/lineitem.parquet"), [rule]),
                       ["l_orderkey", "l_linenumber"])
     assert sorted(got.collect()) == sorted(batch.collect())
+
+
+def test_bounded_run_gives_every_window_over_several_batches(spark, tmp_path):
+    import datetime as dt
+
+    from ruleforge.streaming.checks import file_stream, run_windows, window_counts_stream
+    day = dt.datetime(2024, 1, 1)
+    for k in range(3):  # each file holds rows of the windows before, too
+        rows = [(day + dt.timedelta(minutes=30 * m),) for m in range(2 * k + 2)]
+        spark.createDataFrame(rows, "ts timestamp_ntz").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = file_stream(spark, str(tmp_path / "in"), "*.parquet", "ts timestamp_ntz", files_per_batch=1)
+    got = run_windows(window_counts_stream(stream, "ts", 60, 3, watermark="1 day"), str(tmp_path / "out"))
+    assert sorted((r["window_start"].hour, r["records"], r["fresh"]) for r in got.collect()) == [
+        (0, 6, True), (1, 4, True), (2, 2, False)]
