@@ -2,18 +2,21 @@
 
 Every text is read in overlapping passages of words. Words are hashed to
 ``2**BITS`` terms, weighted by inverse document frequency counted over all
-passages of the corpus. A randomised SVD, run as Spark jobs over a bounded
-sample of passages and the benchmark items, gives the latent basis. Every
-passage of every text is projected, and the pairs whose cosine with a
-benchmark item's latent vector reaches ``COSINE`` are candidates. A candidate
-is checked by the longest common subsequence of words between item and
+passages of the corpus. A randomised SVD, run as Spark jobs over all passages
+of all texts, gives their leading latent directions. The benchmark is taken in
+blocks of ``BLOCK`` item passages, few enough for the rank, and the passages'
+decomposition merged with that of the block's items gives the block's latent
+basis. Every passage of every text is projected on each, and a pair is a
+candidate where its cosine with a benchmark item's latent vector reaches
+``COSINE``, or the passage holds ``SHARE`` of the item's weight (in short items
+even a whole copy has a low cosine; there its words must stand within twice the
+item's length). A candidate is checked by the longest common subsequence of words between item and
 passage, and by the item's answer, its last sentence: a copy is nearly the
 whole item in order; a paraphrase is a good part of it together with the
 answer.
 
-The benchmark is a query set: it is taken in blocks of ``BLOCK_ITEMS`` items,
-each a pass over the texts. What is broadcast is one basis and one block, both
-of fixed size.
+The benchmark is a query set: ``PASS_BLOCKS`` blocks take a pass over the
+texts. What is broadcast is the bases and items of one pass, of fixed size.
 
 Cases: null or empty text, and items without words, match nothing; repeated
 rows and items give rows each; items with the same text are all reported; an
@@ -28,16 +31,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import col, id_type, ship, stage
+from .common import col, id_type, map_batches, release, ship, stage
 
 BITS = 14                # terms
 RANK = 128               # latent dimensions
 STEP, PASSAGE = 32, 64   # words from passage to passage, and in one
-SAMPLE = 4096            # passages that the basis is fitted on at most, the first by hash
+BALANCE = 4096           # all passages together weigh as much as so many in the fit
 ITEM_WEIGHT = 6.0        # weight of benchmark passages in the fit
 COSINE = 0.25            # candidates
+SHARE = 0.5              # candidates, too: part of the item's weight that the passage holds
 COPY, PARAPHRASE, ANSWER = 0.8, 0.55, 0.8  # parts of the item, or of its answer, in order
-BLOCK_ITEMS = 5000
+BLOCK, PASS_BLOCKS = 256, 8  # benchmark passages to a basis, and bases to a pass over the texts
 
 _SEPARATORS = b"".join(bytes([b]) for b in range(128) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122))
 _CLEAN = bytes.maketrans(_SEPARATORS + bytes(range(65, 91)), b" " * len(_SEPARATORS) + bytes(range(97, 123)))
@@ -54,10 +58,10 @@ def terms_of(words: list[bytes]) -> np.ndarray:
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """One pass over all texts: passages by term (``term``, ``n``), passages in all (term -1), and the sample (``hash``, ``terms``)."""
+    """One pass over all texts: passages by term (``term``, ``n``), passages in all (term -1), and the ``terms`` of every text as 16-bit numbers."""
 
     def run(batches):
-        counts, passages, held = np.zeros(1 << BITS, dtype=np.int64), 0, []
+        counts, passages = np.zeros(1 << BITS, dtype=np.int64), 0
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 texts = [words_of(t or "") for t in batch.column(0).slice(k, 256).to_pylist()]
@@ -65,29 +69,26 @@ def survey(docs: DataFrame) -> DataFrame:
                 if not sizes.sum():
                     continue
                 terms = terms_of([w for ws in texts for w in ws])
-                per = -(-sizes // PASSAGE)
-                inside = np.arange(len(terms)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                number = np.repeat(np.cumsum(per) - per, sizes) + inside // PASSAGE
+                number, n = passages_of(sizes)
                 different = np.unique(number << BITS | terms)
                 counts += np.bincount(different & ((1 << BITS) - 1), minlength=1 << BITS)
-                passages += int(per.sum())
-                first = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
-                for a, b in zip(first, np.r_[first[1:], len(terms)]):
-                    if b - a >= 16:
-                        own = terms[a:b].astype(np.int32)
-                        held.append((xxhash.xxh3_64_intdigest(own.tobytes()) >> 1, own))
-                if len(held) > 4 * SAMPLE:
-                    held = sorted(held, key=lambda x: x[0])[:SAMPLE]
+                passages += n
+                ends = np.cumsum(sizes)
+                raw = [terms[a:b].astype("<u2").tobytes() for a, b in zip(ends - sizes, ends) if b > a]
+                yield pa.record_batch({"term": pa.nulls(len(raw), pa.int32()), "n": pa.nulls(len(raw), pa.int64()), "terms": pa.array(raw, pa.binary())})
         used = np.flatnonzero(counts)
         yield pa.record_batch({"term": pa.array(np.r_[used, [-1]], pa.int32()), "n": pa.array(np.r_[counts[used], [passages]], pa.int64()),
-                               "hash": pa.nulls(len(used) + 1, pa.int64()), "terms": pa.nulls(len(used) + 1, pa.list_(pa.int32()))})
-        held = sorted(held, key=lambda x: x[0])[:SAMPLE]
-        if held:
-            yield pa.record_batch({"term": pa.nulls(len(held), pa.int32()), "n": pa.nulls(len(held), pa.int64()),
-                                   "hash": pa.array([h for h, _ in held], pa.int64()), "terms": pa.array([t for _, t in held], pa.list_(pa.int32()))})
+                               "terms": pa.nulls(len(used) + 1, pa.binary())})
 
     ship(docs.sparkSession)
-    return docs.select("_text").mapInArrow(run, "term int, n bigint, hash bigint, terms array<int>")
+    return docs.select("_text").mapInArrow(run, "term int, n bigint, terms binary")
+
+
+def passages_of(sizes: np.ndarray) -> tuple[np.ndarray, int]:
+    """Number of each word's passage, texts one after the other, and the number of passages."""
+    per = -(-sizes // PASSAGE)
+    inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.repeat(np.cumsum(per) - per, sizes) + inside // PASSAGE, int(per.sum())
 
 
 def idf_of(counts: dict[int, int], passages: int) -> np.ndarray:
@@ -104,49 +105,68 @@ def weighted(terms: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return t, v / max(np.linalg.norm(v), 1e-12)
 
 
-def latent_basis(passages: DataFrame, idf: np.ndarray, rank: int = RANK, rounds: int = 2, seed: int = 11) -> np.ndarray:
-    """Orthonormal basis (terms x rank) by randomised subspace iteration on the passages' TF-IDF matrix.
+def latent_factor(texts: DataFrame, idf: np.ndarray, rank: int = RANK, rounds: int = 2, seed: int = 11) -> np.ndarray:
+    """``factor`` (rank x terms), so that its transpose times itself is close to that of the TF-IDF matrix of all passages.
 
-    ``passages`` has ``terms`` and ``weight``. Each round multiplies the basis
-    by the matrix and its transpose in Spark tasks; the products are summed by
-    ranges of terms, and the driver orthonormalises a matrix of fixed size.
+    ``texts`` has ``terms``. By randomised subspace iteration: each round
+    multiplies the basis by the matrix and its transpose in Spark tasks; the
+    products are summed by ranges of terms, and the driver orthonormalises a
+    matrix of fixed size. The last product gives the factor (Nystrom).
     """
-    size, spark = 1 << BITS, passages.sparkSession
-    basis = np.random.default_rng(seed).standard_normal((size, rank)).astype(np.float32)
+    size, spark = 1 << BITS, texts.sparkSession
+    ranges = 64
+    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, rank)))[0].astype(np.float32)
+    product = np.zeros((size, rank), dtype=np.float32)
     idf_sent = spark.sparkContext.broadcast(idf)
-    for _ in range(rounds):
+    for k in range(rounds):
+        if k:
+            basis = np.linalg.qr(product.astype(np.float64))[0].astype(np.float32)
         sent = spark.sparkContext.broadcast(basis)
 
         def multiply(batches, sent=sent):
-            total: dict[int, np.ndarray] = {}
+            total, basis, idf = np.zeros((size, rank), dtype=np.float32), sent.value, idf_sent.value
             for batch in batches:
-                for terms, weight in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    t, v = weighted(np.asarray(terms, dtype=np.int64), idf_sent.value)
-                    y = (v * weight) @ sent.value[t]
-                    for term, x in zip(t.tolist(), v * weight):
-                        if term in total:
-                            total[term] += x * y
-                        else:
-                            total[term] = x * y
-            if total:
-                yield pa.record_batch({"part": pa.array([t % 16 for t in total], pa.int32()), "term": pa.array(list(total), pa.int32()),
-                                       "z": pa.array([z.astype(np.float32) for z in total.values()], pa.list_(pa.float32()))})
+                for k in range(0, batch.num_rows, 64):
+                    raw = batch.column(0).slice(k, 64).to_pylist()
+                    number, _ = passages_of(np.array([len(r) // 2 for r in raw], dtype=np.int64))
+                    terms = np.frombuffer(b"".join(raw), dtype="<u2").astype(np.int64)
+                    for a in range(0, len(terms), 1 << 15):  # a long text takes no more memory; a passage cut here counts as two
+                        different, n = np.unique(number[a:a + (1 << 15)] << BITS | terms[a:a + (1 << 15)], return_counts=True)
+                        t, at = different & (size - 1), different >> BITS
+                        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                        at = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(at)]))
+                        v = n * idf[t]
+                        v = (v / np.sqrt(np.add.reduceat(v * v, first))[at]).astype(np.float32)
+                        y = np.add.reduceat(v[:, None] * basis[t], first, axis=0)
+                        by = np.argsort(t, kind="stable")
+                        first = np.flatnonzero(np.r_[True, t[by][1:] != t[by][:-1]])
+                        total[t[by][first]] += np.add.reduceat(v[by][:, None] * y[at[by]], first, axis=0)
+            if total.any():
+                yield pa.record_batch({"part": pa.array(range(ranges), pa.int32()), "z": pa.array([z.tobytes() for z in np.split(total, ranges)], pa.binary())})
 
         def add(table: pa.Table) -> pa.Table:
-            term = table.column("term").to_numpy()
-            z = table.column("z").combine_chunks().flatten().to_numpy().reshape(len(term), rank)
-            by = np.argsort(term, kind="stable")
-            first = np.flatnonzero(np.r_[True, term[by][1:] != term[by][:-1]])
-            summed = np.add.reduceat(z[by].astype(np.float64), first, axis=0).astype(np.float32)
-            return pa.table({"term": pa.array(term[by][first], pa.int32()), "z": pa.array(list(summed), pa.list_(pa.float32()))})
-
-        got = (passages.select("terms", "weight").mapInArrow(multiply, "part int, term int, z array<float>")
-               .groupBy("part").applyInArrow(add, "term int, z array<float>").toArrow())
+            summed = np.zeros((size // ranges, rank))
+            for z in table.column("z"):
+                summed += np.frombuffer(z.as_buffer(), dtype=np.float32).reshape(-1, rank)
+            return pa.table({"part": table.column("part").slice(0, 1).cast(pa.int32()), "z": pa.array([summed.astype(np.float32).tobytes()], pa.binary())})
+
+        got = texts.select("terms").mapInArrow(multiply, "part int, z binary").groupBy("part").applyInArrow(add, "part int, z binary").toArrow()
         product = np.zeros((size, rank), dtype=np.float32)
-        if got.num_rows:
-            product[got.column("term").to_numpy()] = got.column("z").combine_chunks().flatten().to_numpy().reshape(-1, rank)
-        basis = np.linalg.qr(product.astype(np.float64))[0].astype(np.float32)
-    return basis
+        for part, z in zip(got.column("part").to_pylist(), got.column("z").to_pylist()):
+            product[part * (size // ranges):(part + 1) * (size // ranges)] = np.frombuffer(z, dtype=np.float32).reshape(-1, rank)
+        sent.unpersist()
+    values, vectors = np.linalg.eigh(basis.T.astype(np.float64) @ product)
+    good = values > 1e-6 * max(values[-1], 1e-12)
+    return ((vectors[:, good] / np.sqrt(values[good])).T @ product.T).astype(np.float32)
+
+
+def latent_basis(factor: np.ndarray, items: np.ndarray, rank: int = RANK) -> np.ndarray:
+    """Orthonormal basis (terms x rank): the leading directions of the passages' factor and the items' vectors together."""
+    both = np.concatenate([factor, items])
+    values, vectors = np.linalg.eigh((both @ both.T).astype(np.float64))
+    best = np.argsort(-values)[:rank]
+    best = best[values[best] > 1e-6 * max(values[best[0]], 1e-12)]
+    return np.linalg.qr(both.T.astype(np.float64) @ (vectors[:, best] / np.sqrt(values[best])))[0].astype(np.float32)
 
 
 def common_length(item: list[bytes], words: list[bytes]) -> int:
@@ -174,36 +194,47 @@ def answer_of(text: str) -> list[bytes]:
 
 
 class Items:
-    """A block of benchmark items with their latent vectors."""
+    """A block of benchmark items with their latent vectors, in a basis merged from ``factor`` and the items."""
 
-    def __init__(self, rows: list[tuple[object, str]], idf: np.ndarray, basis: np.ndarray):
-        self.ids, self.words, self.answers, owner, vectors = [], [], [], [], []
+    def __init__(self, rows: list[tuple[object, str]], idf: np.ndarray, factor: np.ndarray, rank: int = RANK):
+        self.ids, self.words, self.answers, owner, sparse, norms = [], [], [], [], [], []
         for key, text in rows:
             words = words_of(text or "")
             if not words:
                 continue
             terms = terms_of(words)
             for s in range(0, max(1, len(words) - STEP), PASSAGE):
-                t, v = weighted(terms[s:s + PASSAGE], idf)
-                y = v @ basis[t]
-                vectors.append(y / max(np.linalg.norm(y), 1e-6))
+                sparse.append(weighted(terms[s:s + PASSAGE], idf))
+                norms.append(np.sqrt((idf[terms[s:s + PASSAGE]] ** 2).sum()))
                 owner.append(len(self.ids))
             self.ids.append(key)
             self.words.append(words)
             self.answers.append(answer_of(text))
         self.owner = np.array(owner, dtype=np.int64)
-        self.vectors = np.array(vectors, dtype=np.float32).reshape(len(owner), basis.shape[1])
+        self.norms = np.array(norms, dtype=np.float32)
+        dense = np.zeros((len(owner), 1 << BITS), dtype=np.float32)
+        for k, (t, v) in enumerate(sparse):
+            dense[k, t] = v
+        if not len(owner):
+            return
+        basis = latent_basis(factor, ITEM_WEIGHT * dense, rank)
+        vectors = dense @ basis
+        self.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)
         self.projection = (basis * idf[:, None]).astype(np.float32)
         self.square = (idf * idf).astype(np.float32)
 
 
-def search(texts: list[str], items: Items, cosine: float = COSINE) -> list[tuple[int, int, float, float, float, int]]:
-    """(text, item, cosine, part of the item in order, part of its answer in order, first word of the passage)."""
+def search(texts: list[str], blocks: list[Items], cosine: float = COSINE) -> list[tuple[int, Items, int, float, float, float, int]]:
+    """(text, block, item, cosine, part of the item in order, part of its answer in order, first word of the passage)."""
     words = [words_of(t) for t in texts]
-    sizes = np.array([len(w) for w in words], dtype=np.int64)
-    if not sizes.sum() or not len(items.owner):
+    if not any(words):
         return []
     terms = terms_of([w for ws in words for w in ws])
+    return [(f[0], items, *f[1:]) for items in blocks if len(items.owner) for f in search_block(words, terms, items, cosine)]
+
+
+def search_block(words: list[list[bytes]], terms: np.ndarray, items: Items, cosine: float) -> list[tuple[int, int, float, float, float, int]]:
+    texts, sizes = words, np.array([len(w) for w in words], dtype=np.int64)
     # sums over steps of words, then passages of neighbouring steps
     steps = -(-sizes // STEP)
     owner = np.repeat(np.arange(len(texts)), steps)
@@ -225,8 +256,9 @@ def search(texts: list[str], items: Items, cosine: float = COSINE) -> list[tuple
             same = (owner[a:a + n] == owner[a + k:a + k + n]).astype(np.float32)
             total[:n] += y[k:k + n] * same[:, None]
             norm[:n] += q[k:k + n] * same
-        score = total @ items.vectors.T / np.sqrt(np.maximum(norm, 1e-12))[:, None]
-        for i, j in zip(*np.nonzero(score >= cosine)):
+        norm = np.sqrt(np.maximum(norm, 1e-12))[:, None]
+        score = total @ items.vectors.T / norm
+        for i, j in zip(*np.nonzero(score >= np.minimum(cosine, SHARE * items.norms / norm))):
             key = (int(owner[a + i]), int(items.owner[j]))
             at = (int(nth[a + i]) * STEP)
             hits.setdefault(key, []).append((float(score[i, j]), at))
@@ -236,11 +268,17 @@ def search(texts: list[str], items: Items, cosine: float = COSINE) -> list[tuple
         for value, at in sorted(found, reverse=True):
             reach = len(target) + 8
             region = words[doc][max(0, at - reach): at + PASSAGE + reach]
-            part = common_length(target, region) / len(target)
-            said = common_length(answer, region) / len(answer)
-            if best is None or (part, said) > best[1:3]:
-                best = (value, part, said, at)
-            if part == 1.0:
+            # below the limit the words stand close together, as common ones in order are in any passage
+            size = len(region) if value >= cosine else 2 * len(target)
+            for s in range(0, max(1, len(region) - size // 2), max(1, size // 4)):
+                near = region[s:s + size]
+                part = common_length(target, near) / len(target)
+                said = common_length(answer, near) / len(answer)
+                if best is None or (part, said) > best[1:3]:
+                    best = (value, part, said, at)
+                if part == 1.0 or size == len(region):
+                    break
+            if best[1] == 1.0:
                 break
         out.append((doc, item, *best))
     return out
@@ -252,37 +290,40 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """A row for each text and benchmark item found in it: ids, ``cosine``, ``lcs``, ``answer`` and ``word`` (where the passage begins)."""
     spark = docs.sparkSession
     rows = docs.select(col(id_col).alias("_id"), col(text_col).cast("string").alias("_text"))
-    items = stage(benchmark.select(col(item_id).alias("_item"), col(item_text).cast("string").alias("_text")), "benchmark")
+
+    def sized(batch: pa.RecordBatch):
+        return {"_item": batch.column(0), "_text": batch.column(1),
+                "_n": [max(1, -(-(len(words_of(t or "")) - STEP) // PASSAGE)) for t in batch.column(1).to_pylist()]}
+
+    items = benchmark.select(col(item_id).alias("_item"), col(item_text).cast("string").alias("_text"))
+    items = stage(map_batches(items, f"_item {id_type(items, '_item')}, _text string, _n bigint", sized), "benchmark")
     seen = stage(survey(rows), "survey")
     counts = seen.filter("term is not null").groupBy("term").agg(F.sum("n").alias("n")).toArrow().to_pydict()  # a number per term: of fixed size
     by_term = dict(zip(counts["term"], counts["n"]))
-    idf = idf_of({t: n for t, n in by_term.items() if t >= 0}, by_term.get(-1, 0))
-    sample = seen.filter("hash is not null").select("hash", "terms").distinct().orderBy("hash", "terms").limit(SAMPLE)
-
-    def item_terms(batch: pa.RecordBatch):
-        found = [terms_of(w)[s:s + PASSAGE].astype(np.int32) for t in batch.column(0).to_pylist() if (w := words_of(t or ""))
-                 for s in range(0, max(1, len(w) - STEP), PASSAGE)]
-        return {"terms": found, "weight": [ITEM_WEIGHT] * len(found)}
-
-    from .common import map_batches
-
-    fitted = (sample.select("terms", F.lit(1.0).alias("weight"))
-              .unionByName(map_batches(items.orderBy(F.xxhash64("_text")).limit(SAMPLE).select("_text"), "terms array<int>, weight double", item_terms)))
-    basis = latent_basis(stage(fitted.repartition(4), "passages"), idf)
+    passages = by_term.get(-1, 0)
+    idf = idf_of({t: n for t, n in by_term.items() if t >= 0}, passages)
+    factor = latent_factor(seen.filter("terms is not null"), idf) * np.float32(min(1.0, (BALANCE / max(1, passages)) ** 0.5))
+    release(seen)
     name, key = id_col.replace("`", "``"), item_id.replace("`", "``")
     schema = f"`{name}` {id_type(rows, '_id')}, `{key}` {id_type(items, '_item')}, cosine double, lcs double, answer double, word bigint"
     out = None
-    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
-    for block in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("_item", "_text"), F.lit(blocks)) == block)
-        sent = spark.sparkContext.broadcast(Items([(r[0], r[1]) for r in part.collect()], idf, basis))
+    blocks = max(1, -(-(items.agg(F.sum("_n")).first()[0] or 0) // BLOCK))
+    numbered = items.withColumn("_block", F.pmod(F.xxhash64("_item", "_text"), F.lit(blocks)))
+    for first in range(0, blocks, PASS_BLOCKS):
+        held: dict[int, list] = {}
+        for r in numbered.filter(F.col("_block").between(first, first + PASS_BLOCKS - 1)).select("_item", "_text", "_block").collect():
+            held.setdefault(r[2], []).append((r[0], r[1]))
+        sent = spark.sparkContext.broadcast([Items(part, idf, factor) for part in held.values()])
 
         def run(batch, sent=sent):
             found = search([t or "" for t in batch.column("_text").to_pylist()], sent.value, cosine)
-            found = [f for f in found if f[3] >= copy or (f[3] >= paraphrase and f[4] >= answer)]
-            return {id_col: batch.column("_id").take(pa.array([f[0] for f in found], pa.int64())), item_id: [sent.value.ids[f[1]] for f in found],
-                    "cosine": [f[2] for f in found], "lcs": [f[3] for f in found], "answer": [f[4] for f in found], "word": [f[5] for f in found]}
+            found = [f for f in found if f[4] >= copy or (f[4] >= paraphrase and f[5] >= answer)]
+            return {id_col: batch.column("_id").take(pa.array([f[0] for f in found], pa.int64())), item_id: [f[1].ids[f[2]] for f in found],
+                    "cosine": [f[3] for f in found], "lcs": [f[4] for f in found], "answer": [f[5] for f in found], "word": [f[6] for f in found]}
 
         got = map_batches(rows, schema, run, rows=256)
+        if blocks > PASS_BLOCKS:  # written, so that one pass's bases are held at a time
+            got = stage(got, "found")
+            sent.unpersist()
         out = got if out is None else out.unionByName(got)
     return out

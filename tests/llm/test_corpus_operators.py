@@ -242,6 +242,26 @@ def test_leaks(spark):
     assert not found - want and len(found) >= 0.95 * len(want)
 
 
+@pytest.mark.parametrize("n, least, most", [(150, 5, 12), (2500, 15, 59)])
+def test_leaks_of_short_and_of_many_items(spark, n, least, most):
+    """Copies planted in texts of the corpus; the items are stretches of other texts."""
+    rng = random.Random(n)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").select("text").collect() if r.text and len(r.text.split()) > 90]
+    items = []
+    for k in range(n):
+        words, size = rng.choice(texts[:400]).split(), rng.randint(least, most)
+        at = rng.randrange(len(words) - size)
+        items.append((k, " ".join(words[at:at + size])))
+    docs, want = [t.split() for t in texts[400:700]], set()
+    for k, t in items:
+        i = rng.randrange(len(docs))
+        docs[i].insert(rng.randrange(len(docs[i]) + 1), t)  # one element, so that later ones don't split it
+        want.add((i, k))
+    got = decontaminate.leaks(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string"),
+                              spark.createDataFrame(items, "item_id long, text string"))
+    assert len(want & {(r.doc_id, r.item_id) for r in got.collect()}) >= 0.98 * n
+
+
 def test_common_length():
     rng = random.Random(10)
     for _ in range(300):
