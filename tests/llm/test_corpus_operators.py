@@ -213,6 +213,30 @@ def test_lines_of_a_large_family_of_near_copies(spark):
     assert not got - want and len(got) >= 0.98 * len(want)
 
 
+@pytest.mark.parametrize("least, most", [(6, 15), (16, 30), (31, 60), (61, 200)])
+def test_similar_lines_by_length(spark, least, most):
+    """Lines with one character changed or added, against all pairs that are alike by their 5-character shingles."""
+    rng = random.Random(most)
+
+    def shingles(t):
+        return {t[i:i + 5] for i in range(max(1, len(t) - 4))}
+
+    lines = ["Read more", "Read more.", "Page 12 of 100", "Page 12 of 101", "Subscribe now", "Subscribe now!", "All rights reserved", "All rights reserved."]
+    want = {(0, 1), (2, 3), (4, 5), (6, 7)}
+    assert all(len(shingles(lines[a]) & shingles(lines[b])) >= 0.8 * len(shingles(lines[a]) | shingles(lines[b])) for a, b in want)
+    for _ in range(300):
+        one = "".join(rng.choice("abcdefghijklmnop   ") for _ in range(rng.randint(least, most))).strip() + "x"
+        at = rng.choice([0, len(one) - 1, len(one), rng.randrange(len(one))])
+        other = one[:at] + "#" + one[at + rng.randint(0, 1):]
+        a, b = shingles(one), shingles(other)
+        if len(a & b) >= 0.8 * len(a | b):
+            want.add((len(lines), len(lines) + 1))
+        lines += [one, other]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(lines)], "lk long, line string")
+    got = {(min(r), max(r)) for r in line_dedup.similar(df).collect()}
+    assert len(want) > 10 and len(want & got) >= 0.97 * len(want), (len(want), len(want & got))
+
+
 # -- decontamination -------------------------------------------------------
 def test_leaks(spark):
     rng = random.Random(9)
