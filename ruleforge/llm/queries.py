@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classifier, decontaminate, jaccard_join, line_dedup, pii, quality_rules, secrets, token_counts, urls
+from . import (bpe, classifier, decontaminate, jaccard_join, line_dedup, pii, quality_rules, secrets, segment_bpe, source_audit, spelling,
+               token_counts, urls)
 from .common import table
 
 QUERIES: dict = {}
@@ -68,3 +69,21 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = token_counts.redactions(table(spark, sf_dir, "documents"))
     return token_counts.update(token_counts.build(edited, text_col="_text", edits_col="edits"), keep_tree=False)
+
+
+@query
+def op11_segment_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_bpe.encode_table(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+@query
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+SQL["op12_source_audit"] = source_audit.SQL
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
