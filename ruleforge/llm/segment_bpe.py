@@ -22,14 +22,17 @@ from __future__ import annotations
 import base64
 import hashlib
 from itertools import chain
+from typing import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import col, id_type, map_batches, texts_of
 
-MEMO_WORDS = 250_000   # encoded matches kept per Python worker; emptied when full
-MEMO_CHARS = 64        # longer matches aren't kept
+MEMO_WORDS = 200_000   # encoded matches kept per Python worker, and as many of an older generation
+ROW_BYTES = 64         # longest match, in bytes, whose tree is a row among others; longer ones aren't kept either
+ROWS_CELLS = 1 << 18   # rows x width of the arrays at a time
+GROUP_CHARS = 1 << 19  # texts that are encoded together: this many characters, or one longer text
 
 
 class SegmentTreeBpe:
@@ -42,8 +45,15 @@ class SegmentTreeBpe:
         self.by_id: dict[int, bytes] = {rank: token for token, rank in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
         self.none = max(self.by_id) + 1
+        # ids of single bytes, and of the tokens that two tokens make together
+        self.bytes_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        pairs = {self.ranks[t[:k]] * self.none + self.ranks[t[k:]]: made for t, made in self.ranks.items()
+                 for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks}
+        self.pairs = np.array(sorted(pairs), dtype=np.int64)
+        self.made = np.array([pairs[k] for k in self.pairs.tolist()], dtype=np.int64)
         self.split = regex.compile(pattern).findall
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one match that is not a token itself."""
@@ -58,50 +68,116 @@ class SegmentTreeBpe:
             tree[k] = a if a <= b else b
         after, before = list(range(1, n + 1)), list(range(-1, n))
 
-        def put(i: int, key: int) -> None:
-            k = width + i
-            tree[k] = key
-            while k > 1:
-                other = tree[k ^ 1]
-                if other < key:
-                    key = other
-                k >>= 1
-                if tree[k] == key:
-                    return                                   # nothing above changes
-                tree[k] = key
-
-        def pair(i: int, end: int) -> int:
-            """Key of the part at ``i`` joined with the next one, which ends at ``end``."""
-            return (rank_of(piece[i:end], none) if end - i <= longest else none) * width + i
-
         while (top := tree[1]) < dead:
             i = top % width
             gone = after[i]
-            end = after[gone]
-            after[i], before[end] = end, i
-            put(gone, dead + gone)
-            put(i, pair(i, after[end]) if end < n else dead + i)
+            after[i] = end = after[gone]
+            before[end] = i
+            # the three leaves that change: the swallowed part, the joined part, the part before it
+            changed = [(gone, dead)]
+            if end < n and (stop := after[end]) - i <= longest:
+                changed.append((i, rank_of(piece[i:stop], none) * width + i))
+            else:
+                changed.append((i, dead))
             if (p := before[i]) >= 0:
-                put(p, pair(p, end))
+                changed.append((p, rank_of(piece[p:end], none) * width + p if end - p <= longest else dead))
+            for k, key in changed:
+                k += width
+                tree[k] = key
+                while k > 1:
+                    if (other := tree[k ^ 1]) < key:
+                        key = other
+                    k >>= 1
+                    if tree[k] == key:
+                        break                                # nothing above changes
+                    tree[k] = key
         out, i = [], 0
         while i < n:
             out.append(self.ranks[piece[i:after[i]]])
             i = after[i]
         return out
 
-    def word(self, word: str) -> tuple[int, ...]:
-        piece = word.encode()
-        whole = self.ranks.get(piece)
-        ids = (whole,) if whole is not None else tuple(self.merge(piece))
-        if len(word) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO_WORDS:
-                self.memo.clear()
-            self.memo[word] = ids
-        return ids
+    def pair_ids(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Id (rank) of the token that two tokens make together, ``none`` where there is no such token."""
+        wanted = left * self.none + right
+        at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == wanted, self.made[at], self.none)
+
+    def merge_rows(self, pieces: list[bytes], width: int) -> list[tuple[int, ...]]:
+        """``merge`` for pieces of at most ``width`` bytes (a power of two), a row each."""
+        count, none, dead = len(pieces), self.none, self.none * width
+        sizes = np.array(list(map(len, pieces)))
+        token = self.bytes_ids[np.frombuffer(b"".join([p.ljust(width, b"\0") for p in pieces]), dtype=np.uint8)].reshape(count, width)
+        place = np.arange(width)
+        tree = np.full((count, 2 * width), dead, dtype=np.int64)
+        first = self.pair_ids(token[:, :-1], token[:, 1:]) * width + place[:-1]
+        tree[:, width:-1] = np.where(place[1:] < sizes[:, None], np.minimum(first, dead), dead)
+        for k in (1 << np.arange(width.bit_length() - 1))[::-1]:
+            tree[:, k:2 * k] = np.minimum(tree[:, 2 * k:4 * k:2], tree[:, 2 * k + 1:4 * k:2])
+        after, before = np.tile(place + 1, (count, 1)), np.tile(place - 1, (count, 1))
+        live = place < sizes[:, None]
+
+        def put(rows, at, key):
+            k = at + width
+            tree[rows, k] = key
+            while k[0] > 1:                                  # leaves are all at one depth
+                key = np.minimum(key, tree[rows, k ^ 1])
+                k = k >> 1
+                tree[rows, k] = key
+
+        rows = np.arange(count)
+        while len(rows := rows[tree[rows, 1] < dead]):
+            made, i = np.divmod(tree[rows, 1], width)
+            gone = after[rows, i]
+            end = after[rows, gone]
+            token[rows, i], after[rows, i], live[rows, gone] = made, end, False
+            put(rows, gone, np.full(len(rows), dead))
+            more = end < sizes[rows]
+            r, at, to = rows[more], i[more], end[more]
+            before[r, to] = at
+            key = np.full(len(rows), dead)
+            key[more] = np.minimum(self.pair_ids(made[more], token[r, to]) * width + at, dead)
+            put(rows, i, key)
+            p = before[rows, i]
+            if len(r := rows[p >= 0]):
+                q, right = p[p >= 0], made[p >= 0]
+                put(r, q, np.minimum(self.pair_ids(token[r, q], right) * width + q, dead))
+        flat, ends = token[live].tolist(), np.cumsum(live.sum(axis=1)).tolist()
+        return [tuple(flat[a:b]) for a, b in zip([0, *ends], ends)]
+
+    def learn(self, words: set[str]) -> None:
+        """Put words into the memo. A full memo is kept as the older one, from which words that come again return."""
+        if len(self.memo) + len(words) > MEMO_WORDS:
+            self.memo, self.older = {}, self.memo
+        known, older = self.memo, self.older
+        by_width: dict[int, list[tuple[str, bytes]]] = {}
+        for word in words:
+            if word in known:
+                continue
+            if (ids := older.get(word)) is None:
+                piece = word.encode()
+                if (whole := self.ranks.get(piece)) is None:
+                    if len(piece) <= ROW_BYTES:
+                        by_width.setdefault(max(8, 1 << (len(piece) - 1).bit_length()), []).append((word, piece))
+                    continue
+                ids = (whole,)
+            known[word] = ids
+        for width, new in by_width.items():
+            step = max(1, ROWS_CELLS // width)
+            for at in range(0, len(new), step):
+                part = new[at:at + step]
+                known.update(zip([w for w, _ in part], self.merge_rows([p for _, p in part], width)))
+
+    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
+        """Ids of each text; the texts' new matches are merged together."""
+        split = [self.split(t) for t in texts]
+        self.learn(set(chain.from_iterable(split)))
+        known, long = self.memo.get, lambda w: self.merge(w.encode())
+        for words in split:
+            yield list(chain.from_iterable([known(w) or long(w) for w in words]))
 
     def encode(self, text: str) -> list[int]:
-        known, make = self.memo.get, self.word
-        return list(chain.from_iterable([known(w) or make(w) for w in self.split(text)]))
+        return next(self.encode_all([text]))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.by_id.__getitem__, ids))
@@ -119,6 +195,18 @@ def loaded(ranks: bytes, pattern: str) -> SegmentTreeBpe:
     return _LOADED[key]
 
 
+def groups(texts: list[str]) -> Iterator[list[str]]:
+    """Neighbouring texts of about ``GROUP_CHARS`` characters together."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= GROUP_CHARS:
+            yield held
+            held, size = [], 0
+    yield held
+
+
 def rank_file(path: str | None = None) -> bytes:
     """Bytes of a rank file (about 1 MB); read on the driver and broadcast."""
     if path is None:
@@ -148,8 +236,7 @@ def encode_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batch):
         bpe = loaded(ranks.value, pattern)
         out = {id_col: batch.column(0), "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
-        for text in texts_of(batch):
-            ids = bpe.encode(text)
+        for ids in chain.from_iterable(map(bpe.encode_all, groups(texts_of(batch)))):
             packed = np.array(ids, dtype="<u4")
             out["n_tokens"].append(len(ids))
             out["ids_sha256"].append(hashlib.sha256(packed.tobytes()).hexdigest())
