@@ -43,6 +43,8 @@ class CheckContext:
     refs: dict[str, DataFrame] = field(default_factory=dict)
     filter: Column | None = None
     tag: str = "0"
+    # values of the check's groups that a stream keeps (key names, value names -> frame); None: aggregate the source
+    running: Callable[[list[str], list[str]], DataFrame] | None = None
 
     def ref(self, ref_df_name: str | None, ref_table: str | None) -> DataFrame:
         if bool(ref_df_name) == bool(ref_table):
@@ -126,7 +128,7 @@ def is_unique(columns: Sequence[Any], nulls_distinct: bool = True) -> DatasetCon
     # nulls_distinct no key column NULL
     spec = AggSpec(tuple(cols), lambda: F.count(F.lit(1)), lambda a, l: a > l, 1, "greater than", "count", label,
                    row_condition=(lambda: all_of(to_col(c).isNotNull() for c in cols)) if nulls_distinct else None,
-                   message=unique_message)
+                   message=unique_message, only_grows=True)
     return DatasetCondition(f"{label}_is_not_unique", attach, share_key=("aggr", tuple(str(c) for c in cols)),
                             agg_spec=spec)
 
@@ -159,6 +161,13 @@ class AggSpec:
     label: str
     row_condition: Callable[[], Column] | None = None  # extra per-row requirement for failing
     message: Callable[[Column], Column] | None = None  # custom message from the aggregate value
+    column: Any = None  # what is aggregated; None: rows are counted
+    only_grows: bool = False  # a count that fails above one: never taken back, and single rows never fail
+
+
+def aggregate_of(aggr_type: str, value: Column) -> Column:
+    """The aggregate of one value column; NULLs don't count."""
+    return _AGGR[aggr_type](value)
 
 
 def _agg_message(spec: AggSpec, val: Column, lim: Column) -> Column:
@@ -183,7 +192,7 @@ def attach_grouped_aggregates(df: DataFrame, ctx: CheckContext, specs: Sequence[
     keyed = {k: to_col(g) for k, g in zip(gk, groups)}
     agg = (_base(ctx.source.withColumns(keyed), ctx).groupBy(*gk)
            .agg(*[sp.agg_expr().alias(v) for sp, v in zip(specs, vals)])
-           .select(*[F.col(a).alias(b) for a, b in zip(gk, rk)], *vals))
+           .select(*[F.col(a).alias(b) for a, b in zip(gk, rk)], *vals)) if ctx.running is None else ctx.running(rk, vals)
     if not any(isinstance(sp.limit, (str, Column)) for sp in specs):
         # no limit depends on the row: only groups that fail one of the checks are joined back
         agg = agg.where(any_of(F.coalesce(sp.compare(F.col(v), to_value(sp.limit)), F.lit(False))
@@ -217,7 +226,7 @@ def _aggr_check(kind: str, column: Any = None, limit: Any = None, aggr_type: str
     def agg_expr() -> Column:
         return _AGGR[aggr_type](to_col(column) if column is not None else None)
 
-    spec = AggSpec(tuple(groups), agg_expr, compare, limit, words, aggr_type, label)
+    spec = AggSpec(tuple(groups), agg_expr, compare, limit, words, aggr_type, label, column=column)
 
     def attach(df: DataFrame, ctx: CheckContext):
         if groups:
@@ -225,13 +234,14 @@ def _aggr_check(kind: str, column: Any = None, limit: Any = None, aggr_type: str
             return out, fail, msg
         # no grouping: one value for the whole (filtered) input, as a scalar subquery
         val = ctx.col("agg")
-        out = df.withColumn(val, _base(ctx.source, ctx).select(agg_expr().alias(val)).scalar())
+        whole = _base(ctx.source, ctx).select(agg_expr().alias(val)) if ctx.running is None else ctx.running([], [val])
+        out = df.withColumn(val, whole.scalar())
         lim = to_value(limit)
         fail = _judged(ctx) & F.coalesce(compare(F.col(val), lim), F.lit(False))
         return out, fail, _agg_message(spec, F.col(val), lim)
 
     share = ("aggr", tuple(str(g) for g in groups)) if groups else None
-    return DatasetCondition(name, attach, share_key=share, agg_spec=spec if groups else None)
+    return DatasetCondition(name, attach, share_key=share, agg_spec=spec)
 
 
 def is_aggr_not_greater_than(column: Any = None, limit: Any = None, aggr_type: str = "count",

@@ -13,6 +13,7 @@ into the two arrays and drops helper columns.
 
 from __future__ import annotations
 
+from functools import partial
 from typing import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,9 +78,12 @@ def build_condition(rule: dict):
 
 def apply_checks(df: DataFrame, rules: Iterable[dict] | DataFrame, refs: dict[str, DataFrame] | None = None,
                  run_config_name: str | None = None, spark: SparkSession | None = None,
-                 table_name: str | None = None) -> DataFrame:
+                 table_name: str | None = None, running=None) -> DataFrame:
     """Annotate every row of ``df`` with the rules it violates.
 
+    ``running`` (see ``streaming/running.py``) has the values of the checks' groups that a stream keeps; without
+    it they are aggregated from ``df``.
+
     ``rules`` may be a stored rules table; ``table_name`` picks one table's rules and is required where it
     holds those of several.
     """
@@ -102,7 +106,7 @@ def apply_checks(df: DataFrame, rules: Iterable[dict] | DataFrame, refs: dict[st
             shared.setdefault((cond.share_key, rule.get("filter") or ""), []).append(i)
     # uniqueness checks keep their own cheaper plan (only duplicate keys are joined back) unless an
     # aggregate check over the same keys and filter already needs the full per-key aggregate
-    for key, members in list(shared.items()):
+    for key, members in [] if running is not None else list(shared.items()):
         if all(built[m][0]["function"] == "is_unique" for m in members):
             del shared[key]
     frozen: dict[int, tuple[Column, Column]] = {}
@@ -128,7 +132,9 @@ def apply_checks(df: DataFrame, rules: Iterable[dict] | DataFrame, refs: dict[st
                 ctx = CheckContext(spark=spark, source=df, refs=refs or {}, filter=filt, tag=str(i))
                 members = shared.get((cond.share_key, rule.get("filter") or ""), [i]) \
                     if cond.share_key is not None else [i]
-                if len(members) > 1:
+                if running is not None and cond.agg_spec is not None:
+                    ctx.running = partial(running.frame, members)
+                if len(members) > 1 or ctx.running is not None and cond.share_key is not None:
                     out, results = attach_grouped_aggregates(out, ctx, [built[m][2].agg_spec for m in members])
                     for m, (f, msg) in zip(members, results):
                         out = freeze(out, m, f, msg)

@@ -59,6 +59,45 @@ def stream_foreign_key(spark, sf):
     return run_to_parquet(out, scratch_dir(spark, "stream-fk"))
 
 
+def _dealt_events(spark, sf):
+    """Events dealt to four files by a hash of the event, a batch each: groups go on from batch to batch."""
+    folder = scratch_dir(spark, "stream-dealt")
+    events = table(spark, sf, "events")
+    (events.repartitionByRange(4, F.pmod(F.xxhash64("event_id"), F.lit(4))).write.option("maxRecordsPerFile", 0).parquet(folder))
+    return file_stream(spark, folder, "*.parquet", events.schema, files_per_batch=1)
+
+
+def _running(spark, sf, rules):
+    from ...streaming.running import RunningChecks
+    checks = RunningChecks(spark, rules, scratch_dir(spark, "stream-running")).drain(_dealt_events(spark, sf))
+    return summarize(checks.annotate(), ["event_id"])
+
+
+@query("stream_unique", "T1,G1",
+       "SELECT event_id, CASE WHEN count(*) OVER (PARTITION BY user_id, event_type, date_trunc('hour', ts)) > 1 THEN "
+       "'user_type_hour_unique' END AS error_checks, CASE WHEN count(*) OVER (PARTITION BY event_id) > 1 THEN 'event_id_unique' END "
+       "AS warning_checks FROM events")
+def stream_unique(spark, sf):
+    return _running(spark, sf, [rule("is_unique", "user_type_hour_unique", columns=["user_id", "event_type", "date_trunc('hour', ts)"]),
+                                rule("is_unique", "event_id_unique", "warn", columns=["event_id"])])
+
+
+@query("stream_aggr_equal", "T1,G2-G5",
+       "SELECT event_id, NULLIF(concat_ws(',', CASE WHEN n <> 2 AND event_type <> 'error' THEN 'two_per_user_type_day' END, "
+       "CASE WHEN hi > 45000 THEN 'user_value_cap' END), '') AS error_checks, "
+       "NULLIF(concat_ws(',', CASE WHEN lo < 1 THEN 'type_floor' END, CASE WHEN first = ts THEN 'user_first_event' END), '') AS warning_checks "
+       "FROM (SELECT *, count(*) FILTER (event_type <> 'error') OVER (PARTITION BY user_id, event_type, date_trunc('day', ts)) AS n, "
+       "max(CAST(value * 100 AS BIGINT)) OVER (PARTITION BY user_id) AS hi, min(value) OVER (PARTITION BY event_type, user_id) AS lo, "
+       "min(ts) OVER (PARTITION BY user_id) AS first FROM events) e")
+def stream_aggr_equal(spark, sf):
+    return _running(spark, sf, [
+        rule("is_aggr_equal", "two_per_user_type_day", aggr_type="count", group_by=["user_id", "event_type", "date_trunc('day', ts)"],
+             limit=2, filter="event_type <> 'error'"),
+        rule("is_aggr_not_greater_than", "user_value_cap", column="CAST(value * 100 AS BIGINT)", aggr_type="max", group_by=["user_id"], limit=45000),
+        rule("is_aggr_not_less_than", "type_floor", "warn", column="value", aggr_type="min", group_by=["event_type", "user_id"], limit=1),
+        rule("is_aggr_not_equal", "user_first_event", "warn", column="ts", aggr_type="min", group_by=["user_id"], limit="ts")])
+
+
 # --------------------------------------------------------------- custom rules
 # Argument texts as a rule form would send them, derived row by row from events:
 # each event yields one (key, text) pair whose key and text depend on its fields.
@@ -140,7 +179,7 @@ def stream_dataset_per_batch(spark, sf):
     def sink(df, epoch_id):
         summarize(df, LI_KEYS).drop("warning_checks").write.mode("append").parquet(out + "/data")
 
-    q = (_stream(spark, sf, "lineitem").writeStream.foreachBatch(apply_checks_per_batch(rules, sink))
+    q = (_stream(spark, sf, "lineitem").writeStream.foreachBatch(apply_checks_per_batch(rules, sink, batches_are_tables=True))
          .option("checkpointLocation", out + "/_checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(out + "/data")

@@ -66,3 +66,23 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def child_folders(spark: SparkSession, path: str, finished: bool = False) -> list[str]:
+    """Names of the ``key=value`` folders below a path; with ``finished`` only those whose writing job ended."""
+    where, store = _folder(spark, path)
+    if not store.exists(where):
+        return []
+    found = [f.getPath() for f in store.listStatus(where) if f.isDirectory() and "=" in f.getPath().getName()]
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(f.getName() for f in found if not finished or store.exists(done(f, "_SUCCESS")))
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    where, store = _folder(spark, path)
+    store.delete(where, True)

@@ -6,8 +6,9 @@
 * Windowed freshness uses event-time windows with a watermark, so state stays
   bounded by its delay. A running stream emits a window once the watermark
   passes its end (append mode); a bounded run gives all windows.
-* Other dataset-level checks need the whole micro-batch: they run per batch
-  through ``foreachBatch`` (``apply_checks_per_batch``).
+* Uniqueness and aggregate checks over the whole stream keep running values
+  (``streaming/running.py``). ``apply_checks_per_batch`` judges each
+  micro-batch as a table of its own, which has to be asked for.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def apply_checks_stream(stream: DataFrame, rules: Iterable[dict], refs: dict[str
     for r in select_rules(rules, run_config_name):
         fn = r["function"]
         if fn not in ROW_CHECKS and fn not in STREAM_SAFE_DATASET_CHECKS and fn != "pii_detection":
-            raise ValueError(f"{fn} needs a whole dataset: use apply_checks_per_batch for streams")
+            raise ValueError(f"{fn} needs a whole dataset: use RunningChecks for streams")
     return apply_checks(stream, rules, refs, run_config_name)
 
 
@@ -56,9 +57,20 @@ def window_counts_stream(stream: DataFrame, column: str, window_minutes: int, mi
 
 
 def apply_checks_per_batch(rules: Iterable[dict], sink: Callable[[DataFrame, int], None],
-                           refs: dict[str, DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: all checks, dataset-level ones per micro-batch."""
+                           refs: dict[str, DataFrame] | None = None, batches_are_tables: bool = False
+                           ) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: all checks on each micro-batch.
+
+    A dataset-level check then knows its batch only: a key that two batches
+    share passes uniqueness. Such rules are refused unless
+    ``batches_are_tables`` says that every batch is a whole table (one file,
+    one day); ``RunningChecks`` judges the whole stream.
+    """
     rules = list(rules)
+    alone = [r["function"] for r in select_rules(rules)
+             if r["function"] not in ROW_CHECKS and r["function"] not in STREAM_SAFE_DATASET_CHECKS and r["function"] != "pii_detection"]
+    if alone and not batches_are_tables:
+        raise ValueError(f"{', '.join(sorted(set(alone)))}: a batch alone doesn't decide this; use RunningChecks, or say batches_are_tables")
 
     def run(batch: DataFrame, epoch_id: int) -> None:
         sink(apply_checks(batch, rules, refs), epoch_id)

@@ -24,6 +24,8 @@ def test_stateful_checks_are_refused_on_streams(spark):
     rule = {"criticality": "error", "check": {"function": "is_unique", "arguments": {"columns": ["event_id"]}}}
     with pytest.raises(ValueError):
         apply_checks_stream(stream, [rule])
+    with pytest.raises(ValueError):  # a batch alone doesn't decide it
+        apply_checks_per_batch([rule], lambda df, epoch: None)
 
 
 def test_dataset_checks_per_batch(spark):
@@ -36,7 +38,7 @@ def test_dataset_checks_per_batch(spark):
     def sink(df, epoch):
         summarize(df, ["l_orderkey", "l_linenumber"]).write.mode("append").parquet(out + "/data")
 
-    q = (stream.writeStream.foreachBatch(apply_checks_per_batch([rule], sink))
+    q = (stream.writeStream.foreachBatch(apply_checks_per_batch([rule], sink, batches_are_tables=True))
          .option("checkpointLocation", out + "/_ck").trigger(availableNow=True).start())
     q.awaitTermination()
     got = spark.read.parquet(out + "/data")
