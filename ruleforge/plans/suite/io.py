@@ -200,6 +200,20 @@ def sink_both_roundtrip(spark, sf):
     return spark.table(fqn).select("name", "check_id")
 
 
+@query("sink_both_two_runs", "K3,K1", RULES_DUCK + "SELECT t AS table_name, name, CAST(1 AS BIGINT) AS copies, 'table' AS mode, t AS name_param "
+       "FROM r, (VALUES ('events'), ('events_again')) v(t)")
+def sink_both_two_runs(spark, sf):
+    # two runs into one folder: the second stores its own rules only
+    out = scratch_dir(spark, "both-twice")
+    fqn = f"rf_rules_{uuid.uuid4().hex[:10]}.generated_checks"
+    settings = rulegen.RulegenSettings(output_format="both", output_yaml=out + "/yaml", output_table=fqn, table_location=out + "/table")
+    for name in ("events", "events_again"):
+        rulegen.run(spark, [name], FULL, settings, reader=lambda t: fx.events_dirty(spark, sf))
+    stored = F.filter("generator_meta", lambda m: m["section"] == "generator_settings")[0]["payload"]
+    return (spark.table(fqn).groupBy("table_name", "name", stored["mode"].alias("mode"), stored["name_param"].alias("name_param"))
+            .agg(F.count(F.lit(1)).alias("copies")))
+
+
 PREVIEW_COLS = "o_orderkey,o_orderstatus,o_totalprice,o_orderdate"
 PREVIEW_SCHEMA = "o_orderkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz"
 

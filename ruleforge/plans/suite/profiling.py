@@ -262,6 +262,31 @@ def rule_check_id(spark, sf):
     return with_identity(_rules(spark, sf)).select("name", "check_id")
 
 
+# Argument texts that hold numbers, derived from events: each kind of spelling a JSON number may have.
+NUMBER_TEXTS = [
+    "event_id", "CASE event_id % 6 "
+    "WHEN 0 THEN concat('[', CAST(user_id AS string), '.0, 1.50]') WHEN 1 THEN concat('[', CAST(user_id AS string), ', 1.5]') "
+    "WHEN 2 THEN concat('{\"b\": -0.0, \"a\": ', CAST(event_id AS string), '}') "
+    "WHEN 3 THEN concat('{\"a\": 1, \"a\": ', CAST(user_id AS string), '}') "
+    "WHEN 4 THEN concat('[', CAST(event_id AS string), '00000000000000000001, 1e2]') "
+    "ELSE concat('[', CAST(user_id AS string), ', 1.') END AS arg_text"]
+NUMBERS_DUCK = (
+    "WITH t AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN '[' || user_id || '.0,1.5]' WHEN 1 THEN '[' || user_id || ',1.5]' "
+    "WHEN 2 THEN '{\"a\":' || event_id || ',\"b\":-0.0}' WHEN 3 THEN '{\"a\":' || user_id || '}' "
+    "WHEN 4 THEN '[' || ltrim(event_id || '00000000000000000001', '0') || ',100.0]' ELSE '[' || user_id || ', 1.' END AS v FROM events "
+    "), p AS (SELECT event_id, '{\"check\":{\"arguments\":{\"allowed\":' || to_json(v) || "
+    "'},\"for_each_column\":null,\"function\":\"is_in_list\"},\"filter\":\"\",\"table_name\":\"events\"}' AS check_id_payload FROM t) "
+    "SELECT event_id, check_id_payload, sha256(check_id_payload) AS check_id FROM p")
+
+
+@query("rule_payload_numbers", "R6,R7", NUMBERS_DUCK)
+def rule_payload_numbers(spark, sf):
+    texts = table(spark, sf, "events").selectExpr(*NUMBER_TEXTS)
+    rules = texts.select("event_id", F.lit("events").alias("table_name"), F.lit("is_in_list").alias("function"),
+                         F.create_map(F.lit("allowed"), F.col("arg_text")).alias("arguments"), F.lit(None).cast("string").alias("filter"))
+    return with_identity(rules).select("event_id", "check_id_payload", "check_id")
+
+
 # The options and settings recorded with each stored rule (R8 text forms).
 META = {"profile_options": {"sample_fraction": 1.0, "limit": None, "remove_outliers": True,
                             "outlier_columns": [], "num_sigmas": 3, "trim_strings": True},
@@ -285,9 +310,8 @@ R9_TABLES = ["region", "nation", "supplier", "orders", "part"]
 
 
 def _generate_for(spark, sf, names, options):
-    from functools import reduce
-    frames = [generate_rules(profile(table(spark, sf, n), options, table_name=n), options) for n in names]
-    return reduce(lambda a, b: a.unionByName(b), frames)
+    from ..rulegen import generate_all
+    return generate_all(spark, names, options, reader=lambda n: table(spark, sf, n))
 
 
 @query("rule_empty_tables", "R9",
@@ -295,9 +319,7 @@ def _generate_for(spark, sf, names, options):
        "(SELECT 1 FROM information_schema.columns c WHERE c.table_name = v.t AND c.data_type = 'DOUBLE')")
 def rule_empty_tables(spark, sf):
     opts = FULL.with_(profile_types=["double"])
-    rules = _generate_for(spark, sf, R9_TABLES, opts)
-    tables = spark.createDataFrame([(t,) for t in R9_TABLES], "table_name string")
-    return tables.join(rules.select("table_name").distinct(), "table_name", "left_anti")
+    return _generate_for(spark, sf, R9_TABLES, opts).summary.where("status = 'no checks'").select("table_name")
 
 
 # Fixed schema facts: the double columns of the R9/R10 tables.
@@ -315,9 +337,8 @@ R10_DUCK = (
 
 @query("rule_summary", "R10", R10_DUCK)
 def rule_summary(spark, sf):
-    from ..rulegen import summarize_run
     opts = FULL.with_(profile_types=["double"])
-    return summarize_run(R9_TABLES, _generate_for(spark, sf, R9_TABLES, opts), warnings=[])
+    return _generate_for(spark, sf, R9_TABLES, opts).summary.select("table_name", "checks", "status")
 
 
 @query("rule_form_preset", "R1-R4,D10", rules_duck(0.05, 0.02, 20, 0.01, outliers=False)

@@ -9,10 +9,13 @@ valid YAML list of that table's rules. No rule text passes through the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLE_DIR_COLUMN = "table"
+KEY_ORDER = "table_name,name,criticality,run_config_name,check,filter,user_metadata"  # of a rule document
+MANIFESTS = "_manifests"  # Spark's readers pass over folders that begin with an underscore
+MANIFEST_SCHEMA = "`table` string, path string, bytes long, sha256 string, rules long"
 
 
 def yaml_scalar(col: Column) -> Column:
@@ -56,15 +59,44 @@ def rule_yaml(rules: DataFrame) -> Column:
     return F.concat(first, body, F.lit("\n"))
 
 
+def _table_column(rules: DataFrame, table_col: str | None) -> Column:
+    key = table_col or ("source_table" if "source_table" in rules.columns else "table_name")
+    return F.coalesce(F.col(key), F.lit("unknown")).alias(TABLE_DIR_COLUMN)
+
+
 def write_rule_files(rules: DataFrame, out_dir: str, table_col: str | None = None) -> str:
     """Write rules as YAML under ``out_dir/table=<name>/``; returns ``out_dir``.
 
     Only the folders of the tables that these rules belong to are replaced.
     """
-    key = table_col or ("source_table" if "source_table" in rules.columns else "table_name")
-    docs = rules.select(F.coalesce(F.col(key), F.lit("unknown")).alias(TABLE_DIR_COLUMN),
-                        rule_yaml(rules).alias("value"))
+    docs = rules.select(_table_column(rules, table_col), rule_yaml(rules).alias("value"))
     (docs.repartition(TABLE_DIR_COLUMN).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(TABLE_DIR_COLUMN)
      .option("lineSep", "\n").text(out_dir))
     return out_dir
+
+
+def rule_files(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The rule files of a folder as they are now, one row each: ``table, path, value`` (the whole text)."""
+    return (spark.read.schema(f"value string, `{TABLE_DIR_COLUMN}` string").text(out_dir, wholetext=True)
+            .select(TABLE_DIR_COLUMN, F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def write_manifest(rules: DataFrame, out_dir: str, run: str, table_col: str | None = None) -> str:
+    """List the files that ``write_rule_files`` has just made of these rules, with size, digest and number of rules.
+
+    The folder of each of the rules' tables holds this run's files and no
+    others, since they replaced what was there. Returns the manifest's folder.
+    """
+    spark = rules.sparkSession
+    tables = rules.select(_table_column(rules, table_col)).distinct()
+    listed = (rule_files(spark, out_dir).join(tables, TABLE_DIR_COLUMN, "left_semi")
+              .select(TABLE_DIR_COLUMN, "path", F.octet_length("value").cast("long").alias("bytes"), F.sha2("value", 256).alias("sha256"),
+                      F.regexp_count("value", F.lit(r"(?m)^- ")).cast("long").alias("rules")))
+    path = f"{out_dir.rstrip('/')}/{MANIFESTS}/run={run}"
+    listed.write.json(path)
+    return path
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(MANIFEST_SCHEMA).json(path)

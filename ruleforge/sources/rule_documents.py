@@ -92,3 +92,23 @@ def read_rule_documents(spark: SparkSession, path: str, with_warnings: bool = Fa
 
 def rule_documents_warnings(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("warning").isNotNull()).select("yaml_path", "warning")
+
+
+def read_written_documents(spark: SparkSession, out_dir: str, manifest: DataFrame) -> DataFrame:
+    """Rules of exactly the files that a manifest lists, with warnings (``rule_documents_warnings``).
+
+    A listed file that is gone, or whose text isn't the one that was written,
+    gives a warning; what is left of it is read all the same. Files that the
+    manifest doesn't list are other runs' and aren't looked at.
+    """
+    from ..sinks.rule_files import rule_files
+
+    _ship_by_value()
+    now = rule_files(spark, out_dir).select("path", "value")
+    docs = now.join(manifest.select("path"), "path", "left_semi").mapInPandas(_parse, DOC_SCHEMA)
+    state = (manifest.select("path", "rules", F.col("sha256").alias("written"))
+             .join(now.select("path", F.sha2("value", 256).alias("found")), "path", "left"))
+    problem = (F.when(F.col("found").isNull(), F.concat(F.lit("rule file is gone: "), F.col("rules"), F.lit(" rules were written to it")))
+               .when(F.col("found") != F.col("written"), F.lit("rule file was changed after it was written")))
+    told = state.select(F.col("path").alias("yaml_path"), problem.alias("warning")).where(F.col("warning").isNotNull())
+    return docs.unionByName(told, allowMissingColumns=True)
