@@ -369,6 +369,24 @@ def _comparable(t: T.DataType) -> bool:
     return not isinstance(t, (T.MapType, T.VariantType))
 
 
+def _common_type(spark, a: T.DataType, b: T.DataType) -> T.DataType | None:
+    """The type in which Spark compares values of two simple types; None where a fingerprint can't follow it."""
+    if a == b:
+        return a
+    plain = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    if not (isinstance(a, plain) and isinstance(b, plain)) or isinstance(a, T.NumericType) != isinstance(b, T.NumericType):
+        return None
+    both = spark.createDataFrame([], T.StructType([T.StructField("a", a), T.StructField("b", b)]))
+    return both.select(F.coalesce("a", "b")).schema.fields[0].dataType
+
+
+def _hashable(c: Column, t: T.DataType) -> list[Column]:
+    """What a value gives to its row's fingerprint; hashes pass over NULLs, so each says whether it is one."""
+    value = F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"}) if isinstance(t, (T.ArrayType, T.StructType)) \
+        else c + F.lit(0).cast(t) if isinstance(t, (T.DoubleType, T.FloatType)) else c   # -0.0 equals 0.0
+    return [c.isNull(), value]
+
+
 def compare_report(df: DataFrame, ref: DataFrame, columns: Sequence[Any], ref_columns: Sequence[Any],
                    exclude_columns: Sequence[Any] | None = None, check_missing_records: bool = False,
                    null_safe_row_matching: bool = True, null_safe_column_value_matching: bool = True,
@@ -383,38 +401,64 @@ def compare_report(df: DataFrame, ref: DataFrame, columns: Sequence[Any], ref_co
     names of differing columns). Only columns present on both sides are
     compared; columns that hold a map are skipped; key columns are not compared.
 
-    Plan: the reference is reduced to one row per key (one ``groupBy`` with the
-    least and greatest version), then LEFT-joined to the input, so the input
-    is never multiplied and its hot keys can be split by AQE.
-    Missing records come from a LEFT ANTI join of reference keys against the
-    distinct input keys, appended with ``unionByName`` - no full outer join.
+    Plan: both sides are reduced to keys and two 64-bit fingerprints a row, and
+    one hash aggregation over all of them tells for each key whether its rows
+    are the same on both sides, and which keys one side lacks. Only keys that
+    aren't clean are joined back to the input, with the reference's columns
+    fetched for those that differ. The input is the left side of that join, so
+    it is never multiplied and its hot keys can be split by AQE. Keys that the
+    input lacks come out of the same aggregation, appended with ``unionByName``.
     """
     keys = [_name_in(df, c) for c in as_list(columns)]
     rkeys = [_name_in(ref, c) for c in as_list(ref_columns)]
     if not keys or len(keys) != len(rkeys):
         raise ValueError("columns and ref_columns must be non-empty and of equal length")
+    source = df if source is None else source
     excl = {_name_in(df, c) for c in as_list(exclude_columns)}
-    ref_types = {f.name: f.dataType for f in ref.schema.fields}
+    types, ref_types = ({f.name: f.dataType for f in frame.schema.fields} for frame in (df, ref))
     compared = [f.name for f in df.schema.fields
                 if f.name in ref_types and f.name not in keys and f.name not in excl
                 and _comparable(f.dataType) and _comparable(ref_types[f.name])]
+    common = {c: _common_type(df.sparkSession, types[c], ref_types[c]) for c in compared}
+    key_types = [_common_type(df.sparkSession, types[k], ref_types[r]) or types[k] for k, r in zip(keys, rkeys)]
 
     rk = [f"{HELPER}rk{i}_{tag}" for i in range(len(keys))]
     rv = [f"{HELPER}rv{j}_{tag}" for j in range(len(compared))]
-    nv = f"{HELPER}nv_{tag}"
-
-    refv = ref.select(*[F.col(c).alias(k) for c, k in zip(rkeys, rk)],
-                      *[F.col(c).alias(v) for c, v in zip(compared, rv)])
-    if not null_safe_row_matching:
-        refv = refv.where(all_of(F.col(k).isNotNull() for k in rk))
-    # one row per reference key from one aggregation: its least and greatest version differ when it has several
-    least, greatest = f"{HELPER}least_{tag}", f"{HELPER}greatest_{tag}"
-    version = F.struct(F.lit(0).alias("_"), *[F.col(v) for v in rv])
-    one_per_key = (refv.groupBy(*rk).agg(F.min(version).alias(least), F.max(version).alias(greatest))
-                   .select(*rk, F.when(F.col(least).eqNullSafe(F.col(greatest)), 1).otherwise(2).alias(nv),
-                           *[F.col(least)[v].alias(v) for v in rv]))
-
-    joined = _key_join(df, one_per_key, keys, rk, null_safe=null_safe_row_matching)
+    state = f"{HELPER}state_{tag}"
+
+    # ------------------------------------------------------------ fingerprints
+    def prints(frame: DataFrame, names: Sequence[str], of_input: bool) -> DataFrame:
+        parts = [p for c in compared if common[c] is not None for p in _hashable(F.col(c).cast(common[c]), common[c])]
+        # a NULL never equals a NULL when values are matched strictly; types without a common one are compared value by value
+        doubt = any_of(F.col(c).isNull() for c in compared) if compared and not null_safe_column_value_matching else F.lit(False)
+        if any(t is None for t in common.values()):
+            doubt = F.lit(True)
+        null_key = any_of(F.col(c).isNull() for c in names)
+        return frame.select(*[F.col(c).cast(t).alias(k) for c, k, t in zip(names, rk, key_types)],
+                            F.xxhash64(F.lit(1), *parts).alias("p"), F.xxhash64(F.lit(2), *parts).alias("q"), doubt.alias("doubt"),
+                            F.lit(of_input).alias("mine"),
+                            # NULL keys match nothing, unless row matching is null-safe
+                            (F.when(null_key, F.lit(1 + of_input)).otherwise(0) if not null_safe_row_matching else F.lit(0)).alias("apart"))
+
+    mine = F.col("mine")
+    ends = [F.expr(f"{f}({c}) FILTER (WHERE {'' if side else 'NOT '}mine)").alias(f"{f}_{c}{int(side)}")
+            for side in (True, False) for c in ("p", "q") for f in ("min", "max")]
+    by_key = (prints(source, keys, True).unionByName(prints(ref, rkeys, False)).groupBy(*rk, "apart")
+              .agg(F.count_if(mine).alias("in_rows"), F.count_if(~mine).alias("ref_rows"), F.bool_or("doubt").alias("doubt"), *ends))
+    several = (F.col("min_p0") != F.col("max_p0")) | (F.col("min_q0") != F.col("max_q0"))
+    clean = ~F.col("doubt") & all_of(F.col(f"{f}_{c}1") == F.col(f"min_{c}0") for c in ("p", "q") for f in ("min", "max"))
+    states = by_key.withColumn(state, F.when(F.col("ref_rows") == 0, F.lit("extra")).when(F.col("in_rows") == 0, F.lit("missing"))
+                               .when(several, F.lit("ambiguous")).when(clean, F.lit("matched")).otherwise(F.lit("differs")))
+
+    # ------------------------------------------------------------ back to the rows
+    odd = states.where((F.col(state) != "matched") & (F.col(state) != "missing") & (F.col("apart") == 0)).select(*rk, state)
+    fetched = [f"{k}_v" for k in rk]
+    # rows of a differing key are all alike in the reference (else it is ambiguous): one version a key
+    versions = (_key_join(ref.select(*[F.col(c).alias(k) for c, k in zip(rkeys, fetched)], *[F.col(c).alias(v) for c, v in zip(compared, rv)]),
+                          odd.where(F.col(state) == "differs"), fetched, rk, null_safe=True, how="inner")
+                .select(*rk, state, *rv).distinct())
+    right = odd.where(F.col(state) != "differs").unionByName(versions, allowMissingColumns=True)
+    joined = _key_join(df, right, keys, rk, null_safe=null_safe_row_matching)
 
     diffs = []
     for c, v in sorted(zip(compared, rv)):
@@ -422,30 +466,22 @@ def compare_report(df: DataFrame, ref: DataFrame, columns: Sequence[Any], ref_co
         differ = ~a.eqNullSafe(b) if null_safe_column_value_matching else ~F.coalesce(a == b, F.lit(False))
         diffs.append(F.when(differ, F.lit(c)))
     changed_text = F.concat_ws(",", *diffs) if diffs else F.lit("")  # sorted names, '' when none
-    status = (F.when(F.col(nv).isNull(), F.lit("extra"))
-              .when(F.col(nv) > 1, F.lit("ambiguous"))
-              .when(changed_text != F.lit(""), F.lit("changed"))
-              .otherwise(F.lit("matched")))
-    changed = F.when((F.col(nv) == 1) & (changed_text != F.lit("")), changed_text)
-    out = joined.withColumns({status_col: status, changed_col: changed}).drop(*rk, *rv, nv)
+    is_changed = (F.col(state) == "differs") & (changed_text != F.lit(""))
+    status = (F.when(is_changed, F.lit("changed")).when(F.col(state).isNull() | (F.col(state) == "differs"), F.lit("matched"))
+              .otherwise(F.col(state)))
+    if not null_safe_row_matching:
+        status = F.when(any_of(F.col(k).isNull() for k in keys), F.lit("extra")).otherwise(status)
+    out = joined.withColumns({status_col: status, changed_col: F.when(is_changed, changed_text)}).drop(*rk, *rv, state)
 
     if check_missing_records:
-        src_keys = (source if source is not None else df).select(*[F.col(c).alias(k) for c, k in zip(keys, rk)])
-        if not null_safe_row_matching:
-            src_keys = src_keys.where(all_of(F.col(k).isNotNull() for k in rk))
-        src_keys = src_keys.distinct()
-        ref_keys = ref.select(*[F.col(c).alias(k) for c, k in zip(rkeys, rk)]).dropDuplicates()
-        missing = _key_join(ref_keys, src_keys.select(*[F.col(k).alias(k + "_s") for k in rk]),
-                            rk, [k + "_s" for k in rk], null_safe=null_safe_row_matching, how="left_anti")
-        types = {f.name: f.dataType for f in df.schema.fields}
         fill = []
         for f in df.schema.fields:
             if f.name in keys:
                 fill.append(F.col(rk[keys.index(f.name)]).cast(f.dataType).alias(f.name))
             else:
                 fill.append(F.lit(None).cast(types[f.name]).alias(f.name))
-        missing_rows = missing.select(*fill, F.lit("missing").alias(status_col),
-                                      F.lit(None).cast("string").alias(changed_col))
+        missing_rows = states.where(F.col(state) == "missing").select(
+            *fill, F.lit("missing").alias(status_col), F.lit(None).cast("string").alias(changed_col))
         out = out.unionByName(missing_rows)
     return out
 

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import name_col
 from ..functions.row_checks import ROW_CHECKS
+from ..session import scratch_dir
 from ..operators.dataset_checks import DATASET_CHECKS, HELPER, CheckContext, attach_grouped_aggregates
 from .rules import select_rules
 
@@ -76,11 +77,68 @@ def build_condition(rule: dict):
     raise ValueError(f"unknown check function {rule['function']!r}")
 
 
+ROW_ID, VERDICTS = f"{HELPER}row", f"{HELPER}verdicts"
+
+
+def _judged_apart(spark: SparkSession, df: DataFrame, built: list, shared: dict, refs, running, row_key: str | None):
+    """Verdicts of the checks that would join, on narrow frames: the input with its row id, the verdicts, the checks they decide."""
+    units: list[list[int]] = []
+    for i, (rule, kind, cond) in enumerate(built):
+        # an ungrouped aggregate is one value, without a join; a comparison may append rows, which have no id
+        if kind == "row" or cond.agg_spec is not None and cond.share_key is None or rule["arguments"].get("check_missing_records"):
+            continue
+        members = shared.get((cond.share_key, rule.get("filter") or ""), [i]) if cond.share_key is not None else [i]
+        if members[0] == i:
+            units.append(members)
+    if not units:
+        return df, None, {}
+    if row_key is None:
+        path = scratch_dir(spark, "rows-with-id")
+        df.withColumn(ROW_ID, F.monotonically_increasing_id()).write.parquet(path)
+        df = spark.read.parquet(path)
+    key, parts = row_key or ROW_ID, []
+    for members in units:
+        rule, _, cond = built[members[0]]
+        ctx = CheckContext(spark=spark, source=df, refs=refs or {}, filter=F.expr(rule["filter"]) if rule.get("filter") else None, tag=str(members[0]))
+        if running is not None and cond.agg_spec is not None:
+            ctx.running = partial(running.frame, members)
+        if len(members) > 1 or ctx.running is not None:
+            frame, results = attach_grouped_aggregates(df, ctx, [built[m][2].agg_spec for m in members])
+        else:
+            frame, *result = cond.attach(df, ctx)
+            results = [result]
+        issues = [F.when(fail, F.struct(F.lit(m).alias("rule"), message.cast("string").alias("message"))) for m, (fail, message) in zip(members, results)]
+        parts.append(frame.select(name_col(key).alias(ROW_ID), F.explode(F.array_compact(F.array(*issues))).alias("issue")))
+    verdicts = parts[0]
+    for part in parts[1:]:
+        verdicts = verdicts.unionByName(part)
+    # as many entries as a row fails checks
+    verdicts = verdicts.groupBy(ROW_ID).agg(F.map_from_entries(F.collect_list("issue")).alias(VERDICTS))
+    told = F.col(VERDICTS)
+    return df, verdicts, {m: (F.coalesce(F.map_contains_key(told, m), F.lit(False)), told[m]) for members in units for m in members}
+
+
+def _with_verdicts(df: DataFrame, verdicts: DataFrame | None, key: str) -> DataFrame:
+    if verdicts is None:
+        return df
+    verdicts = verdicts.withColumnRenamed(ROW_ID, f"{HELPER}of")
+    return df.join(verdicts, name_col(key) == F.col(f"{HELPER}of"), "left")
+
+
 def apply_checks(df: DataFrame, rules: Iterable[dict] | DataFrame, refs: dict[str, DataFrame] | None = None,
                  run_config_name: str | None = None, spark: SparkSession | None = None,
-                 table_name: str | None = None, running=None) -> DataFrame:
+                 table_name: str | None = None, running=None, join_back: str = "each",
+                 row_key: str | None = None) -> DataFrame:
     """Annotate every row of ``df`` with the rules it violates.
 
+    ``join_back="once"`` is for several dataset checks over a wide input. Each
+    check then judges a narrow frame (a row id and the columns it needs), and
+    only the verdicts on failing rows are joined to the input, in one join,
+    where otherwise every check shuffles the whole input. A row id that all of
+    these see alike is needed: ``row_key``, a column with a different value in
+    each row, or else the input is written once, with an id, to the shared
+    folder (at once, not when the result is used).
+
     ``running`` (see ``streaming/running.py``) has the values of the checks' groups that a stream keeps; without
     it they are aggregated from ``df``.
 
@@ -117,7 +175,13 @@ def apply_checks(df: DataFrame, rules: Iterable[dict] | DataFrame, refs: dict[st
         frozen[i] = (F.col(flag), F.col(text))
         return frame.withColumns({flag: F.coalesce(fail, F.lit(False)), text: F.when(fail, message)})
 
-    out = df
+    if join_back not in ("each", "once"):
+        raise ValueError("join_back must be each or once")
+    if join_back == "once":
+        df, verdicts, frozen = _judged_apart(spark, df, built, shared, refs, running, row_key)
+        out = _with_verdicts(df, verdicts, row_key or ROW_ID)
+    else:
+        out = df
     judged: list[tuple[int, dict, Column, Column]] = []
     for i, (rule, kind, cond) in enumerate(built):
         filt = F.expr(rule["filter"]) if rule.get("filter") else None
