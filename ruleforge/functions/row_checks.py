@@ -253,25 +253,58 @@ def sql_expression(expression: str, msg: str | None = None, name: str | None = N
 # The personal-data patterns C21 looks for, by kind.
 PII_PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "ipv4": r"\b(\d{1,3}\.){3}\d{1,3}\b",
-    "phone": r"\+?\d[\d ().-]{7,}\d",
-    "card": r"\b(?:\d[ -]?){13,16}\b",
+    "ipv4": r"\b\d{1,3}(?:\.\d{1,3}){3}\b",
+    "phone": r"(?:\+|\b)\d[\d ().-]{7,}\d\b",
+    "card": r"\b\d(?:[ -]?\d){12,18}\b",
     "iban": r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b",
 }
+# How many digits an international phone number has at least and at most.
+PHONE_DIGITS = (9, 15)
 
 
 # A literal every match must contain: checked first (cheap), so the regex runs only where it can match.
 _PII_REQUIRED = {"email": "@", "ipv4": "."}
 
 
+def _iban_remainder(iban: Column) -> Column:
+    """The first four characters go to the end, letters count from 10, and the number's remainder by 97 is taken digit by digit."""
+    moved = F.split(F.concat(F.substring(iban, 5, 34), F.substring(iban, 1, 4)), "")
+    values = F.transform(F.filter(moved, lambda c: c != ""), lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55))
+    return F.aggregate(values, F.lit(0), lambda r, v: (r * F.when(v > 9, 100).otherwise(10) + v) % 97)
+
+
+def _is_phone(match: Column) -> Column:
+    digits = F.length(F.regexp_replace(match, "[^0-9]", ""))
+    # not a bare number, nor four dotted ones, which are an address, right or wrong
+    return digits.between(*PHONE_DIGITS) & match.rlike(r"[^0-9]") & ~match.rlike(r"^\d+(\.\d+){3}$")
+
+
+# What a match must fulfil beyond its pattern; a match that doesn't is dropped.
+_PII_VERIFIED = {
+    "ipv4": lambda m: F.forall(F.split(m, r"\."), lambda p: p.cast("int") <= 255),
+    "phone": _is_phone,
+    "card": lambda m: F.call_function("luhn_check", F.regexp_replace(m, "[^0-9]", "")),
+    "iban": lambda m: _iban_remainder(m) == 1,
+}
+
+
 def _pii_hit(text: Column, kind: str) -> Column:
     hit = text.rlike(PII_PATTERNS[kind])
+    if kind in _PII_VERIFIED:  # the matches are taken out only of texts that have one
+        matches = F.regexp_extract_all(text, F.lit(PII_PATTERNS[kind]), F.lit(0))
+        hit = F.when(hit, F.exists(matches, _PII_VERIFIED[kind])).when(text.isNotNull(), F.lit(False))
     need = _PII_REQUIRED.get(kind)
     return (F.instr(text, need) > 0) & hit if need else hit
 
 
 def contains_pii(column: Any, kinds: Sequence[str] | None = None) -> Condition:
-    """Fails when the text holds any of the fixed personal-data patterns."""
+    """Fails when the text holds personal data of the given kinds.
+
+    A match of a kind's pattern counts when it verifies: card numbers by their
+    check digit (Luhn), account numbers (IBAN) by their remainder by 97,
+    addresses by the range of their parts, phone numbers by their number of
+    digits. So a number with one wrong digit passes.
+    """
     c = to_col(column).cast("string")
     label = column_label(column)
     kinds = list(kinds or PII_PATTERNS)

@@ -148,9 +148,11 @@ def profile(df: DataFrame, options: ProfileOptions | None = None, columns: Seque
             table_name: str | None = None) -> DataFrame:
     """One row per profiled column.
 
-    Adds to ``column_stats``: ``distinct_count`` (exact for screened columns
-    or with ``exact_distinct``, else the estimate), ``distinct_exact`` and
-    ``values`` (sorted distinct values as text, screened columns only).
+    Adds to ``column_stats``: ``distinct_count`` (exact, for screened columns
+    or with ``exact_distinct``; else NULL, and ``approx_distinct`` has the
+    estimate), ``distinct_exact``, ``values`` (sorted distinct values as text,
+    screened columns only) and ``values_note``, which tells why a column has
+    no list (NULL where it has one).
     """
     options = options or ProfileOptions()
     prep = prepare(df, options, columns)
@@ -171,12 +173,14 @@ def profile(df: DataFrame, options: ProfileOptions | None = None, columns: Seque
     out = stats.join(per_col, "column_name", "left")
     cols = [*[c for c in PROFILE_SCHEMA.fieldNames()],
             F.coalesce(F.col("exact_distinct"),
-                       F.when(F.col("column_name").isin(screened) if screened else F.lit(False), F.lit(0)),
-                       F.col("approx_distinct")).cast("bigint").alias("distinct_count"),
+                       F.when(F.col("column_name").isin(screened) if screened else F.lit(False), F.lit(0))
+                       ).cast("bigint").alias("distinct_count"),
             (F.col("column_name").isin(screened) if screened else F.lit(False)).alias("distinct_exact"),
             # a listed column without any non-NULL value has an empty list
             F.when(F.col("values").isNull() & (F.col("column_name").isin(listed) if listed else F.lit(False)),
                    F.array().cast("array<string>")).otherwise(F.col("values")).alias("values")]
+    cols.append(F.when(F.col("approx_distinct").isNull(), F.lit("values of this type are not listed"))
+                .when(~in_list | (F.col("exact_distinct") > limit), F.lit(f"more than {limit} different values")).alias("values_note"))
     if options.include_histograms:
         out = out.join(histograms(prep, stats, counts, listed, options), "column_name", "left")
         cols.append(F.col("histogram"))

@@ -127,6 +127,23 @@ def agg_distinct(spark, sf):
     return ev_profile(spark, sf, FULL.with_(exact_distinct=True)).select("column_name", "distinct_count")
 
 
+@query("agg_distinct_merged", "A4", per_column(lambda c, k: f"count(*) AS rows, count(DISTINCT {_val(c, k)}) AS distinct_count, CAST(3 AS BIGINT) "
+                                               "AS runs, true AS within_error"))
+def agg_distinct_merged(spark, sf):
+    # three runs over parts of the table, each part's sketches stored; a value in several parts counts once
+    from ...operators import sketches
+    from ...session import scratch_dir
+    events, path = fx.events_dirty(spark, sf), scratch_dir(spark, "sketches")
+    for k in range(3):
+        part = events.where(F.col("event_id") % 3 == k)
+        sketches.store_sketches(sketches.column_sketches(part, "events", f"part{k}", FULL), path)
+    merged = sketches.merged_distinct(sketches.stored_sketches(spark, path))
+    exact = ev_profile(spark, sf, FULL.with_(exact_distinct=True)).select("column_name", "distinct_count")
+    # four standard errors, and no less than one value
+    within = F.abs(F.col("distinct_estimate") - F.col("distinct_count")) <= F.greatest(F.lit(1.0), 4 * F.col("relative_error") * F.col("distinct_count"))
+    return merged.join(exact, "column_name").select("column_name", "rows", "distinct_count", "runs", within.alias("within_error"))
+
+
 def _text(c: str, k: str) -> str:
     return f"trim({c})" if k == "str" else f"CAST({c} AS VARCHAR)"
 

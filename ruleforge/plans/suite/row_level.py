@@ -189,16 +189,43 @@ def chk_sql_expression(spark, sf):
                    ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
 
 
-PII_DUCK = " OR ".join(f"regexp_matches(text, '{p}')" for p in [
-    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    r"\b(\d{1,3}\.){3}\d{1,3}\b",
-    r"\+?\d[\d ().-]{7,}\d",
-    r"\b(?:\d[ -]?){13,16}\b",
-    r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b",
-])
-
-
-@query("chk_pii", "C21", oracle("SELECT * FROM documents", ["doc_id"], PII_DUCK, "text_without_pii"))
+# the same patterns and verifications, spelled in SQL
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+PII_VERIFIED_DUCK = [
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "true"),
+    (r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "list_max(list_transform(string_split(m, '.'), lambda p: p::INT)) <= 255"),
+    (r"(?:\+|\b)\d[\d ().-]{7,}\d\b", rf"length({_DIGITS}) BETWEEN 9 AND 15 AND regexp_matches(m, '[^0-9]') AND NOT regexp_matches(m, '^\d+(\.\d+){{3}}$')"),
+    (r"\b\d(?:[ -]?\d){12,18}\b",
+     f"list_sum(list_transform(string_split(reverse({_DIGITS}), ''), lambda d, i: CASE WHEN i % 2 = 1 THEN d::INT WHEN d::INT > 4 "
+     "THEN d::INT * 2 - 9 ELSE d::INT * 2 END)) % 10 = 0"),
+    (r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b",
+     "list_reduce(list_transform(string_split(substr(m, 5) || substr(m, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c::INT "
+     "ELSE ascii(c) - 55 END), lambda r, v: (r * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1"),
+]
+
+
+def pii_duck(column: str) -> str:
+    return " OR ".join(f"len(list_filter(regexp_extract_all({column}, '{p}'), lambda m: {test})) > 0" for p, test in PII_VERIFIED_DUCK)
+
+
+# Numbers built from the orders: a card number and an account number (three in four with a wrong check digit), and an address.
+PII_NUMBERS = [
+    "o_orderkey",
+    "concat('card 4111 11', lpad(CAST(o_orderkey % 100 AS string), 2, '0'), ' 1111 11', lpad(CAST(o_custkey % 100 AS string), 2, '0'), '.') AS card_text",
+    "concat('pay to DE', lpad(CAST(o_custkey % 97 AS string), 2, '0'), '37040044053201', lpad(CAST(o_orderkey % 10000 AS string), 4, '0')) AS iban_text",
+    "concat('from 10.', CAST(o_custkey % 300 AS string), '.0.', CAST(o_orderkey % 300 AS string)) AS ip_text",
+]
+
+
+@query("chk_pii_checksums", "C21",
+       "SELECT o_orderkey, NULLIF(concat_ws(',', " + ", ".join(f"CASE WHEN {pii_duck(c)} THEN '{c}' END" for c in ("card_text", "iban_text", "ip_text"))
+       + "), '') AS error_checks FROM (" + fx.duck(PII_NUMBERS, "orders") + ") o")
+def chk_pii_checksums(spark, sf):
+    return checked(table(spark, sf, "orders").selectExpr(*PII_NUMBERS),
+                   [rule("contains_pii", c, column=c) for c in ("card_text", "iban_text", "ip_text")], ["o_orderkey"])
+
+
+@query("chk_pii", "C21", oracle("SELECT * FROM documents", ["doc_id"], pii_duck("text"), "text_without_pii"))
 def chk_pii(spark, sf):
     return checked(table(spark, sf, "documents"), [rule("contains_pii", "text_without_pii", column="text")], ["doc_id"])
 

@@ -141,3 +141,31 @@ def test_dotted_column_names(spark):
     rules = generate_rules(profile(df, FULL, table_name="t"), FULL)
     out = apply_checks(df, rules_from_documents(rules))
     assert out.count() == 3
+
+
+def test_distinct_counts_are_exact_or_missing(spark):
+    from ruleforge.operators.options import ProfileOptions
+    from ruleforge.operators.profile import profile
+    df = spark.range(5000).selectExpr("id", "id % 4 AS few", "CAST(NULL AS int) AS none", "array(id) AS list", "CASE WHEN id < 31 THEN id % 31 ELSE 0 END AS edge")
+    got = {r["column_name"]: r for r in profile(df, ProfileOptions(), table_name="t").collect()}
+    assert got["id"]["distinct_count"] is None and abs(got["id"]["approx_distinct"] - 5000) < 500 and not got["id"]["distinct_exact"]
+    assert got["few"]["distinct_count"] == 4 and got["few"]["values_note"] is None and got["none"]["distinct_count"] == 0 and got["none"]["values"] == []
+    assert got["id"]["values_note"] == got["edge"]["values_note"] == "more than 30 different values" and got["edge"]["values"] is None
+    assert "list" not in got or got["list"]["values_note"] == "values of this type are not listed"
+    assert {r["column_name"]: r["distinct_count"] for r in profile(df, ProfileOptions(exact_distinct=True)).collect()}["id"] == 5000
+
+
+def test_sketches_of_runs_merge(spark, tmp_path):
+    from ruleforge.operators import sketches
+    path = str(tmp_path / "store")
+    for run, (lo, hi) in {"one": (0, 40000), "two": (20000, 60000), "one again": (0, 40000)}.items():
+        df = spark.range(lo, hi).selectExpr("id", "CASE WHEN id % 10 = 0 THEN NULL ELSE concat(' k', id % 7, ' ') END AS k")
+        sketches.store_sketches(sketches.column_sketches(df, "c.s.t", run.split()[0]), path)   # the third replaces the first
+    sketches.store_sketches(sketches.column_sketches(spark.range(5), "c.s.u", "one"), path)
+    got = {(r["table_name"], r["column_name"]): r for r in sketches.merged_distinct(sketches.stored_sketches(spark, path)).collect()}
+    ids = got["c.s.t", "id"]
+    assert ids["runs"] == 2 and ids["rows"] == 80000 and abs(ids["distinct_estimate"] - 60000) <= 4 * ids["relative_error"] * 60000
+    assert got["c.s.t", "k"]["distinct_estimate"] == 7 and got["c.s.t", "k"]["nulls"] == 8000 and got["c.s.u", "id"]["distinct_estimate"] == 5
+    wider = sketches.column_sketches(spark.range(40000).selectExpr("CAST(id AS string) AS id"), "c.s.t", "text")
+    both = sketches.merged_distinct(sketches.stored_sketches(spark, path).where("table_name = 'c.s.t' AND column_name = 'id'").unionByName(wider)).first()
+    assert both["distinct_estimate"] == ids["distinct_estimate"]
