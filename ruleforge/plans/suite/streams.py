@@ -98,6 +98,30 @@ def stream_aggr_equal(spark, sf):
         rule("is_aggr_not_equal", "user_first_event", "warn", column="ts", aggr_type="min", group_by=["user_id"], limit="ts")])
 
 
+@query("stream_empty_windows", "T2,G9",
+       "WITH c AS (SELECT event_type, time_bucket(INTERVAL 30 MINUTE, ts) AS w, count(*) AS n FROM events GROUP BY ALL), "
+       "k AS (SELECT event_type, min(w) AS first, (SELECT max(w) FROM c) AS last FROM c GROUP BY 1), "
+       "g AS (SELECT event_type, unnest(generate_series(first, last, INTERVAL 30 MINUTE)) AS w FROM k) "
+       "SELECT g.event_type AS key, g.w AS window_start, g.w + INTERVAL 30 MINUTE AS window_end, CAST(coalesce(c.n, 0) AS BIGINT) AS records, "
+       "coalesce(c.n, 0) >= 2 AS fresh FROM g LEFT JOIN c ON g.event_type = c.event_type AND g.w = c.w")
+def stream_empty_windows(spark, sf):
+    # four files, then a heartbeat from long after the last event: the timers tell the windows that no row fills
+    from ...streaming.windows import windows_stream
+    events = table(spark, sf, "events").select("ts", "event_type", F.lit(True).alias("real"))
+    folder, out = scratch_dir(spark, "stream-beats"), scratch_dir(spark, "stream-empty")
+    last = events.agg(F.max("ts").alias("last"))
+
+    def drain():
+        stream = file_stream(spark, folder, "*.parquet", events.schema, files_per_batch=1)
+        return run_to_parquet(windows_stream(stream, "ts", 30, 2, watermark="60 days", key="event_type", counted=F.col("real")), out)
+
+    events.repartition(4).write.mode("append").parquet(folder)
+    drain()
+    beat = last.select((F.col("last") + F.expr("INTERVAL 90 DAYS")).alias("ts"), F.lit("heartbeat").alias("event_type"), F.lit(False).alias("real"))
+    beat.coalesce(1).write.mode("append").parquet(folder)
+    return drain().where((F.col("key") != "heartbeat") & (F.col("window_start") <= last.scalar()))
+
+
 # --------------------------------------------------------------- custom rules
 # Argument texts as a rule form would send them, derived row by row from events:
 # each event yields one (key, text) pair whose key and text depend on its fields.
