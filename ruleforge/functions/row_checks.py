@@ -53,9 +53,16 @@ def is_not_null_and_not_empty(column: Any, trim_strings: bool = False) -> Condit
                      _msg(f"Column '{label}' value is null or empty"))
 
 
-def is_in_list(column: Any, allowed: Sequence[Any]) -> Condition:
+def _list_of_values(allowed: Sequence[Any]) -> Sequence[Any]:
+    if isinstance(allowed, (str, bytes)):  # would be taken letter by letter
+        raise TypeError(f"allowed is a list of values, not a text: {allowed!r}")
     if not allowed:
         raise ValueError("allowed list must not be empty")
+    return allowed
+
+
+def is_in_list(column: Any, allowed: Sequence[Any]) -> Condition:
+    allowed = _list_of_values(allowed)
     c = to_col(column)
     label = column_label(column)
     values = [to_value(v) if not isinstance(v, str) else F.lit(v) for v in allowed]
@@ -65,8 +72,7 @@ def is_in_list(column: Any, allowed: Sequence[Any]) -> Condition:
 
 
 def is_not_null_and_is_in_list(column: Any, allowed: Sequence[Any]) -> Condition:
-    if not allowed:
-        raise ValueError("allowed list must not be empty")
+    allowed = _list_of_values(allowed)
     c = to_col(column)
     label = column_label(column)
     values = [to_value(v) if not isinstance(v, str) else F.lit(v) for v in allowed]

@@ -8,9 +8,9 @@ partitions × n rows. ``top_k`` puts a level between: partitions are dealt to
 receives ``BUCKETS`` × n rows at most. Spark plans the ranking as
 ``WindowGroupLimit`` on both sides of its shuffle, so a task sends n rows.
 
-Spark does so up to ``spark.sql.optimizer.windowGroupLimitThreshold`` rows;
-beyond it the ranking would shuffle the whole table, and the plain ordered
-limit is used. The rows are the same either way, ties in all columns apart.
+Spark does so up to ``spark.sql.optimizer.windowGroupLimitThreshold`` rows; for
+a larger n that setting of the session is raised to n, so that the plan is the
+same for every n. It only chooses plans, never rows.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 64
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 _BUCKET, _RANK = "__rf_bucket", "__rf_rank"
 
 
@@ -36,8 +37,10 @@ def top_k(df: DataFrame, order: Sequence[tuple[str, bool]], n: int) -> DataFrame
     if n <= 0:
         return df.limit(0)
     by = order_columns(order)
-    if n <= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
-        rank = F.row_number().over(Window.partitionBy(_BUCKET).orderBy(*by))
-        df = (df.withColumn(_BUCKET, F.pmod(F.spark_partition_id(), F.lit(BUCKETS))).withColumn(_RANK, rank)
-              .where(F.col(_RANK) <= n).drop(_BUCKET, _RANK))
-    return df.orderBy(*by).limit(n)
+    conf = df.sparkSession.conf
+    if n > int(conf.get(GROUP_LIMIT, "1000")):
+        conf.set(GROUP_LIMIT, str(n))
+    rank = F.row_number().over(Window.partitionBy(_BUCKET).orderBy(*by))
+    best = (df.withColumn(_BUCKET, F.pmod(F.spark_partition_id(), F.lit(BUCKETS))).withColumn(_RANK, rank)
+            .where(F.col(_RANK) <= n).drop(_BUCKET, _RANK))
+    return best.orderBy(*by).limit(n)

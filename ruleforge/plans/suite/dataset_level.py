@@ -162,6 +162,17 @@ def chk_compare_rule(spark, sf):
                          ref_df_name="altered")], ["c_custkey"], refs={"altered": fx.customers_altered(spark, sf)})
 
 
+@query("chk_compare_missing_rule", "G8",
+       CMP_BASE + "SELECT c_custkey, CASE WHEN a_key IS NULL OR diff <> '' THEN 'customers_match' END AS error_checks FROM j "
+       "UNION ALL SELECT a.c_custkey, 'customers_match' FROM alt a WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = a.c_custkey)")
+def chk_compare_missing_rule(spark, sf):
+    # through the rule engine, with the reference's missing records appended; the other rule doesn't judge those
+    return checked(table(spark, sf, "customer"),
+                   [rule("compare_datasets", "customers_match", columns=["c_custkey"], ref_columns=["c_custkey"], ref_df_name="altered",
+                         check_missing_records=True), rule("is_not_null", "named", column="c_name")],
+                   ["c_custkey"], refs={"altered": fx.customers_altered(spark, sf)})
+
+
 @query("chk_fresh_per_window", "G9",
        oracle("SELECT *, count(*) OVER (PARTITION BY time_bucket(INTERVAL 60 MINUTE, ts)) AS n FROM events",
               ["event_id"], "n < 10", "hourly_arrivals"))

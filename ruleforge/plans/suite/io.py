@@ -200,6 +200,16 @@ def sink_both_roundtrip(spark, sf):
     return spark.table(fqn).select("name", "check_id")
 
 
+@query("sink_rule_files_two_runs", "K2", RULES_DUCK + "SELECT t AS \"table\", name FROM r, (VALUES ('events'), ('events_again')) v(t)")
+def sink_rule_files_two_runs(spark, sf):
+    # the second run writes another table's rules and, again, the first one's
+    out = scratch_dir(spark, "rule-files")
+    rules = _event_rules(spark, sf)
+    write_rule_files(rules, out)
+    write_rule_files(rules.withColumn("table_name", F.lit("events_again")).unionByName(rules), out)
+    return read_rule_documents(spark, out).select(F.col("table_name").alias("table"), "name")
+
+
 @query("sink_both_two_runs", "K3,K1", RULES_DUCK + "SELECT t AS table_name, name, CAST(1 AS BIGINT) AS copies, 'table' AS mode, t AS name_param "
        "FROM r, (VALUES ('events'), ('events_again')) v(t)")
 def sink_both_two_runs(spark, sf):

@@ -64,6 +64,29 @@ def prep_limit(spark, sf):
     return prepare(table(spark, sf, "orders"), opts, columns=["o_orderkey", "o_totalprice"])
 
 
+@query("prep_sample_keyless", "P3", "SELECT true AS share_kept, true AS rows_of_table, true AS no_row_twice")
+def prep_sample_keyless(spark, sf):
+    # rows drawn one by one have no result that SQL could give: what must hold of every draw
+    orders = table(spark, sf, "orders")
+    drawn = prepare(orders, FULL.with_(sample_fraction=0.3, sample_seed=42), columns=["o_orderkey", "o_totalprice"])
+    found = drawn.groupBy("o_orderkey", "o_totalprice").agg(F.count(F.lit(1)).alias("times"))
+    share = F.count_if(F.col("times").isNotNull())
+    n = F.count(F.lit(1))
+    return (orders.select("o_orderkey", "o_totalprice").join(found, ["o_orderkey", "o_totalprice"], "full_outer")
+            .join(orders.select("o_orderkey", F.lit(True).alias("known")), "o_orderkey", "left")
+            .agg((F.abs(share - 0.3 * n) <= 6 * F.sqrt(0.21 * n)).alias("share_kept"),
+                 F.bool_and(F.coalesce("known", F.lit(False))).alias("rows_of_table"),
+                 F.coalesce(F.max("times") == 1, F.lit(True)).alias("no_row_twice")))
+
+
+@query("prep_default_whole_table", "P3,P4,A1", "SELECT c AS column_name, count(*) AS row_count FROM orders, (VALUES ('o_orderkey'), ('o_orderstatus'), "
+       "('o_totalprice')) v(c) GROUP BY c")
+def prep_default_whole_table(spark, sf):
+    # options as they come: no sample, no limit
+    return (profile(table(spark, sf, "orders"), columns=["o_orderkey", "o_orderstatus", "o_totalprice"])
+            .select("column_name", "row_count"))
+
+
 @query("prep_trim", "P5", "SELECT conv_id, turn, trim(role_padded) AS role_padded FROM ("
        + fx.duck(fx.CONVERSATIONS_PADDED, "conversations") + ") c")
 def prep_trim(spark, sf):
@@ -258,6 +281,37 @@ for _name, _op, _kind, _suffix in [("rule_not_null", "R1", "not_null", "_is_not_
     query(_name, _op, RULES_DUCK + f"SELECT name, expression FROM r WHERE kind = '{_kind}'")(_rules_of(_suffix))
 
 
+# Columns whose bounds a double can't hold: large whole numbers, and decimals with their scale.
+BOUNDS = ["CAST(9223372036854000000 AS bigint) + o_orderkey AS big", "CAST(o_totalprice AS decimal(20,2)) AS price"]
+
+
+def _bounds_rule(column: str):
+    def fn(spark, sf):
+        opts = FULL.with_(remove_outliers=False, round=False)
+        frame = table(spark, sf, "orders").selectExpr(*BOUNDS).select(column)
+        return (generate_rules(profile(frame, opts, table_name="orders"), opts).where(F.col("name").endswith("_min_max"))
+                .select("name", F.col("arguments")["expression"].alias("expression")))
+    return fn
+
+
+for _name, _column in [("rule_min_max_bigint", "big"), ("rule_min_max_decimal", "price")]:
+    query(_name, "R4,A6", f"SELECT '{_column}_min_max' AS name, '`{_column}` >= ' || CAST(min({_column}) AS VARCHAR) || ' AND `{_column}` <= ' || "
+          f"CAST(max({_column}) AS VARCHAR) AS expression FROM ({fx.duck(BOUNDS, 'orders')}) o")(_bounds_rule(_column))
+
+
+@query("rule_is_in_padded", "R3,P5",
+       "SELECT 'role_padded_is_in' AS name, 'trim(`role_padded`) IN (' || string_agg(DISTINCT '''' || trim(role_padded) || '''', ', ' ORDER BY "
+       "'''' || trim(role_padded) || '''') || ')' AS expression, CAST(0 AS BIGINT) AS failing FROM (" + fx.duck(fx.CONVERSATIONS_PADDED, "conversations") + ") c")
+def rule_is_in_padded(spark, sf):
+    # learned from padded values, and held by the padded rows they were learned from
+    from ..apply import apply_checks
+    from ..rules import rules_from_documents
+    padded = fx.conversations_padded(spark, sf).select("role_padded")
+    rules = generate_rules(profile(padded, FULL, table_name="conversations"), FULL).where(F.col("name").endswith("_is_in"))
+    failing = apply_checks(padded, rules_from_documents(rules)).agg(F.count_if(F.coalesce("_errors", "_warnings").isNotNull()).alias("failing")).scalar()
+    return rules.select("name", F.col("arguments")["expression"].alias("expression"), failing.alias("failing"))
+
+
 @query("rule_shape", "R5", RULES_DUCK + "SELECT 'events' AS table_name, name, 'warn' AS criticality, "
        "'default' AS run_config_name, 'sql_expression' AS function, expression FROM r")
 def rule_shape(spark, sf):

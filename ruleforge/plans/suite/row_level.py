@@ -189,6 +189,16 @@ def chk_sql_expression(spark, sf):
                    ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
 
 
+@query("rule_typed_allowed", "R11,C4,C5",
+       oracle(EV_DUCK, EV_KEYS, "event_type NOT IN ('click', 'view') OR etype_null IS NULL OR etype_null NOT IN ('click', 'purchase')", "x")
+       .replace("'x'", "concat_ws(',', CASE WHEN event_type NOT IN ('click', 'view') THEN 'listed' END, "
+                       "CASE WHEN etype_null IS NULL OR etype_null NOT IN ('click', 'purchase') THEN 'listed_json' END)"))
+def rule_typed_allowed(spark, sf):
+    # lists of values given as texts, with commas and as JSON
+    return checked(fx.events_dirty(spark, sf), [rule("is_in_list", "listed", column="event_type", allowed="click, view"),
+                                                rule("is_not_null_and_is_in_list", "listed_json", column="etype_null", allowed='["click", "purchase"]')], EV_KEYS)
+
+
 # the same patterns and verifications, spelled in SQL
 _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
 PII_VERIFIED_DUCK = [

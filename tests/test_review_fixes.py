@@ -105,3 +105,47 @@ def test_top_n_beyond_the_group_limit_is_exact(spark):
     df = spark.range(0, 5000, 1, 20).select(((F.col("id") * 7919) % 5003).alias("v"))
     for n in (3, 1000, 1500):
         assert [r["v"] for r in top_k(df, [("v", True)], n).collect()] == [r["v"] for r in df.orderBy(F.desc("v")).limit(n).collect()]
+
+
+@pytest.mark.parametrize("n", [300, 5000])
+def test_top_n_is_limited_in_groups_for_every_n(spark, n):
+    from ruleforge.operators.topk import top_k
+    df = spark.range(0, 30000, numPartitions=40).select("id", ((F.col("id") * 7919) % 10007).alias("v"))
+    got = top_k(df, [("v", True), ("id", False)], n)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2
+    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in df.orderBy(F.desc("v"), "id").limit(n).collect()]
+
+
+def test_a_text_is_no_list_of_values(spark):
+    from ruleforge.functions.row_checks import is_in_list, is_not_null_and_is_in_list
+    for check in (is_in_list, is_not_null_and_is_in_list):
+        with pytest.raises(TypeError):
+            check("c", "abc")
+        with pytest.raises(ValueError):
+            check("c", [])
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from ruleforge.session import ensure_checkpoint_dir
+
+    def session(master):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d, set=lambda k, v: None), sparkContext=context)
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(ValueError):
+            ensure_checkpoint_dir(session(master))
+    assert ensure_checkpoint_dir(session("local[2]")) and ensure_checkpoint_dir(session("local"))
+
+
+def test_discovery_has_one_plan_node_for_all_schemas(spark):
+    from ruleforge.plans.suite.io import register_tables
+    from ruleforge.sources.discovery import discover_catalog
+    tag = register_tables(spark, "/root/testdata/sf0.001")
+    names = discover_catalog(spark, "spark_catalog")
+    found = {r[0] for r in names.collect()}
+    assert {f"spark_catalog.{tag}_dim.nation", f"spark_catalog.{tag}_fact.events"} <= found
+    assert "Union" not in names._jdf.queryExecution().optimizedPlan().toString()
