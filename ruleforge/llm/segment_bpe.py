@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from .common import col, id_type, map_batches, texts_of
 
-MEMO_WORDS = 200_000   # encoded matches kept per Python worker, and as many of an older generation
+MEMO_WORDS = 400_000   # encoded matches kept per Python worker, and as many of an older generation
 ROW_BYTES = 64         # longest match, in bytes, whose tree is a row among others; longer ones aren't kept either
 ROWS_CELLS = 1 << 18   # rows x width of the arrays at a time
 GROUP_CHARS = 1 << 19  # texts that are encoded together: this many characters, or one longer text
@@ -151,9 +151,7 @@ class SegmentTreeBpe:
             self.memo, self.older = {}, self.memo
         known, older = self.memo, self.older
         by_width: dict[int, list[tuple[str, bytes]]] = {}
-        for word in words:
-            if word in known:
-                continue
+        for word in words.difference(known):
             if (ids := older.get(word)) is None:
                 piece = word.encode()
                 if (whole := self.ranks.get(piece)) is None:
@@ -172,9 +170,12 @@ class SegmentTreeBpe:
         """Ids of each text; the texts' new matches are merged together."""
         split = [self.split(t) for t in texts]
         self.learn(set(chain.from_iterable(split)))
-        known, long = self.memo.get, lambda w: self.merge(w.encode())
+        known = self.memo
         for words in split:
-            yield list(chain.from_iterable([known(w) or long(w) for w in words]))
+            try:
+                yield list(chain.from_iterable(map(known.__getitem__, words)))
+            except KeyError:                                 # a match too long for the memo
+                yield list(chain.from_iterable([known.get(w) or self.merge(w.encode()) for w in words]))
 
     def encode(self, text: str) -> list[int]:
         return next(self.encode_all([text]))
