@@ -72,20 +72,57 @@ def test_secret_base_spans(spark):
         assert sorted(m[:3] for m in secrets.base_matches(t)) == sorted(plain_secrets(t)), t[:200]
 
 
-def test_automaton_merges_and_separates():
+WORDS = ["thereinandoutofthehouse", "internationalization-and-more", "____________________--", "information", "2024-01-01", "10.20.30.255", "4087441028983991", "self-evident"]
+KEYS = {"hex": "0123456789abcdef", "assign": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"}
+
+
+def keys(rng, kind, size):
+    return "".join(rng.choice(KEYS[kind]) for _ in range(size))
+
+
+def plain_runs(spark):
+    return sorted({run for t in texts(spark) if not secrets.base_matches(t) for _, _, run in secrets.candidates(t)})
+
+
+def test_automaton_merges_and_separates(spark):
     rng = random.Random(3)
-    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(300)]
+    hexes = [keys(rng, "hex", 40) for _ in range(300)]
     merged, tree = secrets.Automaton(hexes), secrets.Automaton(hexes, merge=False)
     assert len(merged.states) < 10 < len(tree.total)
-    held_out = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(100)]
-    limit = sorted(merged.score(h) - secrets.plain_score(h) for h in hexes)[6]
-    assert sum(merged.score(h) - secrets.plain_score(h) >= limit for h in held_out) >= 90
-    words = ["thereinandoutofthehouse", "internationalization-and-more", "____________________--"]
-    assert all(merged.score(w) - secrets.plain_score(w) < limit for w in words)
-    base, added = secrets.find(f"x {held_out[0][:30]} y", {"hex": (merged, limit)})
+    held_out = [keys(rng, "hex", 40) for _ in range(100)]
+    scorer = secrets.Scorer({"hex": hexes}, plain_runs(spark))
+    assert sum(scorer.kind(h) == "hex" for h in held_out) >= 90
+    assert all(scorer.kind(w) is None for w in WORDS)
+    base, added = secrets.find(f"x {held_out[0][:30]} y", scorer)
     assert base == [] and added == [("hex", 2, 32)]
 
 
+def test_keys_of_every_length_are_scored(spark):
+    """Recall on keys held out, by length: no length, and no share of digits or letters, is left out beforehand."""
+    rng = random.Random(8)
+    scorer = secrets.Scorer({k: [keys(rng, k, rng.randrange(8, 65)) for _ in range(600)] for k in KEYS}, plain_runs(spark))
+    for kind in KEYS:
+        for size, least in ((8, 0.6), (12, 0.8), (16, 0.9), (24, 0.95), (40, 0.95), (3000, 1.0)):
+            held_out = [keys(rng, kind, size) for _ in range(200 if size < 100 else 3)]
+            assert sum(scorer.kind(k) is not None for k in held_out) >= least * len(held_out), (kind, size)
+    digitless = [k for k in (keys(rng, "assign", 20) for _ in range(3000)) if not any(c.isdigit() for c in k)]
+    assert len(digitless) > 40 and sum(scorer.kind(k) is not None for k in digitless) >= 0.9 * len(digitless)
+    runs = plain_runs(spark)
+    assert sum(scorer.kind(r) is not None for r in runs) <= 0.002 * len(runs) and all(scorer.kind(w) is None for w in WORDS)
+    dotted = keys(rng, "assign", 24) + "." + keys(rng, "assign", 24)
+    assert secrets.find(f"see ({dotted}). Then", scorer)[1][0][1:] == (5, 54)
+
+
+def test_samples_are_bounded_whole_and_the_first_by_hash(spark):
+    import zlib
+    rows = [(i, f"token={'k%05d' % i * 30} and {'w%06d' % i}end.") for i in range(400)]
+    drawn = secrets.samples(spark.createDataFrame(rows, "doc_id int, text string").repartition(7), "text", 50, 60)
+    first = lambda values, n: sorted(values, key=lambda v: (zlib.crc32(v.encode()), v))[:n]
+    assert drawn["assign"] == first(["k%05d" % i * 30 for i in range(400)], 50) and drawn["plain"] == first(["w%06dend" % i for i in range(400)], 60)
+    assert drawn["hex"] == drawn["access"] == []
+    assert secrets.fit(spark.createDataFrame([], "text string")).automata == {}
+
+
 # -- urls ------------------------------------------------------------------
 def plain_rule(url):
     if url is None or "://" not in url:
