@@ -289,3 +289,23 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     rows = rows.withColumn("rk", F.xxhash64("_id", "_text"))
     out = Join(rows, size, percent, hot, block, members).run()
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+#: ``components`` of ``documents`` in DuckDB's SQL: sets, overlaps, links by their definition, and what links reach.
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) AS s FROM d WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+same AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n_both FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (
+  SELECT x, y FROM same JOIN size sx ON sx.doc_id = x JOIN size sy ON sy.doc_id = y WHERE 100 * n_both >= 85 * (sx.n + sy.n - n_both)),
+edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.y FROM reach r JOIN edge e ON e.x = r.other)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(other) AS component_id FROM reach LEFT JOIN size USING (doc_id) GROUP BY doc_id, n
+"""
