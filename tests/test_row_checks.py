@@ -209,3 +209,12 @@ def test_pii_checksums_against_plain_python(spark):
     for column in ("card", "iban"):
         got = {r["id"]: r["hit"] for r in df.select("id", contains_pii(column, kinds=[column]).fail.alias("hit")).collect()}
         assert got == {r[0]: r[2 if column == "card" else 4] for r in rows}
+
+
+def test_pii_messages_name_the_kinds_found(spark):
+    from ruleforge import apply_checks
+    texts = ["card 4111 1111 1111 1111", "card 4111 1111 1111 1112", "at 10.0.0.255 or a@b.io", "GB82WEST12345698765432 and +49 30 1234567", "nothing"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, v string").repartition(2)
+    rules = [{"name": n, "criticality": "error", "check": {"function": "contains_pii", "arguments": {"column": "v"}}} for n in ("p", "q")]
+    got = {r["id"]: [i["message"].split(": ")[1] for i in r["_errors"] or []] for r in apply_checks(df, rules).collect()}
+    assert got == {0: ["card"] * 2, 1: [], 2: ["email,ipv4"] * 2, 3: ["phone,iban"] * 2, 4: []}
