@@ -8,11 +8,16 @@ import tempfile
 import zipfile
 from typing import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ruleforge.session import scratch_dir
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+SLICE_BYTES = 256_000  # bytes of text that a Python task works on at once, one text at least
+
 
 def col(name: str) -> Column:
     """Column by its plain name: dots and spaces are part of the name."""
@@ -35,11 +40,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
     Cuts the lineage with files that every executor sees, so that neither a
-    later action nor a lost executor computes the input again.
+    later action nor a lost executor computes the input again. Shuffle files
+    of the write are deleted as it ends, since nothing reads them after it.
     """
-    path = scratch_dir(df.sparkSession, f"llm-{name}")
-    df.write.parquet(path)
-    written = df.sparkSession.read.parquet(path)
+    spark = df.sparkSession
+    path = scratch_dir(spark, f"llm-{name}")
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+    written = spark.read.parquet(path)
     written._ruleforge_path = path
     return written
 
@@ -74,8 +86,23 @@ def ship(spark: SparkSession) -> None:
     context._ruleforge_shipped = True
 
 
+def slices(batch: pa.RecordBatch, rows: int = 512, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in order, in slices of at most ``rows`` rows, and of at most ``size`` bytes of text where a slice has two or more."""
+    total = np.zeros(batch.num_rows, dtype=np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+            total += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(total)
+    start = 0
+    while start < batch.num_rows:
+        done = ends[start - 1] if start else 0
+        end = max(start + 1, min(start + rows, int(np.searchsorted(ends, done + size, "right"))))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def map_batches(df: DataFrame, schema: str, func: Callable[[pa.RecordBatch], dict], rows: int = 512) -> DataFrame:
-    """``mapInArrow`` over slices of at most ``rows`` rows.
+    """``mapInArrow`` over slices of at most ``rows`` rows and ``SLICE_BYTES`` bytes of text.
 
     ``func`` gets a record batch and returns a dict of lists, arrays or Arrow
     arrays by output column, in the order of ``schema``. Slicing only bounds a
@@ -89,8 +116,8 @@ def map_batches(df: DataFrame, schema: str, func: Callable[[pa.RecordBatch], dic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                out = func(batch.slice(start, rows))
+            for part in slices(batch, rows):
+                out = func(part)
                 arrays = [v if isinstance(v := out[f.name], (pa.Array, pa.ChunkedArray)) and v.type == f.type
                           else pa.array(v, type=f.type) for f in target]
                 yield pa.RecordBatch.from_arrays(arrays, schema=target)

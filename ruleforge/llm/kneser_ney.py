@@ -14,10 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpoint, col, ship
+from .common import checkpoint, col, ship, slices
 
 ORDER = 5
-FLUSH = 6_000_000  # n-grams that a counting task holds before it merges them
+CHUNK = 1 << 17    # n-grams of a text that are looked up at once
+FLUSH = 1_000_000  # n-grams that a counting task holds before it merges them
 
 
 def buffer_of(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,8 +76,8 @@ def count_ngrams(texts: DataFrame, text_col: str = "_text", order: int = ORDER)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[k:k + 200_000]), pa.array(counts[k:k + 200_000].astype(np.int64))], names=["gram", "n"])
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                add([t or "" for t in batch.column(0).slice(k, 512).to_pylist()])
+            for part in slices(batch):
+                add([t or "" for t in part.column(0).to_pylist()])
             if size > FLUSH:  # so many different n-grams in one task: pass them on and start again
                 yield from out()
                 held, size = [], 0
@@ -189,11 +190,14 @@ def log_probs(grams: np.ndarray, levels: list[tuple[HashArray, HashArray]]) -> n
 def text_scores(texts: list[str], value_of, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """Mean negative log probability per byte of each text (nan for an empty one), and its bytes."""
     data, starts, sizes = buffer_of(texts, order)
-    grams = packed(data, order)
-    if not len(grams):
+    count = max(0, len(data) - order + 1)
+    if not count:
         return np.full(len(texts), np.nan), sizes
-    values = value_of(grams)
-    sums = np.concatenate([[0.0], np.cumsum(values)])
+    sums = np.zeros(count + 1)
+    for k in range(0, count, CHUNK):  # a very long text is looked up in parts
+        end = min(k + CHUNK, count)
+        sums[k + 1:end + 1] = value_of(packed(data[k:end + order - 1], order))
+    np.cumsum(sums, out=sums)
     first = starts - (order - 1)  # the n-gram that ends at a text's first byte
     with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(sizes > 0, -(sums[np.minimum(first + sizes, len(grams))] - sums[np.minimum(first, len(grams))]) / np.maximum(sizes, 1), np.nan), sizes
+        return np.where(sizes > 0, -(sums[np.minimum(first + sizes, count)] - sums[np.minimum(first, count)]) / np.maximum(sizes, 1), np.nan), sizes
