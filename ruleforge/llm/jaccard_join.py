@@ -10,6 +10,10 @@ is taken blocked, and only where size-derived bounds leave it open:
   Overlaps of these prefixes are accumulated by a join on the column; a pair
   is dropped when its sizes differ too much, or when the prefixes alone
   already differ in more columns than linked sets of these sizes may.
+* Of what is left, a pair is dropped when the parity bitmaps of its sets (a bit
+  for each hash value, flipped by each column that has it) differ in more bits
+  than linked sets may in columns: shared columns cancel, and each other one
+  flips one bit at most. So nearly all whole sets that are compared do link.
 * Columns with more than ``HOT`` prefixes are moved to the end of the order,
   which is exact since any order will do, and the documents that had one take
   their prefix anew, round by round. What a document shares with very many
@@ -36,8 +40,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import checkpoint, col, id_type, map_batches, release, stage, texts_of
+from .common import checkpoint, col, id_type, map_batches, release, ship, slices, stage, texts_of
 from .components import connected
 
 HOT = 256                    # documents with a column in their prefix beyond which it is moved to the end
@@ -70,6 +75,20 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def parity(own: np.ndarray) -> np.ndarray:
+    """Bitmap of a set in longs, a power of two of them and a bit a column or more: each column flips a bit."""
+    words = 1 << max(0, (len(own) - 1) // 64).bit_length()
+    bits = np.bincount(own & (words * 64 - 1), minlength=words * 64) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def parity_difference(a: np.ndarray, b: np.ndarray) -> int:
+    """Bits in which two bitmaps differ, at most the columns in which the sets do; the longer one is folded to the other's length."""
+    size = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(x.reshape(-1, size), axis=0) for x in (a, b))
+    return int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
+
+
 class Join:
     """One run: the input rows, the shingle size and the threshold in percent."""
 
@@ -90,15 +109,29 @@ class Join:
 
     # -- sets -------------------------------------------------------------
     def classes(self) -> DataFrame:
-        """A row per input row: ``_id``, ``rk`` (its key), ``cid`` (class), ``n`` and the prefix by hash."""
+        """A row per input row: ``_id``, ``rk`` (its key), ``n``, ``cid`` (class); once a class and task, ``cols``, the prefix by hash, and ``bits``."""
         size, percent = self.size, self.percent
-
-        def run(batch):
-            sets = [shingles(t, size) for t in texts_of(batch)]
-            return {"_id": batch.column("_id"), "rk": batch.column("rk"), "n": [len(s) for s in sets],
-                    "cid": [set_key(s) if len(s) else None for s in sets], "cols": [s[:prefix_length(len(s), percent)] if len(s) else s for s in sets]}
-
-        return map_batches(self.rows, f"_id {id_type(self.rows, '_id')}, rk bigint, n bigint, cid bigint, cols array<bigint>", run)
+        schema = pa.schema([("_id", to_arrow_type(self.rows.schema["_id"].dataType)), ("rk", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()),
+                            ("cols", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+
+        def run(batches):
+            seen: set[int] = set()  # of one task
+            for batch in batches:
+                for part in slices(batch):
+                    out = {k: [] for k in ("n", "cid", "cols", "bits")}
+                    for text in texts_of(part):
+                        own = shingles(text, size)
+                        cid = set_key(own) if len(own) else None
+                        new = cid is not None and cid not in seen
+                        seen.add(cid)
+                        row = (len(own), cid, own[:prefix_length(len(own), percent)] if new else None, parity(own) if new else None)
+                        for k, v in zip(out, row):
+                            out[k].append(v)
+                    columns = [part.column("_id"), part.column("rk")] + [pa.array(out[k], schema.field(k).type) for k in out]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+        ship(self.spark)
+        return self.rows.mapInArrow(run, f"_id {id_type(self.rows, '_id')}, rk bigint, n bigint, cid bigint, cols array<bigint>, bits array<bigint>")
 
     def sets(self, wanted: DataFrame, reps: DataFrame, hot: np.ndarray | None = None) -> DataFrame:
         """Classes of ``wanted`` with their columns, read from the representatives' texts again.
@@ -134,6 +167,22 @@ class Join:
         return found.dropDuplicates(["cid"]) if self.repeated else found
 
     # -- the product ------------------------------------------------------
+    def having(self, now: DataFrame, found: np.ndarray) -> DataFrame:
+        """``cid`` of the classes with one of the columns in their prefix, a row each."""
+        if not len(found):
+            return now.select("cid").limit(0)
+        sent = self.spark.sparkContext.broadcast(found)
+
+        def run(batch):
+            cols = batch.column("cols")
+            flat = cols.flatten().to_numpy().astype(np.int64)
+            owner = np.repeat(np.arange(len(cols)), cols.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            at = np.minimum(np.searchsorted(sent.value, flat), len(sent.value) - 1)
+            hit = np.unique(owner[sent.value[at] == flat])
+            return {"cid": batch.column("cid").to_numpy()[hit]}
+
+        return map_batches(now.select("cid", "cols"), "cid bigint", run)
+
     def candidates(self, now: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
         """Pairs that one round leaves open, the classes that go on, and the columns found hot."""
         ends = F.when(F.size("cols") > 0, F.element_at("cols", -1))
@@ -143,7 +192,7 @@ class Join:
         hot = counts.filter(F.col("c") > limit).select("h")
         found = np.sort(hot.toArrow().column(0).to_numpy().astype(np.int64))  # HOT_COLUMNS at most
         shared = checkpoint(cells.join(counts.filter(F.col("c") <= limit).select("h"), "h"))
-        on = checkpoint((cells.join(F.broadcast(hot), "h", "left_semi") if len(found) else cells.limit(0)).select("cid").distinct())
+        on = checkpoint(self.having(now, found))
         a, b = (shared.select("h", *[F.col(x).alias(x + s) for x in ("cid", "n", "p", "last", "at")]) for s in ("_a", "_b"))
         # the columns up to h that are not shared stand before the pair's first shared one, at least
         pairs = a.join(b, "h").filter((F.col("cid_a") < F.col("cid_b")) & self.fits(F.col("n_a"), F.col("n_b")))
@@ -158,6 +207,20 @@ class Join:
         release(counts, shared)
         return pairs, on, found
 
+    def near(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
+        """The pairs whose parity bitmaps differ in no more bits than linked sets may in columns."""
+        for s in ("_a", "_b"):
+            pairs = pairs.join(reps.select(F.col("cid").alias("cid" + s), F.col("n").alias("n" + s), F.col("bits").alias("bits" + s)), "cid" + s)
+        pairs = pairs.select("cid_a", "cid_b", "bits_a", "bits_b", self.allowed(F.col("n_a"), F.col("n_b")).cast("bigint").alias("most"))
+
+        def run(batch):
+            a, b = batch.column("bits_a"), batch.column("bits_b")
+            apart = np.array([parity_difference(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(a, b)], dtype=np.int64)
+            fits = apart <= batch.column("most").to_numpy()
+            return {c: batch.column(c).to_numpy()[fits] for c in ("cid_a", "cid_b")}
+
+        return map_batches(pairs, "cid_a bigint, cid_b bigint", run, rows=4096)
+
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs that link, by their whole sets."""
         for s in ("_a", "_b"):
@@ -220,7 +283,8 @@ class Join:
     def run(self) -> DataFrame:
         """``_id``, ``n``, ``component`` of each input row."""
         rows = stage(self.classes(), "shingles")
-        reps = rows.filter("cid is not null").groupBy("cid").agg(F.min("rk").alias("rk"), F.min("n").alias("n"), F.any_value("cols").alias("cols"))
+        reps = rows.filter("cid is not null").groupBy("cid").agg(F.min("rk").alias("rk"), F.min("n").alias("n"),
+                                                                 *[F.any_value(c, F.lit(True)).alias(c) for c in ("cols", "bits")])
         now = reps = stage(reps, "classes")
         seen = rows.groupBy("rk").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0]
         self.repeated = bool(seen and seen > 1)
@@ -234,7 +298,7 @@ class Join:
             now = stage(self.sets(on, reps, hot), "prefixes")
             release(on)
             prefixes.append(now)
-        rounds, pairs = pairs, checkpoint(_union(pairs).distinct())
+        rounds, pairs = pairs, checkpoint(self.near(_union(pairs).distinct(), reps))
         ends = checkpoint(_union([p.filter("spent").select("cid") for p in prefixes]).distinct()) if prefixes else None
         release(on, *rounds, *prefixes)
         ends = ends if ends is not None and not ends.isEmpty() else None
