@@ -285,10 +285,16 @@ for _name, _op, _kind, _suffix in [("rule_not_null", "R1", "not_null", "_is_not_
 BOUNDS = ["CAST(9223372036854000000 AS bigint) + o_orderkey AS big", "CAST(o_totalprice AS decimal(20,2)) AS price"]
 
 
+def bounds_frame(orders):
+    """The columns of BOUNDS; where a key takes ``big`` out of bigint's range, as decimals, whose bounds have the same text."""
+    fits = orders.selectExpr(f"coalesce(max(o_orderkey) <= {2 ** 63 - 1 - 9223372036854000000}, true)").first()[0]
+    return orders.selectExpr(*BOUNDS) if fits else orders.selectExpr(BOUNDS[0].replace("bigint", "decimal(20,0)", 1), *BOUNDS[1:])
+
+
 def _bounds_rule(column: str):
     def fn(spark, sf):
         opts = FULL.with_(remove_outliers=False, round=False)
-        frame = table(spark, sf, "orders").selectExpr(*BOUNDS).select(column)
+        frame = bounds_frame(table(spark, sf, "orders")).select(column)
         return (generate_rules(profile(frame, opts, table_name="orders"), opts).where(F.col("name").endswith("_min_max"))
                 .select("name", F.col("arguments")["expression"].alias("expression")))
     return fn

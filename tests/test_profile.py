@@ -169,3 +169,14 @@ def test_sketches_of_runs_merge(spark, tmp_path):
     wider = sketches.column_sketches(spark.range(40000).selectExpr("CAST(id AS string) AS id"), "c.s.t", "text")
     both = sketches.merged_distinct(sketches.stored_sketches(spark, path).where("table_name = 'c.s.t' AND column_name = 'id'").unionByName(wider)).first()
     assert both["distinct_estimate"] == ids["distinct_estimate"]
+
+
+@pytest.mark.parametrize("keys, kind", [([0, 775807], "bigint"), ([None, 3, 775808, 5900000], "decimal(21,0)"), ([], "bigint")])
+def test_bounds_beyond_bigint(spark, keys, kind):
+    from ruleforge.plans.suite.profiling import bounds_frame
+    orders = spark.createDataFrame([(k, 1.5) for k in keys], "o_orderkey bigint, o_totalprice double")
+    frame = bounds_frame(orders).select("big")
+    assert dict(frame.dtypes)["big"] == kind
+    got = rules_of(spark, frame, FULL.with_(remove_outliers=False, round=False)).get("big_min_max")
+    known = [9223372036854000000 + k for k in keys if k is not None]
+    assert got == (f"`big` >= {min(known)} AND `big` <= {max(known)}" if known else None)
