@@ -59,17 +59,25 @@ def stream_foreign_key(spark, sf):
     return run_to_parquet(out, scratch_dir(spark, "stream-fk"))
 
 
-def _dealt_events(spark, sf):
-    """Events dealt to four files by a hash of the event, a batch each: groups go on from batch to batch."""
+FILE_ROWS = 250_000  # events of a file that a streaming task reads, and of a state partition, at most on average
+
+
+def _dealt_events(spark, sf, file_rows=FILE_ROWS):
+    """Events dealt to four batches of files by a hash of the event: groups go on from batch to batch. Also, the number of files."""
     folder = scratch_dir(spark, "stream-dealt")
     events = table(spark, sf, "events")
-    (events.repartitionByRange(4, F.pmod(F.xxhash64("event_id"), F.lit(4))).write.option("maxRecordsPerFile", 0).parquet(folder))
-    return file_stream(spark, folder, "*.parquet", events.schema, files_per_batch=1)
+    files = 4 * max(1, -(-events.count() // (4 * file_rows)))
+    events.repartition(files, "event_id").write.option("maxRecordsPerFile", 2 * file_rows).parquet(folder)
+    return file_stream(spark, folder, "*.parquet", events.schema, files_per_batch=files // 4), files
 
 
-def _running(spark, sf, rules):
+def _running(spark, sf, rules, file_rows=FILE_ROWS):
     from ...streaming.running import RunningChecks
-    checks = RunningChecks(spark, rules, scratch_dir(spark, "stream-running")).drain(_dealt_events(spark, sf))
+    events, files = _dealt_events(spark, sf, file_rows)
+    # a file to a task, and state partitions that grow with the files: neither holds more groups where there are more events
+    conf = {"spark.sql.files.openCostInBytes": spark.conf.get("spark.sql.files.maxPartitionBytes"),
+            "spark.sql.shuffle.partitions": str(max(files, int(spark.conf.get("spark.sql.shuffle.partitions"))))}
+    checks = RunningChecks(spark, rules, scratch_dir(spark, "stream-running"), conf=conf).drain(events)
     return summarize(checks.annotate(), ["event_id"])
 
 

@@ -16,12 +16,17 @@ groups' values are kept as streaming state, and every change is written:
 * ``corrections`` tells which verdicts a batch turned, in either direction:
   what a consumer of earlier verdicts has to take back.
 
-State grows with the number of groups, not of rows. For many groups set
+State grows with the number of groups, not of rows, and the default provider
+keeps it in the executors' heaps. A task holds the groups of its part of a
+batch and of its state partition: where there are many, bound both by ``conf``
+(``spark.sql.shuffle.partitions`` is the number of state partitions, fixed by
+a stream's first run), or set
 ``spark.sql.streaming.stateStore.providerClass`` to the RocksDB provider.
 """
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from typing import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,11 +40,13 @@ from ..session import child_folders, delete_folder
 
 
 class RunningChecks:
-    """The running values of a rule set's groups, in ``folder`` (a shared one)."""
+    """The running values of a rule set's groups, in ``folder`` (a shared one); ``conf`` are settings of the stream's queries."""
 
     def __init__(self, spark: SparkSession, rules: Iterable[dict], folder: str,
-                 refs: dict[str, DataFrame] | None = None, run_config_name: str | None = None):
+                 refs: dict[str, DataFrame] | None = None, run_config_name: str | None = None, conf: dict[str, str] | None = None):
         self.spark, self.refs, self.run_config_name = spark, refs, run_config_name
+        # one version of the state in memory beside the one that a batch makes; older ones are read from files
+        self.conf = {"spark.sql.streaming.maxBatchesToRetainInMemory": "1"} | (conf or {})
         self.rules = list(rules)
         self.folder = folder.rstrip("/")
         self.specs: dict[int, AggSpec] = {}
@@ -90,6 +97,21 @@ class RunningChecks:
 
     def start(self, stream: DataFrame, **trigger) -> list:
         """Start the queries: the rows as they are, and the groups' values. ``trigger`` as for ``writeStream.trigger``."""
+        with self._settings():  # a query keeps the settings it was started with, but for those of reading files
+            return self._start(stream, trigger)
+
+    @contextmanager
+    def _settings(self):
+        before = {k: self.spark.conf.get(k, None) for k in self.conf}
+        for k, v in self.conf.items():
+            self.spark.conf.set(k, v)
+        try:
+            yield
+        finally:
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+
+    def _start(self, stream: DataFrame, trigger: dict) -> list:
         rows = (stream.writeStream.format("parquet").option("checkpointLocation", f"{self.folder}/_rows")
                 .trigger(**trigger).start(f"{self.folder}/rows"))
         if not self.specs:
@@ -104,10 +126,11 @@ class RunningChecks:
 
     def drain(self, stream: DataFrame) -> "RunningChecks":
         """Take in all that is available now."""
-        for q in self.start(stream, availableNow=True):
-            q.awaitTermination()
-            if q.exception() is not None:
-                raise RuntimeError(str(q.exception()))
+        with self._settings():
+            for q in self.start(stream, availableNow=True):
+                q.awaitTermination()
+                if q.exception() is not None:
+                    raise RuntimeError(str(q.exception()))
         return self
 
     # ------------------------------------------------------------ what it gave

@@ -102,3 +102,22 @@ def test_compaction_keeps_verdicts_and_lets_the_stream_go_on(spark, taken_in):
     assert plain(checks.annotate()) == plain(apply_checks(spark.read.schema(SCHEMA).parquet(folder), RULES, refs))
     checks.compact()
     assert child_folders(spark, checks.folder + "/folded", finished=True) == ["upto=3"]
+
+
+def test_files_and_state_partitions_grow_with_the_events(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from ruleforge.plans.suite import streams
+    from tests.conftest import SF_SMALL
+    events = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    most, seen = events.count() // 20, []
+    start = RunningChecks.start
+    monkeypatch.setattr(RunningChecks, "start", lambda self, stream, **t: seen.append((self, start(self, stream, **t))) or seen[-1][1])
+    rules = [rule("is_unique", "user_type", columns=["user_id", "event_type"])]
+    got = streams._running(spark, SF_SMALL, rules, file_rows=most)
+    checks, (_, values) = seen[0]
+    want = summarize(apply_checks(events, rules), ["event_id"])
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    sizes = [r["n"] for r in spark.read.parquet(f"{checks.folder}/rows").groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == events.count() and max(sizes) <= 2 * most, sizes
+    assert values.recentProgress[0]["stateOperators"][0]["numShufflePartitions"] >= 20 and len(values.recentProgress) >= 3
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
