@@ -3,12 +3,17 @@
 Lines are similar by their character shingles. A line's signature holds the
 least hashes, for ``BANDS * ROWS`` hash functions, of all its overlapping
 shingles of ``GRAM`` characters, those that verification compares. Lines that
-agree in a whole band meet in its
-bucket, where each is paired with the bucket's first line and with the
-``NEAR`` lines before it by key; lines that are then still apart from the
-bucket's most central line are paired with that. So pairs grow with the rows
-and not with a bucket's square; what one bucket leaves out has the others.
-Candidates are verified by the exact Jaccard similarity of those
+agree in a whole band meet in its bucket. In a bucket of up to ``FEW`` lines
+each is paired with each. In a larger one, all are first paired with its most
+central line; then each that is still apart from the bucket's largest
+component is paired with all of the bucket's lines in other components, in
+blocks. So no bucket leaves out a pair that could join two components, and a
+large family of near copies makes no square of pairs.
+
+Pairs are screened by bitmaps of their shingles: a bit in which they differ
+takes a shingle that only one has, so that lines whose bitmaps differ in more
+bits than similar lines may in shingles are not similar. What is left is
+verified by the exact Jaccard similarity of those
 shingles. Verified pairs, and equal lines, form
 components by distributed union-find, and each component keeps its first
 line by id and line number.
@@ -32,7 +37,9 @@ from .components import connected
 
 BANDS, ROWS = 12, 4       # at a similarity of 0.8 a pair meets in some band with probability 0.998, at 0.7 with 0.96
 GRAM = 5                  # characters of a shingle
-NEAR = 3
+FEW = 16                  # lines of a bucket that are paired each with each
+BLOCK = 1024              # lines of a larger bucket that a task pairs with the rest of it at once
+WORDS = 16                # longs of a line's bitmap
 SIMILARITY = 0.8
 BROADCAST_KEYS = 4_000_000  # line keys are broadcast up to so many
 
@@ -55,20 +62,34 @@ def gram_hashes(line: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.array(F.encode(line, "UTF-16BE")), hashes)))
 
 
-def bucketed(lines: DataFrame) -> DataFrame:
-    """``bk``, ``lk`` and ``partners`` of every line key that shares a band's bucket ``bk`` with another."""
-    different = lines.groupBy("lk").agg(F.min("line").alias("line"))
-    shingles = different.select("lk", F.explode(gram_hashes(F.col("line"))).alias("h"))
-    least = []  # two 32-bit hash functions from each 64-bit one
-    for k in range(BANDS * ROWS // 2):
+def signed(lines: DataFrame) -> DataFrame:
+    """``lk``, ``most`` (shingles at most), ``bits`` (bitmap of the shingles) and ``bks`` (bucket in each band) of every different line."""
+    different = lines.groupBy("lk").agg(F.min("line").alias("line")).select("lk", F.encode("line", "UTF-16BE").alias("raw"))
+    last = F.greatest((F.octet_length("raw") / 2 - GRAM).cast("int"), F.lit(0))
+    places = different.select("lk", "raw", (last + 1).alias("most"), F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    shingles = places.select("lk", "most", F.xxhash64(F.substring("raw", F.col("i") * 2 + 1, F.lit(2 * GRAM))).alias("h"))
+    made = [F.max("most").alias("most")]
+    for k in range(BANDS * ROWS // 2):  # two 32-bit hash functions from each 64-bit one
         x = F.xxhash64(F.col("h").bitwiseXOR(F.lit(0x5851F42D4C957F2D * (k + 1) % (1 << 62))))
-        least += [F.min(x.bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"m{2 * k}"), F.min(F.shiftrightunsigned(x, 32)).alias(f"m{2 * k + 1}")]
-    least = shingles.groupBy("lk").agg(*least)
-    bands = least.select("lk", F.explode(F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])).alias("bk"))
-    bucket = Window.partitionBy("bk").orderBy("lk")
-    partners = [F.first("lk").over(bucket)] + [F.lag("lk", k).over(bucket) for k in range(1, NEAR + 1)]
-    members = bands.select("bk", "lk", F.array_compact(F.array(*partners)).alias("partners"), F.lead("lk", 1).over(bucket).alias("after"))
-    return members.filter((F.size("partners") > 1) | F.col("after").isNotNull()).drop("after")
+        made += [F.min(x.bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"m{2 * k}"), F.min(F.shiftrightunsigned(x, 32)).alias(f"m{2 * k + 1}")]
+    word, bit = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(WORDS - 1)), F.expr("shiftleft(1L, cast(h & 63L AS int))")
+    made += [F.bit_or(F.when(word == k, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"b{k}") for k in range(WORDS)]
+    bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
+    return shingles.groupBy("lk").agg(*made).select("lk", "most", F.array(*[f"b{k}" for k in range(WORDS)]).alias("bits"), F.array(*bands).alias("bks"))
+
+
+def bucketed(marks: DataFrame) -> DataFrame:
+    """``bk``, its ``size``, and ``lk``, ``most`` and ``bits`` of every line that shares the bucket ``bk`` with another."""
+    bands = marks.select("lk", F.explode("bks").alias("bk"))
+    sizes = bands.groupBy("bk").agg(F.count("*").alias("size")).filter("size > 1")
+    return bands.join(sizes, "bk").join(marks.select("lk", "most", "bits"), "lk")
+
+
+def near(a: str, b: str, similarity: float) -> Column:
+    """Whether the bitmaps of two rows differ in no more bits than similar lines may in shingles."""
+    apart = sum((F.bit_count(F.col(a + ".bits")[k].bitwiseXOR(F.col(b + ".bits")[k])) for k in range(1, WORDS)),
+                F.bit_count(F.col(a + ".bits")[0].bitwiseXOR(F.col(b + ".bits")[0])))
+    return apart <= (F.col(a + ".most") + F.col(b + ".most")) * ((1 - similarity) / (1 + similarity)) + 1e-6
 
 
 def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
@@ -89,25 +110,37 @@ def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame
     return found
 
 
-def similar(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified pairs of line keys: with a bucket's partners, then of those still apart with its most central line.
+def similar(lines: DataFrame, similarity: float = SIMILARITY, few: int = FEW, block: int = BLOCK) -> DataFrame:
+    """Verified pairs of line keys: those that join the components of all similar lines that share a bucket.
 
     Central is the line whose buckets have the most members in all: where
     near copies come from one line, that line, or the closest to it.
     """
-    members = checkpoint(bucketed(lines))
-    links = verified(members.select(F.col("lk").alias("u"), F.explode("partners").alias("v")), lines, similarity)
-    sizes = members.groupBy("bk").agg(F.count("*").alias("size"))
-    weight = members.join(sizes, "bk").groupBy("lk").agg(F.sum("size").alias("weight"))
+    marks = checkpoint(signed(lines))
+    members = checkpoint(bucketed(marks))
+    release(marks)
+    small, large = members.filter(F.col("size") <= few), members.filter(F.col("size") > few)
+    keys = F.col("a.lk").alias("u"), F.col("b.lk").alias("v")
+    pairs = small.alias("a").join(small.alias("b"), "bk").filter(F.col("a.lk") < F.col("b.lk")).filter(near("a", "b", similarity)).select(*keys)
+    if large.isEmpty():
+        links = verified(pairs, lines, similarity)
+        release(members)
+        return links
+    weight = members.groupBy("lk").agg(F.sum("size").alias("weight"))
+    centre = large.join(weight, "lk").groupBy("bk").agg(F.max_by(F.struct("lk", "most", "bits"), F.struct("weight", "lk")).alias("c")).select("bk", "c.*")
+    star = large.alias("a").join(centre.alias("b"), "bk").filter(near("a", "b", similarity)).select(*keys)
+    links = verified(pairs.union(star), lines, similarity)
     roots = connected(links).select(F.col("node").alias("lk"), "root")
-    weighed = members.select("bk", "lk").join(weight, "lk").join(roots, "lk", "left")
-    weighed = checkpoint(weighed.select("bk", "lk", "weight", F.coalesce("root", "lk").alias("root")))
-    release(members)
-    members = weighed
-    centre = members.groupBy("bk").agg(F.max(F.struct("weight", "lk", "root")).alias("centre"))
-    apart = members.join(centre, "bk").filter("root <> centre.root").select(F.col("lk").alias("u"), F.col("centre.lk").alias("v"))
-    more = verified(apart, lines, similarity)
-    release(members)
+    rooted = checkpoint(large.join(roots, "lk", "left").withColumn("root", F.coalesce("root", "lk")))
+    parts = rooted.groupBy("bk", "root").agg(F.count("*").alias("n")).groupBy("bk").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("m"))
+    parts = checkpoint(parts.filter("n > m").select("bk", "main", F.ceil((F.col("n") - F.col("m")) / block).cast("int").alias("blocks")))
+    split = rooted.join(parts, "bk")
+    rest = split.filter("root <> main").withColumn("block", F.pmod(F.xxhash64("lk"), F.col("blocks")).cast("int"))
+    whole = split.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # of two lines that are both apart from the largest component, one order is enough
+    apart = whole.alias("a").join(rest.alias("b"), ["bk", "block"]).filter(F.col("a.root") != F.col("b.root")).filter((F.col("a.root") == F.col("a.main")) | (F.col("a.lk") < F.col("b.lk")))
+    more = verified(apart.filter(near("a", "b", similarity)).select(*keys), lines, similarity)
+    release(members, rooted, parts)
     return links.union(more)
 
 

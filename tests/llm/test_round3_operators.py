@@ -205,3 +205,40 @@ def test_very_long_words_are_counted_exactly(spark):
 @pytest.mark.parametrize("operator", [segment_bpe.encode_table, source_audit.audit, spelling.variants])
 def test_empty_table_gives_no_rows(spark, operator):
     assert operator(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_large_buckets_of_lines_leave_out_no_pair(spark, monkeypatch):
+    """Lines of one template that share buckets without being alike, with chains of near copies among them: the same components as all pairs in a bucket make."""
+    import random
+    from ruleforge.llm import components, line_dedup
+    rng = random.Random(5)
+    template = "the quick brown fox jumps over the lazy dog and then it runs back home "
+    lines = []
+    for k in range(120):
+        own = "".join(rng.choice("abcdefghij") for _ in range(24))
+        for n in range(rng.choice([1, 1, 2, 4])):  # each next copy drops further from the first
+            lines.append(template + own + "".join(rng.choice("klmnop") for _ in range(6)))
+            own = own[:4 + n * 4] + "Q" + own[5 + n * 4:]
+    df = spark.createDataFrame(list(enumerate(lines)), "lk long, line string")
+    buckets = {}
+    for r in line_dedup.bucketed(line_dedup.signed(df)).select("bk", "lk").collect():
+        buckets.setdefault(r.bk, []).append(r.lk)
+    assert max(map(len, buckets.values())) > 20
+
+    def sets(t):
+        return {t[i:i + 5] for i in range(len(t) - 4)}
+
+    up = list(range(len(lines)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in {(a, b) for m in buckets.values() for a in m for b in m if a < b}:
+        x, y = sets(lines[a]), sets(lines[b])
+        if len(x & y) >= 0.8 * len(x | y):
+            up[max(root(a), root(b))] = min(root(a), root(b))
+    want = {k: root(k) for k in range(len(lines))}
+    got = {r.node: r.root for r in components.connected(line_dedup.similar(df, few=3, block=7)).collect()}
+    assert {k: got.get(k, k) for k in want} == want and len(set(want.values())) > 5
