@@ -104,16 +104,17 @@ def test_compaction_keeps_verdicts_and_lets_the_stream_go_on(spark, taken_in):
     assert child_folders(spark, checks.folder + "/folded", finished=True) == ["upto=3"]
 
 
-def test_files_and_state_partitions_grow_with_the_events(spark, monkeypatch):
+def test_files_and_state_partitions_grow_with_the_events(spark, monkeypatch, tmp_path):
     from pyspark.sql import functions as F
     from ruleforge.plans.suite import streams
-    from tests.conftest import SF_SMALL
-    events = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    made = spark.range(1000).selectExpr("if(id % 97 = 0, null, id % 900) AS event_id", "id % 60 AS user_id", "concat('t', id % 7) AS event_type")
+    made.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    events = spark.read.parquet(f"{tmp_path}/events.parquet")
     most, seen = events.count() // 20, []
     start = RunningChecks.start
     monkeypatch.setattr(RunningChecks, "start", lambda self, stream, **t: seen.append((self, start(self, stream, **t))) or seen[-1][1])
     rules = [rule("is_unique", "user_type", columns=["user_id", "event_type"])]
-    got = streams._running(spark, SF_SMALL, rules, file_rows=most)
+    got = streams._running(spark, str(tmp_path), rules, file_rows=most)
     checks, (_, values) = seen[0]
     want = summarize(apply_checks(events, rules), ["event_id"])
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
