@@ -19,13 +19,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import col, id_type, map_batches, texts_of
 
-CACHE_WORDS = 250_000   # memo of encoded words per Python worker; emptied when full
+CACHE_WORDS = 500_000   # memo of encoded words per Python worker; emptied when full
 CACHE_PAIRS = 2_000_000
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -37,6 +38,22 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class Memo(dict):
+    """Encoded pre-tokens by word: what is not there is made and kept; emptied when full."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        entry = self.make(word)
+        if len(word) <= 64:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = entry
+        return entry
+
+
 class BacktrackingBpe:
     """Encoder and decoder for one byte-level tokenizer file (its JSON text)."""
 
@@ -58,6 +75,7 @@ class BacktrackingBpe:
         self.table = np.frombuffer(b"".join(by_id), dtype=np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in by_id])]).astype(np.int64)
         self.length = [len(t) for t in by_id]
+        self.shown = list(map(str, range(size)))
         # merges: halves of each token, and the token that a pair makes
         self.size = size
         self.left, self.right, self.rank, self.merged = list(range(size)), list(range(size)), [-1] * size, {}
@@ -81,7 +99,7 @@ class BacktrackingBpe:
         self.split_words = regex.compile(PRETOKEN).findall
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.pairs: dict[int, bool] = {}
-        self.words: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.words = Memo(self.word)
 
     def compatible(self, left: int, right: int) -> bool:
         """Can ``right`` follow ``left`` without a merge across their border?
@@ -113,7 +131,7 @@ class BacktrackingBpe:
         return fits
 
     def encode_word(self, word: str) -> list[int]:
-        text = word.encode().decode("latin-1")
+        text = word if word.isascii() else word.encode().decode("latin-1")
         length, shorter, compatible, pairs, size = self.length, self.shorter, self.compatible, self.pairs, self.size
         longest = [-1] * len(text)
         for end, token in self.automaton.iter(text):
@@ -136,34 +154,32 @@ class BacktrackingBpe:
                 at -= length[token]
                 last = out[-1] if out else -1
 
-    def word(self, word: str) -> tuple[tuple[int, ...], str]:
-        """Ids of a pre-token, and the same as comma-joined decimals."""
-        ids = tuple(self.encode_word(word))
-        entry = (ids, ",".join(map(str, ids)))
-        if len(word) <= 64:
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            self.words[word] = entry
-        return entry
+    def word(self, word: str) -> bytes:
+        """Ids of a pre-token as 32-bit numbers."""
+        return array("i", self.encode_word(word)).tobytes()
 
-    def parts(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """Encoded pre-tokens of a whole text; added tokens are cut out first."""
-        known, make = self.words.get, self.word
+    def ids(self, text: str) -> np.ndarray:
+        """Ids of a whole text; added tokens are cut out first."""
+        entry = self.words.__getitem__
         if self.split_special is None or not any(s in text for s in self.special):
-            return [known(w) or make(w) for w in self.split_words(text)]
+            return np.frombuffer(b"".join(map(entry, self.split_words(text))), dtype=np.int32)
         out = []
         for piece in self.split_special(text):
             if piece in self.special:
-                out.append(((self.special[piece],), str(self.special[piece])))
+                out.append(array("i", [self.special[piece]]).tobytes())
             else:
-                out.extend(known(w) or make(w) for w in self.split_words(piece))
-        return out
+                out.extend(map(entry, self.split_words(piece)))
+        return np.frombuffer(b"".join(out), dtype=np.int32)
+
+    def joined(self, ids: np.ndarray) -> str:
+        """Ids as decimals, joined by commas."""
+        return ",".join(map(self.shown.__getitem__, ids.tolist()))
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self.parts(text) for i in ids]
+        return self.ids(text).tolist()
 
     def count(self, text: str) -> int:
-        return sum(len(ids) for ids, _ in self.parts(text))
+        return len(self.ids(text))
 
     def decode_bytes(self, ids) -> bytes:
         """Bytes of the ids: ranges of the table, copied by offset."""
@@ -217,14 +233,13 @@ def encode_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         bpe = loaded(spec.value)
         out = {id_col: batch.column(0), "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
         for text in texts_of(batch):
-            parts = bpe.parts(text)
-            ids = [i for p, _ in parts for i in p]
+            ids = bpe.ids(text)
             out["n_tokens"].append(len(ids))
-            out["ids_sha256"].append(hashlib.sha256(",".join([s for _, s in parts]).encode()).hexdigest())
+            out["ids_sha256"].append(hashlib.sha256(bpe.joined(ids).encode()).hexdigest())
             back = bpe.decode_bytes(ids).decode("utf-8", "replace")
             out["decoded_sha256"].append(hashlib.sha256(back.encode()).hexdigest())
             if with_ids:
-                out["ids"].append(np.asarray(ids, dtype=np.int32))
+                out["ids"].append(ids)
         return out
 
     return map_batches(df.select(col(id_col), col(text_col).cast("string").alias("_text")), schema, run, rows=256)

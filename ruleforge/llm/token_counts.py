@@ -120,8 +120,7 @@ class CountTree:
 
 
 def count(words: list[str], bpe: BacktrackingBpe) -> int:
-    known, make = bpe.words.get, bpe.word
-    return sum([len((known(w) or make(w))[0]) for w in words])
+    return sum(map(len, map(bpe.words.__getitem__, words))) // 4  # four bytes an id
 
 
 def build(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None, path: str | None = None) -> DataFrame:

@@ -205,6 +205,16 @@ def test_bpe_table(spark, library):
     assert got[2].decoded_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_bpe_memo_holds_four_bytes_an_id(library, coder, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
+    coder.words.clear()
+    for t in ["one two three four five one two", "é<|endoftext|>one" + "x" * 100, ""]:
+        ids = library.encode(t, add_special_tokens=False).ids
+        got = coder.ids(t)
+        assert got.dtype == "int32" and got.tolist() == ids and coder.count(t) == len(ids) and coder.joined(got) == ",".join(map(str, ids))
+        assert len(coder.words) <= 3 and all(len(e) == 4 * len(coder.encode_word(w)) for w, e in coder.words.items())
+
+
 # -- token counts ----------------------------------------------------------
 def test_edits_equal_a_full_recount(coder, monkeypatch):
     monkeypatch.setattr(token_counts, "LEAF", 3)
