@@ -3,20 +3,20 @@
 Lines are similar by their character shingles. A line's signature holds the
 least hashes, for ``BANDS * ROWS`` hash functions, of all its overlapping
 shingles of ``GRAM`` characters, those that verification compares. Lines that
-agree in a whole band meet in its bucket. In a bucket of up to ``FEW`` lines
-each is paired with each. In a larger one, all are first paired with its most
-central line; then each that is still apart from the bucket's largest
+agree in a whole band meet in its bucket. In a bucket all are first paired with
+its most central line; then each that is still apart from the bucket's largest
 component is paired with all of the bucket's lines in other components, in
 blocks. So no bucket leaves out a pair that could join two components, and a
-large family of near copies makes no square of pairs.
+family of near copies, in however many buckets, makes no square of pairs.
 
-Pairs are screened by bitmaps of their shingles: a bit in which they differ
-takes a shingle that only one has, so that lines whose bitmaps differ in more
-bits than similar lines may in shingles are not similar. What is left is
-verified by the exact Jaccard similarity of those
-shingles. Verified pairs, and equal lines, form
-components by distributed union-find, and each component keeps its first
-line by id and line number.
+Buckets are kept as keys only. Texts and bitmaps are made once, for the lines
+that share a bucket. Pairs are screened by parity bitmaps of their different
+shingles: each flips a bit, those of both lines cancel, and a bit in which they
+differ takes a shingle that only one has, so that lines whose bitmaps differ in
+more bits than similar lines may in shingles are not similar. What is left is
+verified by the exact Jaccard similarity of those shingles. Verified pairs, and
+equal lines, form components by distributed union-find, and each component
+keeps its first line by id and line number.
 
 Equal lines are brought together before anything else, with map-side
 aggregation, so a line that a third of the documents hold is one row.
@@ -37,7 +37,7 @@ from .components import connected
 
 BANDS, ROWS = 12, 4       # at a similarity of 0.8 a pair meets in some band with probability 0.998, at 0.7 with 0.96
 GRAM = 5                  # characters of a shingle
-FEW = 16                  # lines of a bucket that are paired each with each
+FEW = 2                   # lines of a bucket that are paired each with each
 BLOCK = 1024              # lines of a larger bucket that a task pairs with the rest of it at once
 WORDS = 16                # longs of a line's bitmap
 SIMILARITY = 0.8
@@ -63,42 +63,68 @@ def gram_hashes(line: Column) -> Column:
 
 
 def signed(lines: DataFrame) -> DataFrame:
-    """``lk``, ``most`` (shingles at most), ``bits`` (bitmap of the shingles) and ``bks`` (bucket in each band) of every different line."""
+    """``lk`` and ``bks`` (bucket in each band) of every different line."""
     different = lines.groupBy("lk").agg(F.min("line").alias("line")).select("lk", F.encode("line", "UTF-16BE").alias("raw"))
     last = F.greatest((F.octet_length("raw") / 2 - GRAM).cast("int"), F.lit(0))
-    places = different.select("lk", "raw", (last + 1).alias("most"), F.explode(F.sequence(F.lit(0), last)).alias("i"))
-    shingles = places.select("lk", "most", F.xxhash64(F.substring("raw", F.col("i") * 2 + 1, F.lit(2 * GRAM))).alias("h"))
-    made = [F.max("most").alias("most")]
+    places = different.select("lk", "raw", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    shingles = places.select("lk", F.xxhash64(F.substring("raw", F.col("i") * 2 + 1, F.lit(2 * GRAM))).alias("h"))
+    made = []
     for k in range(BANDS * ROWS // 2):  # two 32-bit hash functions from each 64-bit one
         x = F.xxhash64(F.col("h").bitwiseXOR(F.lit(0x5851F42D4C957F2D * (k + 1) % (1 << 62))))
         made += [F.min(x.bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"m{2 * k}"), F.min(F.shiftrightunsigned(x, 32)).alias(f"m{2 * k + 1}")]
-    word, bit = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(WORDS - 1)), F.expr("shiftleft(1L, cast(h & 63L AS int))")
-    made += [F.bit_or(F.when(word == k, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"b{k}") for k in range(WORDS)]
     bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    return shingles.groupBy("lk").agg(*made).select("lk", "most", F.array(*[f"b{k}" for k in range(WORDS)]).alias("bits"), F.array(*bands).alias("bks"))
+    return shingles.groupBy("lk").agg(*made).select("lk", F.array(*bands).alias("bks"))
+
+
+def mapped(texts: DataFrame) -> DataFrame:
+    """``lk``, ``n`` (different shingles) and ``bits`` (parity bitmap: each of them flips a bit) of different lines."""
+    shingles = texts.select("lk", F.explode(gram_hashes(F.col("line"))).alias("h"))
+    word, bit = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(WORDS - 1)), F.expr("shiftleft(1L, cast(h & 63L AS int))")
+    made = [F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"b{k}") for k in range(WORDS)]
+    return shingles.groupBy("lk").agg(F.count("*").alias("n"), *made).select("lk", "n", F.array(*[f"b{k}" for k in range(WORDS)]).alias("bits"))
 
 
 def bucketed(marks: DataFrame) -> DataFrame:
-    """``bk``, its ``size``, and ``lk``, ``most`` and ``bits`` of every line that shares the bucket ``bk`` with another."""
+    """``bk``, its ``size``, and ``lk`` of every line that shares the bucket ``bk`` with another."""
     bands = marks.select("lk", F.explode("bks").alias("bk"))
     sizes = bands.groupBy("bk").agg(F.count("*").alias("size")).filter("size > 1")
-    return bands.join(sizes, "bk").join(marks.select("lk", "most", "bits"), "lk")
+    return bands.join(sizes, "bk")
+
+
+def texts_of(lines: DataFrame, members: DataFrame) -> DataFrame:
+    """``lk`` and ``line`` of every line that shares a bucket with another."""
+    keys = members.select("lk").distinct()
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    return lines.select("lk", "line").join(keys, "lk", "left_semi").groupBy("lk").agg(F.min("line").alias("line"))
 
 
 def near(a: str, b: str, similarity: float) -> Column:
     """Whether the bitmaps of two rows differ in no more bits than similar lines may in shingles."""
     apart = sum((F.bit_count(F.col(a + ".bits")[k].bitwiseXOR(F.col(b + ".bits")[k])) for k in range(1, WORDS)),
                 F.bit_count(F.col(a + ".bits")[0].bitwiseXOR(F.col(b + ".bits")[0])))
-    return apart <= (F.col(a + ".most") + F.col(b + ".most")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    return apart <= (F.col(a + ".n") + F.col(b + ".n")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
+def unordered(pairs: DataFrame) -> DataFrame:
+    """The different pairs ``u`` < ``v``."""
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct()
+
+
+def screened(pairs: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``u``, ``v`` that their bitmaps leave open."""
+    for k, s in (("a", "u"), ("b", "v")):
+        pairs = pairs.join(maps.select(F.col("lk").alias(s), F.struct("n", "bits").alias(k)), s)
+    return pairs.filter(near("a", "b", similarity)).select("u", "v")
 
 
-def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``u``, ``v`` of line keys that are similar."""
-    asked = pairs = checkpoint(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct())
+    asked = pairs = checkpoint(pairs)
     wanted = keys = checkpoint(pairs.select(F.col("u").alias("lk")).union(pairs.select("v")).distinct())
     if keys.count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
-    texts = lines.select("lk", "line").join(keys, "lk", "left_semi").groupBy("lk").agg(F.min("line").alias("line"))
+    texts = texts.join(keys, "lk", "left_semi")
     for s in ("u", "v"):
         pairs = pairs.join(texts.select(F.col("lk").alias(s), F.col("line").alias("line_" + s)), s)
     # exploded, so that the hashes are made once and not in every condition anew
@@ -118,29 +144,33 @@ def similar(lines: DataFrame, similarity: float = SIMILARITY, few: int = FEW, bl
     """
     marks = checkpoint(signed(lines))
     members = checkpoint(bucketed(marks))
+    texts = checkpoint(texts_of(lines, members))
+    maps = checkpoint(mapped(texts).join(marks, "lk"))
     release(marks)
     small, large = members.filter(F.col("size") <= few), members.filter(F.col("size") > few)
-    keys = F.col("a.lk").alias("u"), F.col("b.lk").alias("v")
-    pairs = small.alias("a").join(small.alias("b"), "bk").filter(F.col("a.lk") < F.col("b.lk")).filter(near("a", "b", similarity)).select(*keys)
+    pairs = small.select("bk", F.col("lk").alias("u")).join(small.select("bk", F.col("lk").alias("v")), "bk").filter("u < v").select("u", "v")
     if large.isEmpty():
-        links = verified(pairs, lines, similarity)
-        release(members)
+        links = verified(screened(unordered(pairs), maps, similarity), texts, similarity)
+        release(members, texts, maps)
         return links
     weight = members.groupBy("lk").agg(F.sum("size").alias("weight"))
-    centre = large.join(weight, "lk").groupBy("bk").agg(F.max_by(F.struct("lk", "most", "bits"), F.struct("weight", "lk")).alias("c")).select("bk", "c.*")
-    star = large.alias("a").join(centre.alias("b"), "bk").filter(near("a", "b", similarity)).select(*keys)
-    links = verified(pairs.union(star), lines, similarity)
+    centre = large.join(weight, "lk").groupBy("bk").agg(F.max(F.struct("weight", "lk"))["lk"].alias("v"))
+    star = large.select("bk", F.col("lk").alias("u")).join(centre, "bk").select("u", "v")
+    links = verified(screened(unordered(pairs.union(star)), maps, similarity), texts, similarity)
     roots = connected(links).select(F.col("node").alias("lk"), "root")
-    rooted = checkpoint(large.join(roots, "lk", "left").withColumn("root", F.coalesce("root", "lk")))
+    rooted = checkpoint(large.join(roots, "lk", "left").select("bk", "lk", F.coalesce("root", "lk").alias("root")))
     parts = rooted.groupBy("bk", "root").agg(F.count("*").alias("n")).groupBy("bk").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("m"))
     parts = checkpoint(parts.filter("n > m").select("bk", "main", F.ceil((F.col("n") - F.col("m")) / block).cast("int").alias("blocks")))
-    split = rooted.join(parts, "bk")
+    split = rooted.join(parts, "bk").join(maps, "lk")
     rest = split.filter("root <> main").withColumn("block", F.pmod(F.xxhash64("lk"), F.col("blocks")).cast("int"))
     whole = split.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # of two lines that are both apart from the largest component, one order is enough
     apart = whole.alias("a").join(rest.alias("b"), ["bk", "block"]).filter(F.col("a.root") != F.col("b.root")).filter((F.col("a.root") == F.col("a.main")) | (F.col("a.lk") < F.col("b.lk")))
-    more = verified(apart.filter(near("a", "b", similarity)).select(*keys), lines, similarity)
-    release(members, rooted, parts)
+    # screened before they are brought together, since they may be many, and each in the first of the buckets that both share:
+    # lines of different components are paired in all of these
+    first = F.array_intersect("a.bks", "b.bks")[0] == F.col("bk")
+    more = verified(unordered(apart.filter(near("a", "b", similarity) & first).select(F.col("a.lk").alias("u"), F.col("b.lk").alias("v"))), texts, similarity)
+    release(members, texts, maps, rooted, parts)
     return links.union(more)
 
 

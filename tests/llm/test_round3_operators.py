@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import struct
@@ -241,3 +242,40 @@ def test_large_buckets_of_lines_leave_out_no_pair(spark, monkeypatch):
     want = {k: root(k) for k in range(len(lines))}
     got = {r.node: r.root for r in components.connected(line_dedup.similar(df, few=3, block=7)).collect()}
     assert {k: got.get(k, k) for k in want} == want and len(set(want.values())) > 5
+
+
+def test_line_families_ask_for_few_pairs(spark, monkeypatch):
+    """Near copies of one line, in many buckets, and lines just below the limit to each other, make no square of pairs."""
+    from ruleforge.llm import components, line_dedup
+
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def changed(text, places):
+        text = list(text)
+        for i in rng.sample(range(0, len(text), 6), places):
+            text[i] = rng.choice(letters)
+        return "".join(text)
+
+    base, other = ("".join(rng.choice(letters) for _ in range(480)) for _ in range(2))
+    lines = sorted({changed(base, 4) for _ in range(150)} | {changed(other, 9) for _ in range(150)})
+    df = spark.createDataFrame(list(enumerate(lines)), "lk long, line string")
+    asked, verified = [], line_dedup.verified
+
+    def counted(pairs, *more):
+        asked.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(line_dedup, "verified", counted)
+    got = {r.node: r.root for r in components.connected(line_dedup.similar(df)).collect()}
+    grams = [{x[i:i + line_dedup.GRAM] for i in range(len(x) - line_dedup.GRAM + 1)} for x in lines]
+    meet = defaultdict(set)
+    for r in line_dedup.bucketed(line_dedup.signed(df)).select("bk", "lk").collect():
+        meet[r.bk].add(r.lk)
+    root = list(range(len(lines)))
+    for a, b in sorted({p for rows in meet.values() for p in itertools.combinations(sorted(rows), 2)}):
+        if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
+            low, high = sorted((root[a], root[b]))
+            root = [low if x == high else x for x in root]
+    assert [got.get(k, k) for k in range(len(lines))] == root
+    assert sum(asked) < 10 * len(lines), asked
