@@ -9,9 +9,11 @@ component is paired with all of the bucket's lines in other components, in
 blocks. So no bucket leaves out a pair that could join two components, and a
 family of near copies, in however many buckets, makes no square of pairs.
 
-Buckets are kept as keys only. Texts and bitmaps are made once, for the lines
-that share a bucket. Pairs are screened by parity bitmaps of their different
-shingles: each flips a bit, those of both lines cancel, and a bit in which they
+Buckets are kept as keys and numbers of shingles only, which leave out pairs
+that differ too much in size; bitmaps are made once, for the lines that share a
+bucket, and brought to pairs of keys, but in larger buckets to the lines. Texts
+are read again, for the lines of the pairs that are left. Pairs are screened by
+parity bitmaps of their different shingles: each flips a bit, those of both lines cancel, and a bit in which they
 differ takes a shingle that only one has, so that lines whose bitmaps differ in
 more bits than similar lines may in shingles are not similar. What is left is
 verified by the exact Jaccard similarity of those shingles. Verified pairs, and
@@ -38,6 +40,7 @@ from .components import connected
 BANDS, ROWS = 12, 4       # at a similarity of 0.8 a pair meets in some band with probability 0.998, at 0.7 with 0.96
 GRAM = 5                  # characters of a shingle
 FEW = 2                   # lines of a bucket that are paired each with each
+SMALL = 16                # lines of a bucket whose pairs are made of keys, and get their bitmaps by join
 BLOCK = 1024              # lines of a larger bucket that a task pairs with the rest of it at once
 WORDS = 16                # longs of a line's bitmap
 SIMILARITY = 0.8
@@ -56,7 +59,7 @@ def gram_hashes(line: Column) -> Column:
     """Hashes of the different overlapping shingles; the whole line if it is shorter."""
     def hashes(raw: Column) -> Column:
         last = F.greatest((F.octet_length(raw) / 2 - GRAM).cast("int"), F.lit(0))
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(raw, i * 2 + 1, F.lit(2 * GRAM))))
+        return F.transform(F.sequence(F.lit(1), last * 2 + 1, F.lit(2)), lambda i: F.xxhash64(F.substring(raw, i, F.lit(2 * GRAM))))
 
     # two bytes a character, so that a substring is reached in constant time; bound once by the outer function
     return F.array_distinct(F.flatten(F.transform(F.array(F.encode(line, "UTF-16BE")), hashes)))
@@ -86,17 +89,28 @@ def mapped(texts: DataFrame) -> DataFrame:
 
 def bucketed(marks: DataFrame) -> DataFrame:
     """``bk``, its ``size``, and ``lk`` of every line that shares the bucket ``bk`` with another."""
-    bands = marks.select("lk", F.explode("bks").alias("bk"))
-    sizes = bands.groupBy("bk").agg(F.count("*").alias("size")).filter("size > 1")
-    return bands.join(sizes, "bk")
+    # written first, so that the shuffles of sizes and of lines are not on disk together
+    sizes = checkpoint(marks.select(F.explode("bks").alias("bk")).groupBy("bk").agg(F.count("*").alias("size")).filter("size > 1"))
+    members = checkpoint(marks.select("lk", F.explode("bks").alias("bk")).join(sizes, "bk"))
+    release(sizes)
+    return members
 
 
-def texts_of(lines: DataFrame, members: DataFrame) -> DataFrame:
-    """``lk`` and ``line`` of every line that shares a bucket with another."""
-    keys = members.select("lk").distinct()
+def only(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose ``lk`` is among the different ``keys``."""
     if keys.count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
-    return lines.select("lk", "line").join(keys, "lk", "left_semi").groupBy("lk").agg(F.min("line").alias("line"))
+    return rows.join(keys, "lk", "left_semi")
+
+
+def texts_of(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """``lk`` and ``line`` of the different lines with these keys."""
+    return only(lines.select("lk", "line"), keys).groupBy("lk").agg(F.min("line").alias("line"))
+
+
+def alike(a: Column, b: Column, similarity: float) -> Column:
+    """Whether two lines with so many different shingles may be similar."""
+    return F.abs(a - b) <= (a + b) * ((1 - similarity) / (1 + similarity)) + 1e-6
 
 
 def near(a: str, b: str, similarity: float) -> Column:
@@ -111,6 +125,31 @@ def unordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct()
 
 
+def paired(members: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``u`` < ``v`` of lines that share a bucket, have different ``root``s and may be similar by their numbers of shingles."""
+    one, two = (members.select("bk", *[F.col(c).alias(s + c) for c in ("lk", "n", "root")]) for s in "uv")
+    pairs = one.join(two, "bk").filter("ulk < vlk and uroot <> vroot").filter(alike(F.col("un"), F.col("vn"), similarity))
+    return pairs.select(F.col("ulk").alias("u"), F.col("vlk").alias("v"))
+
+
+def blocked(split: DataFrame, marks: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
+    """Screened pairs ``u``, ``v`` of larger buckets: each line apart from the bucket's ``main`` component with all in other components, in blocks."""
+    keys = checkpoint(split.select("lk").distinct())
+    held = checkpoint(only(maps, keys).join(marks, "lk"))
+    split = split.drop("n")
+    rest = split.filter("root <> main").withColumn("block", F.pmod(F.xxhash64("lk"), F.col("blocks")).cast("int")).join(held, "lk")
+    whole = split.join(held, "lk").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # of two lines that are both apart from the largest component, one order is enough
+    apart = whole.alias("a").join(rest.alias("b"), ["bk", "block"]).filter(F.col("a.root") != F.col("b.root")).filter((F.col("a.root") == F.col("a.main")) | (F.col("a.lk") < F.col("b.lk")))
+    # screened before they are brought together, since they may be many, and each in the first of the buckets that both share:
+    # lines of different components are paired in all of these, here or among the smaller ones
+    first = F.array_intersect("a.bks", "b.bks")[0] == F.col("bk")
+    close = alike(F.col("a.n"), F.col("b.n"), similarity) & near("a", "b", similarity)
+    pairs = checkpoint(unordered(apart.filter(close & first).select(F.col("a.lk").alias("u"), F.col("b.lk").alias("v"))))
+    release(keys, held)
+    return pairs
+
+
 def screened(pairs: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``u``, ``v`` that their bitmaps leave open."""
     for k, s in (("a", "u"), ("b", "v")):
@@ -118,13 +157,11 @@ def screened(pairs: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
     return pairs.filter(near("a", "b", similarity)).select("u", "v")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``u``, ``v`` of line keys that are similar."""
     asked = pairs = checkpoint(pairs)
-    wanted = keys = checkpoint(pairs.select(F.col("u").alias("lk")).union(pairs.select("v")).distinct())
-    if keys.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    texts = texts.join(keys, "lk", "left_semi")
+    wanted = checkpoint(pairs.select(F.col("u").alias("lk")).union(pairs.select("v")).distinct())
+    texts = checkpoint(texts_of(lines, wanted))
     for s in ("u", "v"):
         pairs = pairs.join(texts.select(F.col("lk").alias(s), F.col("line").alias("line_" + s)), s)
     # exploded, so that the hashes are made once and not in every condition anew
@@ -132,46 +169,48 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     pairs = pairs.select("u", "v", F.explode(F.array(sets)).alias("x")).select("u", "v", F.col("x.a").alias("a"), F.col("x.b").alias("b"))
     pairs = pairs.select("u", "v", F.size("a").alias("a"), F.size("b").alias("b"), F.size(F.array_intersect("a", "b")).alias("both"))
     found = checkpoint(pairs.filter(F.col("both") >= similarity * (F.col("a") + F.col("b") - F.col("both"))).select("u", "v"))
-    release(asked, wanted)
+    release(asked, wanted, texts)
     return found
 
 
-def similar(lines: DataFrame, similarity: float = SIMILARITY, few: int = FEW, block: int = BLOCK) -> DataFrame:
+def similar(lines: DataFrame, similarity: float = SIMILARITY, few: int = FEW, block: int = BLOCK, small: int = SMALL) -> DataFrame:
     """Verified pairs of line keys: those that join the components of all similar lines that share a bucket.
 
     Central is the line whose buckets have the most members in all: where
     near copies come from one line, that line, or the closest to it.
     """
     marks = checkpoint(signed(lines))
-    members = checkpoint(bucketed(marks))
-    texts = checkpoint(texts_of(lines, members))
-    maps = checkpoint(mapped(texts).join(marks, "lk"))
-    release(marks)
-    small, large = members.filter(F.col("size") <= few), members.filter(F.col("size") > few)
-    pairs = small.select("bk", F.col("lk").alias("u")).join(small.select("bk", F.col("lk").alias("v")), "bk").filter("u < v").select("u", "v")
+    found = bucketed(marks)
+    keys = checkpoint(found.select("lk").distinct())
+    maps = checkpoint(mapped(texts_of(lines, keys)))
+    members = checkpoint(found.join(maps.select("lk", F.col("n").cast("int")), "lk"))
+    release(found, keys)
+    large = members.filter(F.col("size") > few)
+    pairs = paired(members.filter(F.col("size") <= few).withColumn("root", F.col("lk")), similarity)
     if large.isEmpty():
-        links = verified(screened(unordered(pairs), maps, similarity), texts, similarity)
-        release(members, texts, maps)
+        links = verified(screened(unordered(pairs), maps, similarity), lines, similarity)
+        release(marks, members, maps)
         return links
     weight = members.groupBy("lk").agg(F.sum("size").alias("weight"))
-    centre = large.join(weight, "lk").groupBy("bk").agg(F.max(F.struct("weight", "lk"))["lk"].alias("v"))
-    star = large.select("bk", F.col("lk").alias("u")).join(centre, "bk").select("u", "v")
-    links = verified(screened(unordered(pairs.union(star)), maps, similarity), texts, similarity)
+    centre = large.join(weight, "lk").groupBy("bk").agg(F.max(F.struct("weight", "lk", "n")).alias("c")).select("bk", F.col("c.lk").alias("v"), F.col("c.n").alias("vn"))
+    star = large.join(centre, "bk").filter(alike(F.col("n"), F.col("vn"), similarity)).select(F.col("lk").alias("u"), "v")
+    asked = checkpoint(unordered(pairs.union(star)))
+    links = verified(screened(asked, maps, similarity), lines, similarity)
+    release(asked)
     roots = connected(links).select(F.col("node").alias("lk"), "root")
-    rooted = checkpoint(large.join(roots, "lk", "left").select("bk", "lk", F.coalesce("root", "lk").alias("root")))
-    parts = rooted.groupBy("bk", "root").agg(F.count("*").alias("n")).groupBy("bk").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("m"))
-    parts = checkpoint(parts.filter("n > m").select("bk", "main", F.ceil((F.col("n") - F.col("m")) / block).cast("int").alias("blocks")))
-    split = rooted.join(parts, "bk").join(maps, "lk")
-    rest = split.filter("root <> main").withColumn("block", F.pmod(F.xxhash64("lk"), F.col("blocks")).cast("int"))
-    whole = split.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # of two lines that are both apart from the largest component, one order is enough
-    apart = whole.alias("a").join(rest.alias("b"), ["bk", "block"]).filter(F.col("a.root") != F.col("b.root")).filter((F.col("a.root") == F.col("a.main")) | (F.col("a.lk") < F.col("b.lk")))
-    # screened before they are brought together, since they may be many, and each in the first of the buckets that both share:
-    # lines of different components are paired in all of these
-    first = F.array_intersect("a.bks", "b.bks")[0] == F.col("bk")
-    more = verified(unordered(apart.filter(near("a", "b", similarity) & first).select(F.col("a.lk").alias("u"), F.col("b.lk").alias("v"))), texts, similarity)
-    release(members, texts, maps, rooted, parts)
-    return links.union(more)
+    rooted = checkpoint(large.join(roots, "lk", "left").select("bk", "lk", "n", "size", F.coalesce("root", "lk").alias("root")))
+    release(members)
+    parts = rooted.groupBy("bk", "root").agg(F.count("*").alias("m")).groupBy("bk").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.max("m").alias("m"))
+    split = checkpoint(rooted.join(parts, "bk").filter("size > m").withColumn("blocks", F.ceil((F.col("size") - F.col("m")) / block).cast("int")).drop("m"))
+    release(rooted)
+    asked = checkpoint(unordered(paired(split.filter(F.col("size") <= small), similarity)))
+    more = screened(asked, maps, similarity)
+    large = split.filter(F.col("size") > small)
+    if not large.isEmpty():
+        more = more.union(blocked(large, marks, maps, similarity)).distinct()
+    links = links.union(verified(more, lines, similarity))
+    release(marks, maps, split, asked)
+    return links
 
 
 def dropped_lines(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -279,3 +279,28 @@ def test_line_families_ask_for_few_pairs(spark, monkeypatch):
             root = [low if x == high else x for x in root]
     assert [got.get(k, k) for k in range(len(lines))] == root
     assert sum(asked) < 10 * len(lines), asked
+
+
+@pytest.mark.parametrize("options", [{}, {"small": 0, "block": 7}])
+def test_only_lines_of_like_sizes_meet_as_pairs(spark, monkeypatch, options):
+    """Lines that share buckets without numbers of shingles that similar lines may have are left out before any bitmap is brought to their pair."""
+    from ruleforge.llm import components, line_dedup
+
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    lines = []
+    for _ in range(12):
+        base = "".join(rng.choice(letters) for _ in range(420))
+        lines += [base[:n] for n in (100, 140, 200, 210, 290, 300, 420)]
+    df = spark.createDataFrame(list(enumerate(lines)), "lk long, line string")
+    grams = [{x[i:i + line_dedup.GRAM] for i in range(len(x) - line_dedup.GRAM + 1)} for x in lines]
+    asked, screened = [], line_dedup.screened
+
+    def seen(pairs, *more):
+        asked.extend((r.u, r.v) for r in pairs.collect())
+        return screened(pairs, *more)
+
+    monkeypatch.setattr(line_dedup, "screened", seen)
+    got = {r.node: r.root for r in components.connected(line_dedup.similar(df, **options)).collect()}
+    assert asked and all(min(len(grams[a]), len(grams[b])) >= 0.8 * max(len(grams[a]), len(grams[b])) for a, b in asked)
+    assert [got.get(k, k) for k in range(len(lines))] == [k - 1 if k % 7 in (3, 5) else k for k in range(len(lines))]
