@@ -41,6 +41,7 @@ ITEM_WEIGHT = 6.0        # weight of benchmark passages in the fit
 COSINE = 0.25            # candidates
 SHARE = 0.5              # candidates, too: part of the item's weight that the passage holds
 COPY, PARAPHRASE, ANSWER = 0.8, 0.55, 0.8  # parts of the item, or of its answer, in order
+PIECE = 1 << 11          # words whose terms make a dense matrix at once
 BLOCK, PASS_BLOCKS = 256, 8  # benchmark passages to a basis, and bases to a pass over the texts
 
 _SEPARATORS = b"".join(bytes([b]) for b in range(128) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122))
@@ -91,6 +92,28 @@ def passages_of(sizes: np.ndarray) -> tuple[np.ndarray, int]:
     return np.repeat(np.cumsum(per) - per, sizes) + inside // PASSAGE, int(per.sum())
 
 
+def pieces(number: np.ndarray, size: int = PIECE) -> list[tuple[int, int]]:
+    """Bounds of runs of about ``size`` words that cut no passage; ``number`` rises."""
+    ends = np.searchsorted(number, number[np.arange(size, len(number), size)], "right").tolist()
+    bounds = sorted({0, *ends, len(number)})
+    return list(zip(bounds, bounds[1:]))
+
+
+def counted(row: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Terms used, and the row, place among these, and count of every different (row, term).
+
+    For products as small dense matrices of only the terms used: much
+    cheaper than gathering a row of the other factor for every word.
+    """
+    different, n = np.unique(row << BITS | terms, return_counts=True)
+    t = different & ((1 << BITS) - 1)
+    place = np.zeros(1 << BITS, dtype=np.int64)
+    place[t] = 1
+    used = np.flatnonzero(place)
+    place[used] = np.arange(len(used))
+    return used, different >> BITS, place[t], n
+
+
 def idf_of(counts: dict[int, int], passages: int) -> np.ndarray:
     idf = np.full(1 << BITS, np.log((passages + 1) / 1.0) + 0.1)
     for t, n in counts.items():
@@ -130,17 +153,12 @@ def latent_factor(texts: DataFrame, idf: np.ndarray, rank: int = RANK, rounds: i
                     raw = batch.column(0).slice(k, 64).to_pylist()
                     number, _ = passages_of(np.array([len(r) // 2 for r in raw], dtype=np.int64))
                     terms = np.frombuffer(b"".join(raw), dtype="<u2").astype(np.int64)
-                    for a in range(0, len(terms), 1 << 15):  # a long text takes no more memory; a passage cut here counts as two
-                        different, n = np.unique(number[a:a + (1 << 15)] << BITS | terms[a:a + (1 << 15)], return_counts=True)
-                        t, at = different & (size - 1), different >> BITS
-                        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                        at = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(at)]))
-                        v = n * idf[t]
-                        v = (v / np.sqrt(np.add.reduceat(v * v, first))[at]).astype(np.float32)
-                        y = np.add.reduceat(v[:, None] * basis[t], first, axis=0)
-                        by = np.argsort(t, kind="stable")
-                        first = np.flatnonzero(np.r_[True, t[by][1:] != t[by][:-1]])
-                        total[t[by][first]] += np.add.reduceat(v[by][:, None] * y[at[by]], first, axis=0)
+                    for a, b in pieces(number):
+                        used, at, slot, n = counted(number[a:b] - number[a], terms[a:b])
+                        w = np.zeros((int(at[-1]) + 1, len(used)), dtype=np.float32)
+                        w[at, slot] = n * idf[used][slot]
+                        w /= np.sqrt(np.einsum("ij,ij->i", w, w))[:, None]
+                        total[used] += w.T @ (w @ basis[used])
             if total.any():
                 yield pa.record_batch({"part": pa.array(range(ranges), pa.int32()), "z": pa.array([z.tobytes() for z in np.split(total, ranges)], pa.binary())})
 
@@ -169,19 +187,26 @@ def latent_basis(factor: np.ndarray, items: np.ndarray, rank: int = RANK) -> np.
     return np.linalg.qr(both.T.astype(np.float64) @ (vectors[:, best] / np.sqrt(values[best])))[0].astype(np.float32)
 
 
-def common_length(item: list[bytes], words: list[bytes]) -> int:
-    """Length of the longest common subsequence, by bit vectors over the item."""
+def masks_of(item: list[bytes]) -> dict[bytes, int]:
+    """Places of every word of the item as bits."""
     masks: dict[bytes, int] = {}
     for i, w in enumerate(item):
         masks[w] = masks.get(w, 0) | 1 << i
-    full = (1 << len(item)) - 1
-    row = full
-    for w in words:
-        m = masks.get(w)
-        if m:
-            u = row & m
-            row = (row + u | row - u) & full
-    return len(item) - row.bit_count()
+    return masks
+
+
+def common_places(size: int, places: list[int | None]) -> int:
+    """Length of the longest common subsequence of an item of ``size`` words and words with these masks, none where the item lacks the word."""
+    row = full = (1 << size) - 1
+    for m in filter(None, places):
+        u = row & m
+        row = (row + u | row - u) & full
+    return size - row.bit_count()
+
+
+def common_length(item: list[bytes], words: list[bytes]) -> int:
+    """Length of the longest common subsequence, by bit vectors over the item."""
+    return common_places(len(item), list(map(masks_of(item).get, words)))
 
 
 def answer_of(text: str) -> list[bytes]:
@@ -210,6 +235,7 @@ class Items:
             self.ids.append(key)
             self.words.append(words)
             self.answers.append(answer_of(text))
+        self.masks, self.answer_masks = list(map(masks_of, self.words)), list(map(masks_of, self.answers))
         self.owner = np.array(owner, dtype=np.int64)
         self.norms = np.array(norms, dtype=np.float32)
         dense = np.zeros((len(owner), 1 << BITS), dtype=np.float32)
@@ -242,14 +268,16 @@ def search_block(words: list[list[bytes]], terms: np.ndarray, items: Items, cosi
     first = np.repeat(np.cumsum(sizes) - sizes, steps) + nth * STEP
     hits: dict[tuple[int, int], tuple[float, int]] = {}
     width = PASSAGE // STEP
-    chunk = 4000
+    chunk = PIECE // STEP
     for a in range(0, len(first), chunk):
         b = min(len(first), a + chunk)
         more = min(len(first), b + width - 1)  # the passages that begin before b reach into the next steps
         end = first[more] if more < len(first) else len(terms)
-        own = terms[first[a]:end]
-        y = np.add.reduceat(items.projection[own], first[a:more] - first[a], axis=0)
-        q = np.add.reduceat(items.square[own], first[a:more] - first[a])
+        rows = np.repeat(np.arange(more - a), np.diff(np.r_[first[a:more], end]))
+        used, at, slot, n = counted(rows, terms[first[a]:end])
+        w = np.zeros((more - a, len(used)), dtype=np.float32)
+        w[at, slot] = n
+        y, q = w @ items.projection[used], w @ items.square[used]
         total, norm = y[: b - a].copy(), q[: b - a].copy()
         for k in range(1, width):
             n = min(b - a, more - a - k)
@@ -270,12 +298,13 @@ def search_block(words: list[list[bytes]], terms: np.ndarray, items: Items, cosi
             region = words[doc][max(0, at - reach): at + PASSAGE + reach]
             # below the limit the words stand close together, as common ones in order are in any passage
             size = len(region) if value >= cosine else 2 * len(target)
+            places, said_masks = list(map(items.masks[item].get, region)), items.answer_masks[item]
             for s in range(0, max(1, len(region) - size // 2), max(1, size // 4)):
-                near = region[s:s + size]
-                part = common_length(target, near) / len(target)
-                said = common_length(answer, near) / len(answer)
-                if best is None or (part, said) > best[1:3]:
-                    best = (value, part, said, at)
+                part = common_places(len(target), places[s:s + size]) / len(target)
+                if best is None or part >= best[1]:
+                    said = common_places(len(answer), list(map(said_masks.get, region[s:s + size]))) / len(answer)
+                    if best is None or (part, said) > best[1:3]:
+                        best = (value, part, said, at)
                 if part == 1.0 or size == len(region):
                     break
             if best[1] == 1.0:

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
 from ruleforge.llm import segment_bpe, source_audit, spelling
@@ -304,3 +305,23 @@ def test_only_lines_of_like_sizes_meet_as_pairs(spark, monkeypatch, options):
     got = {r.node: r.root for r in components.connected(line_dedup.similar(df, **options)).collect()}
     assert asked and all(min(len(grams[a]), len(grams[b])) >= 0.8 * max(len(grams[a]), len(grams[b])) for a, b in asked)
     assert [got.get(k, k) for k in range(len(lines))] == [k - 1 if k % 7 in (3, 5) else k for k in range(len(lines))]
+
+
+def test_passages_are_counted_in_pieces_that_cut_none():
+    """Small dense matrices of the terms used hold every word of every passage once."""
+    from ruleforge.llm import decontaminate
+
+    rng = np.random.default_rng(4)
+    sizes = np.array([10, 700, 0, 64, 1, 333], dtype=np.int64)
+    number, passages = decontaminate.passages_of(sizes)
+    terms = rng.integers(0, 50, sizes.sum()) * 300
+    pieces = decontaminate.pieces(number, 100)
+    assert [a for a, _ in pieces] == [0, *(b for _, b in pieces[:-1])] and pieces[-1][1] == len(terms) and len(pieces) > 4
+    assert all(number[b - 1] != number[b] for _, b in pieces[:-1])
+    got = np.zeros((passages, 1 << decontaminate.BITS), dtype=np.int64)
+    for a, b in pieces:
+        used, at, place, n = decontaminate.counted(number[a:b] - number[a], terms[a:b])
+        got[at + number[a], used[place]] += n
+    want = np.zeros_like(got)
+    np.add.at(want, (number, terms), 1)
+    assert (got == want).all()
